@@ -134,7 +134,8 @@ class Features:
     def segments(self, energy: np.ndarray) -> list[tuple[int, int]]:
         """Frames [a, b) from where the energy passes the high threshold to where it falls under the low one. The thresholds lie between the quiet and the loud end of the value itself."""
         s = self.spec
-        lo, hi = np.quantile(energy, [0.05, 0.95])
+        ranked = np.sort(energy)
+        lo, hi = ranked[len(ranked) // 20], ranked[-1 - len(ranked) // 20]
         mark = np.zeros(len(energy), np.int8)
         mark[energy >= lo + s.high * (hi - lo)] = 1
         mark[energy < lo + s.low * (hi - lo)] = -1
@@ -202,7 +203,8 @@ def to_tensors(mel: pa.Array | pa.ChunkedArray, spec: AudioSpec = AudioSpec()) -
 def op1_audio_features(spark, sf_dir: str) -> DataFrame:
     """The digests of the contract, derived from the operator's media, tensors and spans."""
     f = audio_features(common.documents(spark, sf_dir))
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", F.format_number(s["start_s"], 2), F.format_number(s["end_s"], 2))), ",")
-    mean = F.array_join(F.transform("mel_mean", lambda v: F.format_number(v, 2)), ",")
+    centi = lambda v: F.round(v * 100).cast("long").cast("string")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", centi(s["start_s"]), centi(s["end_s"]))), ",")
+    mean = F.array_join(F.transform("mel_mean", centi), ",")
     feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";tensor="), F.array_join(F.col("mel_shape").cast("array<string>"), "x"), F.lit(";segments="), F.size("spans"), F.lit(";spans="), F.md5(spans.cast("binary")), F.lit(";mel="), mean)
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "n_frames", F.size("spans").cast("long").alias("n_segments"))
