@@ -56,6 +56,19 @@ def text_rows(batch: pa.RecordBatch, id_name: int | str = 0, text_name: int | st
         yield ids[i].as_py(), texts[i].as_py() or ""
 
 
+def groups(batch: pa.RecordBatch, chars: int) -> Iterator[list[tuple]]:
+    """Rows of a batch in lists of about so many characters."""
+    group, size = [], 0
+    for row in text_rows(batch):
+        group.append(row)
+        size += len(row[1])
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 class Out:
     """Gathers rows by column and hands out record batches of bounded size."""
 

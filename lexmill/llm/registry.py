@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
+from .pieces import op2_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_audio_features": op1_audio_features,
+        "op2_sentencepiece": op2_sentencepiece,
     }
 
 
