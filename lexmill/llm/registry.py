@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
+from .language import op8_language_id
 from .pieces import op2_sentencepiece
+from .quality import op6_quality
+from .suffix_tree import op9_suffix_tree
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_audio_features": op1_audio_features,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_toxicity": op3_toxicity,
+        "op6_quality": op6_quality,
+        "op8_language_id": op8_language_id,
+        "op9_suffix_tree": op9_suffix_tree,
     }
 
 
