@@ -89,10 +89,10 @@ class Network:
             u[h:, (2 * k + 1) * h : (2 * k + 2) * h] = self.p["ub"][:, k * h : (k + 1) * h]
         return u
 
-    def forward(self, proj: np.ndarray, begin: np.ndarray, size: np.ndarray, keep: bool = False):
+    def forward(self, proj: tuple[np.ndarray, np.ndarray], begin: np.ndarray, size: np.ndarray, keep: bool = False):
         """Logits of windows; proj: each word's input to the gates. keep: also what the backward pass needs."""
         h, n = HIDDEN, len(begin)
-        zero = len(proj) - 1  # the row behind the last word stands for no word
+        zero = len(proj[0]) - 1  # the row behind the last word stands for no word
         idx = begin[None, :] + np.arange(WINDOW)[:, None]
         mask = np.arange(WINDOW)[:, None] < size[None, :]
         idx = np.where(mask, idx, zero)
@@ -102,9 +102,7 @@ class Network:
         states = np.zeros((WINDOW, n, 2 * h), np.float32)
         saved = []
         both = np.zeros((n, 6 * h), np.float32)
-        cols_f = np.concatenate([np.arange(2 * k * h, (2 * k + 1) * h) for k in range(3)])
-        cols_b = cols_f + h
-        pf, pb = np.ascontiguousarray(proj[:, cols_f]), np.ascontiguousarray(proj[:, cols_b])
+        pf, pb = proj
         gate = np.empty((n, 2 * h), np.float32)
         for t in range(WINDOW):
             s = WINDOW - 1 - t
@@ -177,12 +175,14 @@ class Network:
         np.add.at(g["gram"], t.gram[pick], np.repeat(share, size, axis=0)[pick])
         return g
 
-    def project(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
-        """(embeddings, inputs to the gates), each with a row of zeros behind for no word."""
-        x = np.concatenate([self.embed(t), np.zeros((1, 2 * DIM), np.float32)])
-        proj = x @ self.p["wx"] + self.p["bx"]
-        proj[-1] = 0
-        return x, proj
+    def project(self, t: Text) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(embeddings, inputs to the gates read forward and backward), each with a row of zeros behind for no word."""
+        x, h = np.concatenate([self.embed(t), np.zeros((1, 2 * DIM), np.float32)]), HIDDEN
+        cols = np.concatenate([np.arange(2 * k * h, (2 * k + 1) * h) for k in range(3)])
+        sides = tuple(x @ np.ascontiguousarray(self.p["wx"][:, c]) + self.p["bx"][c] for c in (cols, cols + h))
+        for side in sides:
+            side[-1] = 0
+        return x, sides
 
     def score(self, texts: list[str], rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(score of the highest window, number of windows) of each text."""
