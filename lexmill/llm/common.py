@@ -100,3 +100,12 @@ def env_threads() -> None:
     """Numeric libraries use one thread in a worker: Spark runs a task for each core."""
     for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(k, "1")
+
+
+#: Most bytes of a side that is sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows, at row_bytes each, stay under the limit; else as it is, for a shuffled join. df should be a written table: it is counted."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

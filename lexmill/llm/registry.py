@@ -10,6 +10,7 @@ from .audio import op1_audio_features
 from .language import op8_language_id
 from .pieces import op2_sentencepiece
 from .quality import op6_quality
+from .substrings import op5_substrings
 from .suffix_tree import op9_suffix_tree
 from .toxicity import op3_toxicity
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_audio_features": op1_audio_features,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_toxicity": op3_toxicity,
+        "op5_substrings": op5_substrings,
         "op6_quality": op6_quality,
         "op8_language_id": op8_language_id,
         "op9_suffix_tree": op9_suffix_tree,
