@@ -1,15 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Texts are sequences of words and one end mark; a word is spelled by its bytes and closed by a separator, so the model
-gives every sequence of words a probability. Contexts are the last bytes of the word so far, up to `depth` of them, and
-never reach over the beginning of a word. A context stays in the tree if its relative frequency is at least `p_min` and
-its next-symbol distribution diverges from that of its longest retained suffix: 2 * count * KL(own || suffix's) is over
-`divergence` times the number of its symbols. Distributions are smoothed with that of the suffix (Witten-Bell), the
-root with one added to each symbol. The longest retained suffix of what came before is the state that scores a byte.
-
-What is counted: every word of every training text, by a distributed aggregation whose rows grow with the corpus. What
-is sent around: the tree, of at most depth / p_min contexts whatever the size of the corpus, and the `hot` most frequent
-words. Counts of all other words are joined.
+Texts are sequences of words and one end mark. A word is spelled by its bytes and closed by a separator, and the end is a
+symbol of its own, so the model gives every sequence of words a probability. Contexts are the last bytes before a
+symbol, up to `depth` of them, over word boundaries but never into another text; before a text stand end marks. A context
+stays in the tree if its relative frequency is at least `p_min` and its next-symbol distribution diverges from that of
+its longest retained suffix: 2 * count * KL(own || suffix's) is over `divergence` times the number of its symbols.
+Distributions are smoothed with that of the suffix (Witten-Bell), the root with one added to each symbol. The longest
+retained suffix of what came before is the state that scores a symbol.
+
+What is counted: every word and every window of bytes of every training text, in the tasks first and then by a
+distributed aggregation whose rows grow with the corpus. What is sent around: the tree, of at most depth / p_min contexts
+whatever the size of the corpus, and the `hot` most frequent words. Counts of all other words are joined.
 
 Cases: null counts as an empty text, which is the end mark alone; texts are whole; ties among the most frequent words go
 to the smaller one; without training texts the counts are 0 and the smoothing still gives probabilities; repeated rows
@@ -28,17 +29,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Symbols: bytes 0..255 (0x20 never stands in a word and closes it), and 256, the end mark, only at a word's beginning.
-CLOSE, END, SYMBOLS = 32, 256, 257
-#: Distinct words of a task that are gathered before they are handed on.
-FLUSH_WORDS = 400_000
+#: No word has white space in it, so these two bytes close a word and a text.
+CLOSE, END, SYMBOLS = 32, 10, 256
+#: Distinct words, and windows of bytes, of a task that are gathered before they are handed on.
+FLUSH_WORDS, FLUSH_GRAMS = 400_000, 3_000_000
+#: Bytes of text worked on together, and how many places of them are scored side by side.
+GROUP_BYTES, LANES = 1 << 20, 2048
 
 
 @dataclass(frozen=True)
 class TreeSpec:
-    depth: int = 6
-    p_min: float = 1e-5
-    divergence: float = 4.0
+    depth: int = 5
+    p_min: float = 2e-6
+    divergence: float = 2.0
     hot: int = 200_000
 
 
@@ -75,36 +78,71 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return src.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(words: DataFrame, depth: int) -> DataFrame:
-    """ctx long, sym int, n long: how often each byte follows each window of the `depth` bytes before it, zeros before the word.
+def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as one run of symbols with `depth` end marks before each text; where texts begin behind those marks; their symbols."""
+    pad = bytes([END]) * depth
+    parts = [b" ".join(w) + b" \n" if w else b"\n" for w in texts]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.cumsum(size + depth) - size
+    return np.frombuffer(pad + pad.join(parts), np.uint8), begin, size
+
+
+def gram_counts(df: DataFrame, depth: int, text_col: str = "text") -> DataFrame:
+    """ctx long, sym int, n long: how often each symbol follows each window of the `depth` symbols before it.
 
-    ctx packs the window's bytes, the last in the lowest; the end mark follows the empty window.
+    ctx packs the window's bytes, the last in the lowest. Counted in each task first.
     """
+    src = df.select(F.col(f"`{text_col}`").alias("_text"))
     schema = pa.schema([("ctx", pa.int64()), ("sym", pa.int32()), ("n", pa.int64())])
 
+    def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(keys, return_inverse=True)
+        return key, np.bincount(at, weights=n).astype(np.int64)
+
     def run(batches):
+        keys, counts, held = [], [], 0
+
+        def flush():
+            key, n = summed(np.concatenate(keys), np.concatenate(counts))
+            for a in range(0, len(key), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part] >> 8), pa.array((key[part] & 255).astype(np.int32)), pa.array(n[part])], schema=schema)
+
         for batch in batches:
-            w, n = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            null = np.asarray(w.is_null())
-            if null.any():
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([END], pa.int32()), pa.array([int(n[null].sum())], pa.int64())], schema=schema)
-            some = [x for x in w.to_pylist() if x is not None]
-            if not some:
-                continue
-            n = n[~null]
-            size = np.fromiter(map(len, some), np.int64, len(some)) + 1
-            buf = np.frombuffer(b" ".join(some) + b" ", np.uint8).astype(np.int64)
-            age = np.arange(len(buf)) - np.repeat(np.cumsum(size) - size, size)
-            ctx = np.zeros(len(buf), np.int64)
-            for k in range(1, depth + 1):
-                before = np.concatenate([np.zeros(min(k, len(buf)), np.int64), buf[:-k]])
-                ctx |= np.where(age >= k, before, 0) << (8 * (k - 1))
-            # One value for window and byte, of depth + 1 bytes.
-            key, at = np.unique(ctx << 8 | buf, return_inverse=True)
-            total = np.bincount(at, weights=np.repeat(n, size).astype(np.float64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key >> 8, pa.int64()), pa.array((key & 255).astype(np.int32), pa.int32()), pa.array(total, pa.int64())], schema=schema)
-
-    return words.select("word", "n").mapInArrow(run, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+            for group in byte_groups(batch.column(0)):
+                buf, begin, size = stream(group, depth)
+                place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                code = buf[place].astype(np.int64)
+                for k in range(1, depth + 1):
+                    code |= buf[place - k].astype(np.int64) << (8 * k)
+                key, n = np.unique(code, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > FLUSH_GRAMS:
+                    key, n = summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [key], [n], len(key)
+                    if held > FLUSH_GRAMS // 2:
+                        yield from flush()
+                        keys, counts, held = [], [], 0
+        if keys:
+            yield from flush()
+
+    return src.mapInArrow(run, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+
+
+def byte_groups(texts: pa.Array):
+    """Split texts in lists of about GROUP_BYTES bytes."""
+    group, size = [], 0
+    for i in range(len(texts)):
+        t = texts[i].as_py()
+        group.append(split(t))
+        size += len(t or "")
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 class Tree:
@@ -113,10 +151,11 @@ class Tree:
     def __init__(self, levels: list[dict[int, dict[int, int]]], spec: TreeSpec = TreeSpec()):
         """levels[k]: window of k bytes -> symbol -> count, for the windows that are frequent enough."""
         self.depth = spec.depth
+        # dist holds all bytes; the white space that no text leaves in a word keeps its share of the added ones.
         root = np.ones(SYMBOLS)
         for s, n in levels[0].get(0, {}).items():
             root[s] += n
-        dist = {(0, 0): root / root.sum()}
+        dist = {(0, 0): (root / root.sum()).astype(np.float32)}
         kept = {(0, 0)}
         for k in range(1, spec.depth + 1):
             for ctx, follow in levels[k].items():
@@ -128,8 +167,8 @@ class Tree:
                 n = np.fromiter(follow.values(), np.float64, len(follow))
                 total = n.sum()
                 if 2 * (n * np.log(n / total / up[sym])).sum() > spec.divergence * len(n):
-                    own = up * (len(n) / (total + len(n)))
-                    own[sym] += n / (total + len(n))
+                    own = up * np.float32(len(n) / (total + len(n)))
+                    own[sym] += (n / (total + len(n))).astype(np.float32)
                     kept.add((k, ctx))
                     dist[(k, ctx)] = own
         # States also need what leads to a context: all its beginnings, with their longest retained suffix's distribution.
@@ -137,52 +176,54 @@ class Tree:
         for k, ctx in kept:
             states.update((k - i, ctx >> 8 * i) for i in range(1, k))
         order = sorted(states)
-        self.index = {x: i for i, x in enumerate(order)}
+        index = {x: i for i, x in enumerate(order)}
         self.contexts = len(kept)
-        self.log = np.empty((len(order), SYMBOLS), np.float32)
-        self.next = np.zeros((len(order), 256), np.int32)
-        for (k, ctx), i in self.index.items():
+        # Bytes that never follow anything in training are one class: they have the same probabilities and moves.
+        seen = sorted(levels[0].get(0, {}))
+        self.cls = np.full(256, len(seen), np.int64)
+        self.cls[seen] = np.arange(len(seen))
+        some = [*seen, next((b for b in range(256) if b not in levels[0].get(0, {})), 0)]
+        width = self.width = len(some)
+        log, move = np.empty((len(order), width), np.float32), np.zeros((len(order), width), np.int32)
+        for (k, ctx), i in index.items():
             j = k
             while (j, ctx & ((1 << 8 * j) - 1)) not in kept:
                 j -= 1
-            self.log[i] = np.log10(dist[(j, ctx & ((1 << 8 * j) - 1))])
+            log[i] = np.log10(dist[(j, ctx & ((1 << 8 * j) - 1))])[some]
         # A state's moves are its longest proper suffix's, but for the longer contexts that it leads to itself.
-        for (k, ctx), i in self.index.items():
+        ahead: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, ctx in order:
+            if k:
+                ahead.setdefault((k - 1, ctx >> 8), []).append((ctx & 255, index[(k, ctx)]))
+        for k, ctx in order:
+            i = index[(k, ctx)]
             if k:
                 j = k - 1
-                while (j, ctx & ((1 << 8 * j) - 1)) not in self.index:
+                while (j, ctx & ((1 << 8 * j) - 1)) not in index:
                     j -= 1
-                self.next[i] = self.next[self.index[(j, ctx & ((1 << 8 * j) - 1))]]
-            for b in range(1, 256):
-                to = self.index.get((k + 1, ctx << 8 | b)) if k < spec.depth else None
-                if to is not None:
-                    self.next[i, b] = to
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its separator: all words at once, a byte at a time."""
-        if not words:
-            return np.zeros(0)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-size, kind="stable")
-        buf = np.frombuffer(b"".join(words), np.uint8)
-        begin = (np.cumsum(size) - size)[order]
-        size = size[order]
-        total = np.zeros(len(words))
-        state = np.zeros(len(words), np.int32)
-        live = len(words)
-        for t in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -t, side="left"))
-            b = buf[begin[:live] + t]
-            total[:live] += self.log[state[:live], b]
-            state[:live] = self.next[state[:live], b]
-        total += self.log[state, CLOSE]
-        out = np.empty(len(words))
-        out[order] = total
-        return out
-
-    @property
-    def end(self) -> float:
-        return float(self.log[0, END])
+                move[i] = move[index[(j, ctx & ((1 << 8 * j) - 1))]]
+            for b, to in ahead.get((k, ctx), ()):
+                move[i, self.cls[b]] = to
+        self.log, self.move = log.ravel(), move.ravel()
+
+    def texts(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text, given as its words: many places of the run of all texts move side by side."""
+        d = self.depth
+        buf, begin, size = stream(texts, d)
+        code = self.cls[buf]
+        lanes = max(1, min(LANES, len(code) // 64))
+        per = -(-len(code) // lanes)
+        full = np.concatenate([np.full(d, self.cls[END]), code, np.full(per * lanes - len(code), self.cls[END])])
+        grid = np.lib.stride_tricks.as_strided(full, (lanes, per + d), (full.strides[0] * per, full.strides[0])).T.copy()
+        out = np.empty((per, lanes), np.float32)
+        state = np.zeros(lanes, np.int64)
+        for t in range(per + d):
+            at = state * self.width + grid[t]
+            if t >= d:
+                out[t - d] = self.log[at]
+            state = self.move[at].astype(np.int64)
+        total = np.concatenate([[0.0], np.cumsum(out.T.ravel()[: len(code)], dtype=np.float64)])
+        return total[begin + size] - total[begin]
 
 
 def build_tree(grams: DataFrame, spec: TreeSpec = TreeSpec()) -> Tree:
@@ -191,15 +232,10 @@ def build_tree(grams: DataFrame, spec: TreeSpec = TreeSpec()) -> Tree:
     least = max(2.0, spec.p_min * total)
     levels: list[dict[int, dict[int, int]]] = [{} for _ in range(spec.depth + 1)]
     for k in range(spec.depth + 1):
-        if k == 0:
-            level = grams.groupBy("sym").agg(F.sum("n").alias("n")).select(F.lit(0).cast("long").alias("ctx"), "sym", "n")
-        else:
-            # A window of k bytes is all within the word: its oldest byte is not 0.
-            own = F.col("ctx").bitwiseAND(F.lit((1 << 8 * k) - 1))
-            level = grams.where(F.shiftrightunsigned("ctx", 8 * (k - 1)).bitwiseAND(F.lit(255)) != 0).groupBy(own.alias("ctx"), "sym").agg(F.sum("n").alias("n"))
-            level = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("follow")).where(F.col("total") >= least).select("ctx", F.explode("follow").alias("f")).select("ctx", "f.sym", "f.n")
-        for r in level.toLocalIterator() if k == 0 else level.collect():
-            levels[k].setdefault(r["ctx"], {})[r["sym"]] = r["n"]
+        level = grams.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
+        often = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("follow")).where(F.col("total") >= least)  # 256 symbols at most
+        for r in often.select("ctx", "follow").collect():
+            levels[k][r["ctx"]] = {f["sym"]: f["n"] for f in r["follow"]}
     return Tree(levels, spec)
 
 
@@ -212,51 +248,43 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     vocab = common.written(word_counts(train, text_col), "words")
     n, v = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = build_tree(common.written(gram_counts(vocab, spec.depth), "grams"), spec)
+    tree = build_tree(common.written(gram_counts(train, spec.depth, text_col), "grams"), spec)
     top = vocab.where("word is not null").orderBy(F.desc("n"), "word").limit(spec.hot).collect()
     ends = vocab.where("word is null").select("n").first()
     ends = ends[0] if ends else 0
     floor = n + 1 * (v + 1)
     base = lambda c: float(np.log10((c + 1) / floor))
     hot_words = [bytes(r[0]) for r in top]
-    values = np.stack([np.log10((np.array([r[1] for r in top], np.float64) + 1) / floor), tree.words(hot_words)], axis=1) if top else np.zeros((0, 2))
-    shipped = spark.sparkContext.broadcast((hot_words, values, tree, base(ends), ends > 0, bool(top) and len(top) == spec.hot))
+    values = np.log10((np.array([r[1] for r in top], np.float64) + 1) / floor)
+    shipped = spark.sparkContext.broadcast((hot_words, values, tree, base(ends), ends > 0))
     src = common.ids_and_text(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        hot, values, tree, end_base, end_known, _ = shipped.value
+        hot, values, tree, end_base, end_known = shipped.value
         where = {w: i for i, w in enumerate(hot)}
-        table = np.concatenate([values, np.zeros((1, 2))])
-        none = len(hot)
+        table, none = np.append(values, 0.0), len(hot)
         for batch in batches:
-            ids, texts, rows = batch.column(0), batch.column(1), batch.column(2).to_numpy()
-            keys, per, rare = [], [], []
-            for i in range(batch.num_rows):
-                got = split(texts[i].as_py())
-                at = np.fromiter([where.get(w, none) for w in got], np.int64, len(got))
-                odd = Counter([w for w, k in zip(got, at.tolist()) if k == none]) if (at == none).any() else {}
-                s = table[at].sum(axis=0) if len(got) else np.zeros(2)
-                per.append((len(got) + 1, len(got) - int((at == none).sum()) + end_known, s[0] + end_base, s[1] + tree.end))
-                if odd:
-                    keys.append((i, list(odd), list(odd.values())))
-            words = list({w for _, ws, _ in keys for w in ws})
-            value = dict(zip(words, tree.words(words).tolist()))
-            own = np.array(per)
-            for i, ws, ns in keys:
-                own[i, 3] += sum(value[w] * c for w, c in zip(ws, ns))
-            size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows), pa.array(own[:, 0].astype(np.int64)), pa.array(own[:, 1].astype(np.int64)), pa.array(own[:, 2]), pa.array(own[:, 3]), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64))], names=OUT)
-            flat_w, flat_r, flat_n = [], [], []
-            for i, ws, ns in keys:
-                flat_w += ws
-                flat_n += ns
-                flat_r += [int(rows[i])] * len(ws)
-            for a in range(0, len(flat_w), 50_000):
-                part = slice(a, a + 50_000)
-                m = len(flat_w[part])
-                zero = pa.array(np.zeros(m, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.array(flat_r[part], pa.int64()), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array(flat_w[part], pa.binary()), pa.array(flat_n[part], pa.int64())], names=OUT)
+            ids, rows, at_row = batch.column(0), batch.column(2), 0
+            for group in byte_groups(batch.column(1)):
+                size = len(group)
+                score = tree.texts(group)
+                count = np.fromiter(map(len, group), np.int64, size)
+                flat = [w for g in group for w in g]
+                at = np.fromiter([where.get(w, none) for w in flat], np.int64, len(flat))
+                text = np.repeat(np.arange(size), count)
+                known = np.bincount(text, weights=at != none, minlength=size).astype(np.int64)
+                base = np.bincount(text, weights=table[at], minlength=size)
+                own_rows = rows.slice(at_row, size)
+                yield pa.RecordBatch.from_arrays([ids.slice(at_row, size), own_rows, pa.array(count + 1), pa.array(known + int(end_known)), pa.array(base + end_base), pa.array(score), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64))], names=OUT)
+                odd = np.flatnonzero(at == none)
+                rare = Counter(zip(text[odd].tolist(), [flat[i] for i in odd.tolist()]))
+                pairs, times = list(rare), list(rare.values())
+                for a in range(0, len(pairs), 50_000):
+                    part = pairs[a : a + 50_000]
+                    m, zero = len(part), pa.array(np.zeros(len(part), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64())], names=OUT)
+                at_row += size
 
     passed = common.written(src.mapInArrow(run, f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long"), "scored")
     rare = passed.where("word is not null").select("word", "_row", "times")

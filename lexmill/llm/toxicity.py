@@ -40,9 +40,27 @@ class Text:
 
 
 def inputs(texts: list[str]) -> Text:
+    """Made a group of texts at a time; buckets are kept as 16-bit numbers."""
+    parts, group, size = [], [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size >= GROUP_CHARS:
+            parts.append(_inputs(group))
+            group, size = [], 0
+    if group or not parts:
+        parts.append(_inputs(group))
+    if len(parts) == 1:
+        return parts[0]
+    words, grams = np.cumsum([0] + [len(p.word) for p in parts]), np.cumsum([0] + [len(p.gram) for p in parts])
+    first = np.concatenate([*(p.first[:-1] + w for p, w in zip(parts, words)), words[-1:]])
+    return Text(np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts]), np.concatenate([p.gram_at + g for p, g in zip(parts, grams)]), first)
+
+
+def _inputs(texts: list[str]) -> Text:
     w = tokens.words([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts], tokens.IS_BREAK)
     if not len(w.hash):
-        return Text(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), w.first)
+        return Text(np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int64), w.first)
     # Grams of up to four bytes that end at each byte of a word; at its beginning they are shorter.
     size = w.end - w.start
     at = np.concatenate([[0], np.cumsum(size)])
@@ -51,7 +69,7 @@ def inputs(texts: list[str]) -> Text:
     code = w.buf[pos].astype(np.uint64) + np.uint64(1)
     for k in (1, 2, 3):
         code |= np.where(age >= k, w.buf[np.maximum(pos - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * k)
-    return Text((w.hash >> _SHIFT).astype(np.int64), (tokens.mix(code) >> _SHIFT).astype(np.int64), at[:-1], w.first)
+    return Text((w.hash >> _SHIFT).astype(np.uint16), (tokens.mix(code) >> _SHIFT).astype(np.uint16), at[:-1], w.first)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,12 +202,21 @@ class Network:
             side[-1] = 0
         return x, sides
 
+    def logits(self, t: Text, a: int, b: int, rows: int = 1024) -> np.ndarray:
+        """Of all windows of texts a to b."""
+        lo, hi = t.first[a], t.first[b]
+        g_lo = t.gram_at[lo] if lo < len(t.gram_at) else len(t.gram)
+        g_hi = t.gram_at[hi] if hi < len(t.gram_at) else len(t.gram)
+        part = Text(t.word[lo:hi], t.gram[g_lo:g_hi], t.gram_at[lo:hi] - g_lo, t.first[a : b + 1] - lo)
+        _, proj = self.project(part)
+        begin, size, _ = windows(part.first)
+        return np.concatenate([self.forward(proj, begin[k : k + rows], size[k : k + rows]) for k in range(0, len(begin), rows)])
+
     def score(self, texts: list[str], rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(score of the highest window, number of windows) of each text."""
         t = inputs(texts)
-        _, proj = self.project(t)
-        begin, size, text = windows(t.first)
-        out = np.concatenate([self.forward(proj, begin[a : a + rows], size[a : a + rows]) for a in range(0, len(begin), rows)])
+        text = windows(t.first)[2]
+        out = self.logits(t, 0, len(texts), rows)
         at = np.searchsorted(text, np.arange(len(texts)))
         return 1 / (1 + np.exp(-np.maximum.reduceat(out, at).astype(np.float64))), np.bincount(text, minlength=len(texts))
 
@@ -221,8 +248,7 @@ def fit(rows: list[tuple[int, str]], epochs: int = 7, batch: int = 256, rate: fl
     for epoch in range(epochs):
         some = at[:-1] + (rng.random(len(rows)) * np.diff(at)).astype(np.int64)
         if epoch:
-            _, proj = net.project(t)
-            all_logits = np.concatenate([net.forward(proj, begin[a : a + 1024], size[a : a + 1024]) for a in range(0, len(begin), 1024)])
+            all_logits = np.concatenate([net.logits(t, a, min(a + 200, len(rows))) for a in range(0, len(rows), 200)])
             top = np.array([a + int(all_logits[a:b].argmax()) for a, b in zip(at[:-1], at[1:])])
             chosen = np.concatenate([top, some[y == 0]])
         else:
