@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
 from .language import op8_language_id
+from .neardup import op7_dartminhash
 from .pieces import op2_sentencepiece
 from .quality import op6_quality
 from .substrings import op5_substrings
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op5_substrings": op5_substrings,
         "op6_quality": op6_quality,
+        "op7_dartminhash": op7_dartminhash,
         "op8_language_id": op8_language_id,
         "op9_suffix_tree": op9_suffix_tree,
     }

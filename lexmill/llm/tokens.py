@@ -82,8 +82,8 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     pos = np.repeat(first[:-1] - at[:-1], many) + np.arange(at[-1])
     out = run[np.minimum(pos, len(run) - 1)] if len(run) else np.zeros(at[-1], np.uint64)
     for d in np.flatnonzero((count > 0) & (count < n)):
-        x = np.uint64(count[d])
-        for v in h[first[d] : first[d + 1]]:
-            x = x * RATIO + v
-        out[at[d]] = x
+        x = int(count[d])
+        for v in h[first[d] : first[d + 1]].tolist():
+            x = x * int(RATIO) + v & (1 << 64) - 1
+        out[at[d]] = np.uint64(x)
     return mix(out), at
