@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import op1_audio_features
+from .decontaminate import op10_simhash
 from .language import op8_language_id
 from .neardup import op7_dartminhash
 from .pieces import op2_sentencepiece
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_dartminhash": op7_dartminhash,
         "op8_language_id": op8_language_id,
         "op9_suffix_tree": op9_suffix_tree,
+        "op10_simhash": op10_simhash,
     }
 
 
