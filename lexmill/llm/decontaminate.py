@@ -28,9 +28,14 @@ RADIUS = 23
 LANES = 0x0001000100010001
 
 
+def once(c: Column) -> Column:
+    """c, marked as depending on the task: the optimizer then neither copies it into the expressions that use it, which would compute it again for each element of an array, nor pushes a filter through it."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def word_hashes(text: str) -> Column:
     words = F.array_remove(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return once(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def shingle_array(words: str, g: int) -> Column:
@@ -45,7 +50,7 @@ def shingle_array(words: str, g: int) -> Column:
 def _shingled(df: DataFrame, id_col: str, text_col: str, g: int) -> DataFrame:
     """_id, sh array<long> for rows that have a shingle."""
     words = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").select("_id", word_hashes("_text").alias("_w"))
-    return words.select("_id", shingle_array("_w", g).alias("sh"))
+    return words.select("_id", once(shingle_array("_w", g)).alias("sh"))
 
 
 def fingerprints(rows: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
@@ -84,9 +89,9 @@ def _of_length(docs: DataFrame, items: DataFrame, g: int, id_col: str, text_col:
     own = _shingled(docs.join(ids.select(F.col("_id").alias("_own_id")), docs[id_col] == F.col("_own_id"), "left_semi"), id_col, text_col, g)
     window = own.join(spots, "_id").select("_id", "start", "len", F.explode(F.slice("sh", F.col("start") + 1, F.col("len"))).alias("h"))
     window = common.written(window.groupBy("_id", "start", "len", "h").agg(F.count(F.lit(1)).alias("w")), "window-shingles")
-    fp = fingerprints(window, ["_id", "start", "len"], "h", "w")
+    fp = common.written(fingerprints(window, ["_id", "start", "len"], "h", "w"), "fingerprints")
     item_w = common.written(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("iw")), "item-weights")
-    item_fp = fingerprints(item_w, ["item"], "h", "iw").select("item", F.col("_n").alias("item_n"), F.col("fp").alias("item_fp")).join(size, "item")
+    item_fp = common.written(fingerprints(item_w, ["item"], "h", "iw"), "item-fingerprints").select("item", F.col("_n").alias("item_n"), F.col("fp").alias("item_fp")).join(size, "item")
     index = item_fp.select("item", "item_n", "item_fp", "len", F.explode(blocks("item_fp")).alias("b")).select("*", F.explode(turned()).alias("mask"))
     index = common.sent_if_small(common.written(index.select("item", "item_n", "item_fp", "len", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")), "index"), 64)
     asked = fp.select("_id", "start", "len", "_n", "fp", F.explode(blocks("fp")).alias("b")).select("_id", "start", "len", "_n", "fp", "b.block", "b.value")
