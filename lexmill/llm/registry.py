@@ -10,6 +10,7 @@ from .audio import op1_audio_features
 from .decontaminate import op10_simhash
 from .language import op8_language_id
 from .neardup import op7_dartminhash
+from .pages import op4_main_text
 from .pieces import op2_sentencepiece
 from .quality import op6_quality
 from .substrings import op5_substrings
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_audio_features": op1_audio_features,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_toxicity": op3_toxicity,
+        "op4_main_text": op4_main_text,
         "op5_substrings": op5_substrings,
         "op6_quality": op6_quality,
         "op7_dartminhash": op7_dartminhash,
