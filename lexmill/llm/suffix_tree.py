@@ -42,7 +42,7 @@ class TreeSpec:
     depth: int = 5
     p_min: float = 2e-6
     divergence: float = 2.0
-    hot: int = 200_000
+    hot: int = 100_000
 
 
 def split(text: str | None) -> list[bytes]:
@@ -145,26 +145,42 @@ def byte_groups(texts: pa.Array):
         yield group
 
 
+@dataclass
+class Level:
+    """Windows of one length: ctx, and for window i the symbols sym[at[i]:at[i + 1]] with their counts n."""
+
+    ctx: np.ndarray
+    at: np.ndarray
+    sym: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Level:
+        ctx, sym, n = (rows.column(c).to_numpy() for c in ("ctx", "sym", "n"))
+        order = np.lexsort((sym, ctx))
+        own, at = np.unique(ctx[order], return_index=True)
+        return cls(own, np.append(at, len(ctx)), sym[order].astype(np.int64), n[order])
+
+
 class Tree:
     """Automaton of the retained contexts: next_state[state, byte] and log10 probability[state, symbol]."""
 
-    def __init__(self, levels: list[dict[int, dict[int, int]]], spec: TreeSpec = TreeSpec()):
-        """levels[k]: window of k bytes -> symbol -> count, for the windows that are frequent enough."""
+    def __init__(self, levels: list[Level], spec: TreeSpec = TreeSpec()):
+        """levels[k]: windows of k bytes that are frequent enough, with what follows them."""
         self.depth = spec.depth
         # dist holds all bytes; the white space that no text leaves in a word keeps its share of the added ones.
         root = np.ones(SYMBOLS)
-        for s, n in levels[0].get(0, {}).items():
-            root[s] += n
+        np.add.at(root, levels[0].sym, levels[0].n)
         dist = {(0, 0): (root / root.sum()).astype(np.float32)}
         kept = {(0, 0)}
         for k in range(1, spec.depth + 1):
-            for ctx, follow in levels[k].items():
+            level = levels[k]
+            for ctx, a, b in zip(level.ctx.tolist(), level.at[:-1].tolist(), level.at[1:].tolist()):
                 j = k - 1
                 while (j, ctx & ((1 << 8 * j) - 1)) not in kept:
                     j -= 1
                 up = dist[(j, ctx & ((1 << 8 * j) - 1))]
-                sym = np.fromiter(follow.keys(), np.int64, len(follow))
-                n = np.fromiter(follow.values(), np.float64, len(follow))
+                sym, n = level.sym[a:b], level.n[a:b].astype(np.float64)
                 total = n.sum()
                 if 2 * (n * np.log(n / total / up[sym])).sum() > spec.divergence * len(n):
                     own = up * np.float32(len(n) / (total + len(n)))
@@ -179,10 +195,10 @@ class Tree:
         index = {x: i for i, x in enumerate(order)}
         self.contexts = len(kept)
         # Bytes that never follow anything in training are one class: they have the same probabilities and moves.
-        seen = sorted(levels[0].get(0, {}))
+        seen = sorted(set(levels[0].sym.tolist()))
         self.cls = np.full(256, len(seen), np.int64)
         self.cls[seen] = np.arange(len(seen))
-        some = [*seen, next((b for b in range(256) if b not in levels[0].get(0, {})), 0)]
+        some = [*seen, next((b for b in range(256) if b not in set(seen)), 0)]
         width = self.width = len(some)
         log, move = np.empty((len(order), width), np.float32), np.zeros((len(order), width), np.int32)
         for (k, ctx), i in index.items():
@@ -230,12 +246,11 @@ def build_tree(grams: DataFrame, spec: TreeSpec = TreeSpec()) -> Tree:
     """Levels from the deepest to the root; only windows of relative frequency p_min or more come to the driver, at most 1 / p_min a level."""
     total = grams.agg(F.sum("n")).first()[0] or 0
     least = max(2.0, spec.p_min * total)
-    levels: list[dict[int, dict[int, int]]] = [{} for _ in range(spec.depth + 1)]
+    levels = []
     for k in range(spec.depth + 1):
         level = grams.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
         often = level.groupBy("ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("follow")).where(F.col("total") >= least)  # 256 symbols at most
-        for r in often.select("ctx", "follow").collect():
-            levels[k][r["ctx"]] = {f["sym"]: f["n"] for f in r["follow"]}
+        levels.append(Level.of(often.select("ctx", F.explode("follow").alias("f")).select("ctx", "f.sym", "f.n").toArrow()))
     return Tree(levels, spec)
 
 
@@ -249,20 +264,20 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     vocab = common.written(word_counts(train, text_col), "words")
     n, v = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tree = build_tree(common.written(gram_counts(train, spec.depth, text_col), "grams"), spec)
-    top = vocab.where("word is not null").orderBy(F.desc("n"), "word").limit(spec.hot).collect()
+    top = vocab.where("word is not null").orderBy(F.desc("n"), "word").limit(spec.hot).toArrow()
     ends = vocab.where("word is null").select("n").first()
     ends = ends[0] if ends else 0
     floor = n + 1 * (v + 1)
     base = lambda c: float(np.log10((c + 1) / floor))
-    hot_words = [bytes(r[0]) for r in top]
-    values = np.log10((np.array([r[1] for r in top], np.float64) + 1) / floor)
-    shipped = spark.sparkContext.broadcast((hot_words, values, tree, base(ends), ends > 0))
+    values = np.log10((top.column("n").to_numpy().astype(np.float64) + 1) / floor)
+    shipped = spark.sparkContext.broadcast((top.column("word").combine_chunks(), values, tree, base(ends), ends > 0))
+    del top
     src = common.ids_and_text(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
         hot, values, tree, end_base, end_known = shipped.value
-        where = {w: i for i, w in enumerate(hot)}
+        where = {w: i for i, w in enumerate(hot.to_pylist())}
         table, none = np.append(values, 0.0), len(hot)
         for batch in batches:
             ids, rows, at_row = batch.column(0), batch.column(2), 0
