@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import text_queries  # noqa: F401
+from . import stat_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
