@@ -149,7 +149,7 @@ def rows(spark, schema: str, values: list[tuple]) -> DataFrame:
 
 
 def values_sql(cols: str, values: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in values)}) AS t({cols})"
 
 
