@@ -70,7 +70,7 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
     line = raw.select("file", "sent", F.posexplode(F.split("block", "\n")).alias("line", "text")).where(~F.col("text").startswith("#") & (F.trim("text") != ""))
     c = line.select("file", "sent", F.split("text", "\t").alias("c"))
     r = c.select("file", "sent", *[F.get("c", F.lit(k)).alias(n) for k, n in ((0, "id"), (1, "form"), (2, "lemma"), (3, "upos"), (5, "feats"))])
-    spans = r.where(F.col("id").rlike("^\\d+-\\d+$")).select("file", "sent", F.explode(F.sequence(F.split("id", "-")[0].cast("int"), F.split("id", "-")[1].cast("int"))).cast("string").alias("id"))
+    spans = r.where(F.col("id").rlike("^\\d+-\\d+$")).select("file", "sent", F.explode(F.sequence(F.split("id", "-")[0].cast("int"), F.split("id", "-")[1].cast("int")).cast("array<string>")).alias("id"))
     return r.where(F.col("id").rlike("^\\d+$")).join(spans, ["file", "sent", "id"], "left_anti").withColumn("id", F.col("id").cast("int"))
 
 
