@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from . import morph_queries, run_queries, set_queries, stat_queries, text_queries  # noqa: F401
+from . import grammar_queries, morph_queries, run_queries, set_queries, stat_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
