@@ -77,9 +77,11 @@ class Model:
 
     def likelihood(self, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log likelihood of each word (rows) in each language; half of it from trigrams, the rest from shorter grams."""
+        if not len(starts):
+            return np.zeros((0, len(self.langs)), np.float32)
         g1, g2, g3 = grams(code)
         per = np.log(np.float32(0.6) * self.three[g3] + np.float32(0.3) * self.two[g2] + np.float32(0.1) * self.one[g1])
-        return np.add.reduceat(per, starts, axis=0) if len(starts) else np.zeros((0, len(self.langs)), np.float32)
+        return np.add.reduceat(per, starts, axis=0)
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -91,17 +93,19 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         own = [t for x, t in rows if x == lang]
         counts = [np.zeros(n) for _ in range(3)]
         total = 0
+        before1, before2 = np.zeros(n), np.zeros(n)
+        ctx1: dict[int, int] = {}
+        ctx2: dict[int, int] = {}
         for at in range(0, len(own), 500):
             code, _, _ = letter_runs(own[at : at + 500])
+            if not len(code):
+                continue
             g1, g2, g3 = grams(code)
             # What comes before: the pair's bucket of the place before, and the single one's.
             c1, c2 = np.concatenate([[0], g1[:-1]]).astype(np.int64), np.concatenate([[0], g2[:-1]]).astype(np.int64)
             for c, g in zip(counts, (g1, g2, g3)):
                 c += np.bincount(g.astype(np.int64), minlength=n)
             total += len(code)
-            if at == 0:
-                before1, before2 = np.zeros(n), np.zeros(n)
-                ctx1, ctx2 = {}, {}
             before1 += np.bincount(c1, minlength=n)
             before2 += np.bincount(c2, minlength=n)
             ctx1.update(zip(g2.tolist(), c1.tolist()))
