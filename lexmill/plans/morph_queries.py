@@ -43,11 +43,57 @@ def he_binyan(spark, sf_dir):
 HE_NOUNS = [("ילדים",), ("בנות",), ("יומיים",), ("ילדה",), ("ספר",), ("מלכות",)]
 
 
-@query("he_nominal", f"SELECT w, CASE WHEN w LIKE '%יים' THEN 'DU' WHEN w LIKE '%ים' OR w LIKE '%ות' THEN 'PL' ELSE 'SG' END AS num, CASE WHEN w LIKE '%ות' OR w LIKE '%ה' OR w LIKE '%ת' THEN 'F' ELSE 'M' END AS gender FROM {values_sql('w', HE_NOUNS)}")
+@query("he_nominal", f"SELECT w, CASE WHEN w LIKE '%יים' THEN 'DU' WHEN w LIKE '%ים' OR w LIKE '%ות' THEN 'PL' ELSE 'SG' END AS num, CASE WHEN w LIKE '%יים' THEN NULL WHEN w LIKE '%ים' THEN 'M' WHEN w LIKE '%ה' OR w LIKE '%ת' THEN 'F' ELSE 'M' END AS gender FROM {values_sql('w', HE_NOUNS)}")
 def he_nominal(spark, sf_dir):
     w = F.col("w")
     num = F.when(w.endswith("יים"), "DU").when(w.endswith("ים") | w.endswith("ות"), "PL").otherwise("SG")
-    return rows(spark, "w string", HE_NOUNS).select("w", num.alias("num"), F.when(w.endswith("ות") | w.endswith("ה") | w.endswith("ת"), "F").otherwise("M").alias("gender"))
+    return rows(spark, "w string", HE_NOUNS).select("w", num.alias("num"), F.when(w.endswith("יים"), None).when(w.endswith("ים"), "M").when(w.endswith("ה") | w.endswith("ת"), "F").otherwise("M").alias("gender"))
+
+
+HE_VERBS = [("לכתוב",), ("אכתוב",), ("נכתוב",), ("תכתבו",), ("יכתוב",), ("תכתבנה",), ("כתבתי",), ("כתבנו",), ("כתבתם",), ("כתבתן",), ("כתבת",), ("כתבו",), ("כתבה",), ("כתב",)]
+# Endings of the past with person, number and gender, in order.
+HE_PAST = [("תי", "1", "SG", ""), ("נו", "1", "PL", ""), ("תם", "2", "PL", "M"), ("תן", "2", "PL", "F"), ("ת", "2", "SG", ""), ("ו", "3", "PL", ""), ("ה", "3", "SG", "F")]
+# Prefixes of the future with person and number.
+HE_FUTURE = [("א", "1", "SG"), ("נ", "1", "PL"), ("ת", "2", ""), ("י", "3", "")]
+
+
+def he_verb_expr(w: Column) -> Column:
+    """tense:person:number:gender of an unpointed verb: infinitive, future by its prefix, past by its ending."""
+    n = F.length(w)
+    out = F.when(w.startswith("ל") & (n >= 3), "INF:::")
+    for p, person, num in HE_FUTURE:
+        future = F.when(w.endswith("ו"), f"FUT:{person}:PL:").when(w.endswith("נה"), f"FUT:{person}:PL:F").otherwise(f"FUT:{person}:{num}:")
+        out = out.when(w.startswith(p) & (n >= 4), future)
+    for e, person, num, gender in HE_PAST:
+        out = out.when(w.endswith(e) & (n >= len(e) + 2), f"PAST:{person}:{num}:{gender}")
+    return out.otherwise("PAST:3:SG:M")
+
+
+_HE_FUT_SQL = " ".join(f"WHEN w[1] = '{p}' AND length(w) >= 4 THEN CASE WHEN ends_with(w, 'ו') THEN 'FUT:{person}:PL:' WHEN ends_with(w, 'נה') THEN 'FUT:{person}:PL:F' ELSE 'FUT:{person}:{num}:' END" for p, person, num in HE_FUTURE)
+_HE_PAST_SQL = " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {len(e) + 2} THEN 'PAST:{person}:{num}:{gender}'" for e, person, num, gender in HE_PAST)
+
+
+@query("he_verb", f"SELECT w, CASE WHEN w[1] = 'ל' AND length(w) >= 3 THEN 'INF:::' {_HE_FUT_SQL} {_HE_PAST_SQL} ELSE 'PAST:3:SG:M' END AS tags FROM {values_sql('w', HE_VERBS)}")
+def he_verb(spark, sf_dir):
+    return rows(spark, "w string", HE_VERBS).select("w", he_verb_expr(F.col("w")).alias("tags"))
+
+
+# Endings taken off before the root's letters are read, in order.
+HE_ENDINGS = "יים ות ים תי נו תם תן ית ה ת ו י ם ן".split()
+HE_ROOTED = [("התקרב", "HITPAEL"), ("הגיש", "HIFIL"), ("נסגר", "NIFAL"), ("מבקש", "PIEL"), ("כתבתי", "PAAL"), ("ילדים", "NONE"), ("בא", "PAAL")]
+
+
+def he_root_expr(stem: Column, binyan: Column) -> Column:
+    """The root's letters: the pattern's prefix, one ending and the vowel letters go, if enough is left."""
+    s = F.when(binyan == "HITPAEL", F.regexp_replace(stem, "^(הת|מת|השת|הצט|הזד|הסת)", "")).when(binyan.isin("HIFIL", "HUFAL"), F.regexp_replace(stem, "^[המ]", "")).when(binyan == "NIFAL", F.regexp_replace(stem, "^נ", "")).when(binyan.isin("PUAL", "PIEL"), F.regexp_replace(stem, "^מ", "")).otherwise(stem)
+    s = F.regexp_replace(s, "^(..+?)(" + "|".join(HE_ENDINGS) + ")$", "$1")
+    core = F.regexp_replace(s, "[אהוי]", "")
+    return F.when(F.length(core) >= 2, core).otherwise(s)
+
+
+@query("he_root", f"SELECT w, binyan, root FROM {values_sql('w, binyan, root', [('התקרב', 'HITPAEL', 'קרב'), ('הגיש', 'HIFIL', 'גש'), ('נסגר', 'NIFAL', 'סגר'), ('מבקש', 'PIEL', 'בקש'), ('כתבתי', 'PAAL', 'כתב'), ('ילדים', 'NONE', 'לד'), ('בא', 'PAAL', 'בא')])}")
+def he_root(spark, sf_dir):
+    return rows(spark, "w string, binyan string", HE_ROOTED).select("w", "binyan", he_root_expr(F.col("w"), F.col("binyan")).alias("root"))
 
 
 ZH_TOKENS = [(1, 0, "一"), (1, 1, "只"), (1, 2, "猫"), (2, 0, "我"), (2, 1, "把"), (2, 2, "书"), (2, 3, "读"), (3, 0, "我"), (3, 1, "在"), (3, 2, "学习"), (4, 0, "他们"), (4, 1, "吃了"), (4, 2, "看看"), (4, 3, "第一"), (5, 0, "只"), (5, 1, "我"), (5, 2, "在"), (5, 3, "家")]
