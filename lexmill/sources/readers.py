@@ -78,7 +78,7 @@ def unihan_radicals(spark: SparkSession, path: str) -> DataFrame:
     """char, radical from Unihan's kRSUnicode lines."""
     d = spark.read.option("sep", "\t").schema("code string, field string, value string").csv(path).where("field = 'kRSUnicode'")
     code = F.conv(F.substring("code", 3, 8), 16, 10).cast("int")
-    utf = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+    utf = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")
     return d.select(utf.alias("char"), F.regexp_extract("value", "^(\\d+)", 1).cast("int").alias("radical"))
 
 
