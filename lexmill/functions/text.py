@@ -9,8 +9,8 @@ from ..lexicon.affixes import EDGE
 
 #: Marks that end a sentence.
 TERMINATORS = ".!?。！？"
-#: Regular expression for a run of the edge marks, in Java and RE2 alike.
-EDGE_CLASS = "[.,!?;:\"'()\\[\\]{}—–\\-]+"
+# Punctuation at the edges of words, beside that of ASCII; as a class in Java's and RE2's syntax alike.
+EDGE_CLASS = "[!-/:-@\\[-`{-~،؛؟…«»“”‘’—–·。！？；：、（）「」]+"
 HAN = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]"
 HEBREW = "[\\x{05D0}-\\x{05EA}]"
 ARABIC = "[\\x{0600}-\\x{06FF}]"

@@ -103,12 +103,12 @@ def question_context(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"]).where("text is not null and answer is not null").select("conv_id", "turn", F.left(F.concat_ws(" [SEP] ", "text", "answer"), F.lit(80)).alias("joined"))
 
 
-SPLIT_TEXTS = [(1, "我吃饭。你呢？他不来！"), (2, "我去；你留…"), (3, "没有句号")]
+SPLIT_TEXTS = [(1, "我吃饭。你呢？他不来！"), (2, "我去；你留…"), (3, "没有句号"), (4, "好. 行!")]
 
 
-@query("zh_split", f"SELECT id, len(list_filter(string_split(regexp_replace(t, '([。！？；…])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n FROM {values_sql('id, t', SPLIT_TEXTS)}")
+@query("zh_split", f"SELECT id, len(list_filter(string_split(regexp_replace(t, '([。！？；….!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n FROM {values_sql('id, t', SPLIT_TEXTS)}")
 def zh_split(spark, sf_dir):
-    parts = F.filter(F.split("t", "(?<=[。！？；…])"), lambda x: x != "")
+    parts = F.filter(F.split("t", "(?<=[。！？；….!?;])"), lambda x: x != "")
     return rows(spark, "id int, t string", SPLIT_TEXTS).select("id", F.size(parts).cast("long").alias("n"))
 
 

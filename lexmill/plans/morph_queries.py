@@ -108,14 +108,14 @@ def zh_inflection(spark, sf_dir):
 
 @query(
     "zh_disambiguate",
-    "SELECT sent, pos, w, CASE WHEN w = '只' THEN CASE WHEN prev IN ('一', '两', '三', '几', '这', '那') THEN 'CLF' ELSE 'ADV' END WHEN w = '把' THEN CASE WHEN prev IN ('一', '两', '三', '几', '这', '那') THEN 'CLF' ELSE 'ADP' END WHEN w = '在' THEN CASE WHEN next IN ('学习', '吃', '看', '读') THEN 'ADV' ELSE 'ADP' END ELSE 'X' END AS reading "
+    "SELECT sent, pos, w, CASE WHEN w = '只' THEN CASE WHEN prev IN ('一', '两', '三', '几') THEN 'CLF' ELSE 'ADV' END WHEN w = '把' THEN CASE WHEN prev IN ('一', '两', '三', '几') THEN 'CLF' ELSE 'ADP' END WHEN w = '在' THEN CASE WHEN next IN ('学习', '吃', '看', '读') THEN 'ADV' ELSE 'ADP' END ELSE 'X' END AS reading "
     f"FROM (SELECT *, lag(w) OVER (PARTITION BY sent ORDER BY pos) AS prev, lead(w) OVER (PARTITION BY sent ORDER BY pos) AS next FROM {values_sql('sent, pos, w', ZH_TOKENS)})",
 )
 def zh_disambiguate(spark, sf_dir):
     """Readings by the neighbours' surfaces, which no rule rewrites, so a window is as good as a fold."""
     o = Window.partitionBy("sent").orderBy("pos")
     r = rows(spark, "sent int, pos int, w string", ZH_TOKENS).withColumn("prev", F.lag("w").over(o)).withColumn("next", F.lead("w").over(o))
-    counted = F.coalesce(F.col("prev").isin("一", "两", "三", "几", "这", "那"), F.lit(False))
+    counted = F.coalesce(F.col("prev").isin("一", "两", "三", "几"), F.lit(False))
     act = F.coalesce(F.col("next").isin("学习", "吃", "看", "读"), F.lit(False))
     x = F.when(F.col("w") == "只", F.when(counted, "CLF").otherwise("ADV")).when(F.col("w") == "把", F.when(counted, "CLF").otherwise("ADP")).when(F.col("w") == "在", F.when(act, "ADV").otherwise("ADP")).otherwise("X")
     return r.select("sent", "pos", "w", x.alias("reading"))

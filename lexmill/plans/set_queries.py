@@ -264,8 +264,10 @@ def tag_filter(spark, sf_dir):
     return r.select("pos", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("kept"))
 
 
-COARSE = [("NOUN", "NOUN"), ("PROPN", "NOUN"), ("VERB", "VERB"), ("AUX", "VERB"), ("ADJ", "ADJ"), ("ADV", "ADV"), ("PREP", "ADP"), ("ADP", "ADP"), ("PRON", "PRON"), ("DET", "DET"), ("CONJ", "CONJ"), ("CCONJ", "CONJ"), ("SCONJ", "CONJ")]
-TAGGED = [(1, "PROPN"), (2, "AUX"), (3, "PART"), (4, "SCONJ"), (5, None)]
+# Coarse classes of tags.
+_COARSE = "NOUN:NOMINAL PROPN:NOMINAL NOM:NOMINAL NOUN_PROP:NOMINAL NOUN_NUM:NUM ADJ:ADJ ADJ_COMP:ADJ VERB:VERB VERB_PSEUDO:VERB AUX:VERB ADV:ADV ADP:ADP PREP:ADP PART:PART PRON:PRON DET:DET NUM:NUM CONJ:CONJ CCONJ:CONJ SCONJ:CONJ CONJ_SUB:CONJ PUNCT:PUNCT CLF:PART"
+COARSE = [tuple(x.split(":")) for x in _COARSE.split()]
+TAGGED = [(1, "PROPN"), (2, "AUX"), (3, "X"), (4, "SCONJ"), (5, None)]
 
 
 @query("coarse_pos", f"SELECT id, coalesce(c, 'OTHER') AS coarse FROM {values_sql('id, pos', TAGGED)} LEFT JOIN (SELECT * FROM {values_sql('p, c', COARSE)}) ON pos = p")

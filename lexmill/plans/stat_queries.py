@@ -89,12 +89,14 @@ def zipf_exponent(spark, sf_dir):
 
 @query(
     "zipf_verdict",
-    f"WITH {SEG_SQL}, c AS (SELECT tag, count(*) AS cnt FROM seg GROUP BY tag), s AS (SELECT max(cnt) / sum(cnt) AS top_share, count(*) AS k FROM c) "
-    "SELECT round(top_share, 6) AS top_share, k AS distinct_bundles, CASE WHEN k < 5 THEN 'too few' WHEN top_share > 0.5 THEN 'dominated' WHEN top_share > 0.2 THEN 'skewed' ELSE 'spread' END AS verdict FROM s",
+    f"WITH {SEG_SQL}, f AS (SELECT tag AS w, count(*) AS cnt FROM seg GROUP BY tag), {_ZIPF}, s AS (SELECT max(cnt) / sum(cnt) AS top_share, count(*) AS k FROM f), z AS (SELECT CASE WHEN count(*) >= 5 THEN -regr_slope(log10(cnt), log10(rank)) END AS alpha FROM top) "
+    "SELECT round(top_share, 6) AS top_share, k AS distinct_bundles, CASE WHEN alpha IS NULL THEN 'too few' WHEN top_share > 0.6 THEN 'dominated' WHEN alpha < 0.5 THEN 'flat' WHEN alpha BETWEEN 0.7 AND 2.2 THEN 'healthy' WHEN alpha > 2.2 THEN 'steep' ELSE 'borderline' END AS verdict FROM s, z",
 )
 def zipf_verdict(spark, sf_dir):
-    s = stats.freq(segmented(spark, sf_dir), "tag").agg((F.max("cnt") / F.sum("cnt")).alias("s"), F.count(F.lit(1)).alias("k"))
-    v = F.when(F.col("k") < 5, "too few").when(F.col("s") > 0.5, "dominated").when(F.col("s") > 0.2, "skewed").otherwise("spread")
+    f = stats.freq(segmented(spark, sf_dir), "tag")
+    s = f.agg((F.max("cnt") / F.sum("cnt")).alias("s"), F.count(F.lit(1)).alias("k")).join(F.broadcast(stats.zipf(f, ["tag"]).select("alpha")))
+    a = F.col("alpha")
+    v = F.when(F.isnan(a), "too few").when(F.col("s") > 0.6, "dominated").when(a < 0.5, "flat").when(a.between(0.7, 2.2), "healthy").when(a > 2.2, "steep").otherwise("borderline")
     return s.select(F.round("s", 6).alias("top_share"), F.col("k").alias("distinct_bundles"), v.alias("verdict"))
 
 
@@ -254,45 +256,47 @@ def lookahead_frame(spark, sf_dir):
 
 
 def en_inflection_expr(w):
-    """First fitting ending in order: (lemma, kind). A doubled final consonant before -ing and -ed is undone."""
-    doubled = lambda s: F.when(F.length(s) > 3, F.regexp_replace(s, "([bdfgmnprt])\\1$", "$1")).otherwise(s)
-    cut = lambda n: F.substr(w, F.lit(1), F.length(w) - n)
+    # First fitting ending in order: (lemma, tags). Without a word list every stem counts as a word, so a stem is changed
+    # only by its shape: a doubled final consonant before -ing and -ed is undone; else a stem that ends in one consonant
+    # behind one vowel gets a silent e. Comparatives need a list of adjectives and stay whole here.
     n = F.length(w)
+    cut = lambda k: F.substr(w, F.lit(1), F.length(w) - k)
+
+    def verb_stem(s):
+        doubled = s.rlike("([^aeiou])\\1$") & (F.length(s) >= 3)
+        return F.when(doubled, F.substr(s, F.lit(1), F.length(s) - 1)).when(s.rlike("[^aeiou][aeiou][^aeiouwyxkhqj]$"), F.concat(s, F.lit("e"))).otherwise(s)
+
     rules = [
-        (w.endswith("'s"), cut(2), "POSS"),
-        (w.endswith("ing") & (n > 5), doubled(cut(3)), "PROG"),
-        (w.endswith("ied") & (n > 4), F.concat(cut(3), F.lit("y")), "PAST"),
-        (w.endswith("ed") & (n > 4), doubled(cut(2)), "PAST"),
-        (w.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")), "PL"),
-        (w.rlike("(s|x|z|ch|sh)es$") & (n > 4), cut(2), "PL"),
-        (w.endswith("s") & ~w.rlike("(ss|us|is)$") & (n > 3), cut(1), "PL"),
-        (w.endswith("iest") & (n > 5), F.concat(cut(4), F.lit("y")), "SUPER"),
-        (w.endswith("est") & (n > 5), doubled(cut(3)), "SUPER"),
-        (w.endswith("ier") & (n > 4), F.concat(cut(3), F.lit("y")), "COMP"),
-        (w.endswith("er") & (n > 4), doubled(cut(2)), "COMP"),
+        (w.endswith("'s"), cut(2), "poss=YES"),
+        (w.endswith("ing") & (n > 5), verb_stem(cut(3)), "aspect=PROG|tense=PRES"),
+        (w.endswith("ied") & (n > 4), F.concat(cut(3), F.lit("y")), "tense=PAST"),
+        (w.endswith("ed") & (n > 3), verb_stem(cut(2)), "tense=PAST"),
+        (w.endswith("ies") & (n > 3), F.concat(cut(3), F.lit("y")), "num=PL"),
+        (w.endswith("es") & (n > 3), cut(2), "num=PL"),
+        (w.endswith("s") & (n > 3) & ~w.rlike("(ss|ous)$"), cut(1), "num=PL"),
     ]
     lemma = kind = None
     for cond, value, k in rules:
         lemma = F.when(cond, value) if lemma is None else lemma.when(cond, value)
         kind = F.when(cond, k) if kind is None else kind.when(cond, k)
-    return lemma.otherwise(w), kind.otherwise("BASE")
+    return lemma.otherwise(w), kind.otherwise("")
 
 
-_DBL = lambda s: f"CASE WHEN length({s}) > 3 AND regexp_matches({s}, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN substr({s}, 1, length({s}) - 1) ELSE {s} END"
+_DOUBLE = "(" + "|".join(c + c for c in "bcdfghjklmnpqrstvwxyz") + ")$"
 _CUT = lambda n: f"substr(w, 1, length(w) - {n})"
+_STEM = lambda s: f"CASE WHEN length({s}) >= 3 AND regexp_matches({s}, '{_DOUBLE}') THEN substr({s}, 1, length({s}) - 1) WHEN regexp_matches({s}, '[^aeiou][aeiou][^aeiouwyxkhqj]$') THEN {s} || 'e' ELSE {s} END"
 _EN_RULES = [
-    ("ends_with(w, '''s')", _CUT(2), "POSS"), ("ends_with(w, 'ing') AND length(w) > 5", _DBL(_CUT(3)), "PROG"), ("ends_with(w, 'ied') AND length(w) > 4", _CUT(3) + " || 'y'", "PAST"),
-    ("ends_with(w, 'ed') AND length(w) > 4", _DBL(_CUT(2)), "PAST"), ("ends_with(w, 'ies') AND length(w) > 4", _CUT(3) + " || 'y'", "PL"), ("regexp_matches(w, '(s|x|z|ch|sh)es$') AND length(w) > 4", _CUT(2), "PL"),
-    ("ends_with(w, 's') AND NOT regexp_matches(w, '(ss|us|is)$') AND length(w) > 3", _CUT(1), "PL"), ("ends_with(w, 'iest') AND length(w) > 5", _CUT(4) + " || 'y'", "SUPER"),
-    ("ends_with(w, 'est') AND length(w) > 5", _DBL(_CUT(3)), "SUPER"), ("ends_with(w, 'ier') AND length(w) > 4", _CUT(3) + " || 'y'", "COMP"), ("ends_with(w, 'er') AND length(w) > 4", _DBL(_CUT(2)), "COMP"),
+    ("ends_with(w, '''s')", _CUT(2), "poss=YES"), ("ends_with(w, 'ing') AND length(w) > 5", _STEM(_CUT(3)), "aspect=PROG|tense=PRES"), ("ends_with(w, 'ied') AND length(w) > 4", _CUT(3) + " || 'y'", "tense=PAST"),
+    ("ends_with(w, 'ed') AND length(w) > 3", _STEM(_CUT(2)), "tense=PAST"), ("ends_with(w, 'ies') AND length(w) > 3", _CUT(3) + " || 'y'", "num=PL"), ("ends_with(w, 'es') AND length(w) > 3", _CUT(2), "num=PL"),
+    ("ends_with(w, 's') AND length(w) > 3 AND NOT regexp_matches(w, '(ss|ous)$')", _CUT(1), "num=PL"),
 ]
-_EN_SQL = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in _EN_RULES) + " ELSE w END AS lemma, CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, _, k in _EN_RULES) + " ELSE 'BASE' END AS kind"
+_EN_SQL = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v, _ in _EN_RULES) + " ELSE w END AS lemma, CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, _, k in _EN_RULES) + " ELSE '' END AS kind"
 
 
-@query("en_inflection", f"WITH {tok_sql("lang = 'en'")}, d AS (SELECT {_W} AS w, count(*) AS cnt FROM tok GROUP BY 1) SELECT w, cnt, {_EN_SQL} FROM d WHERE regexp_matches(w, '^[a-z'']+$')")
+@query("en_inflection", f"WITH {tok_sql("lang = 'en'")}, d AS (SELECT {_W} AS w, count(*) AS cnt FROM tok GROUP BY 1) SELECT w, cnt, {_EN_SQL} FROM d WHERE regexp_matches(w, '^[a-z]+(''s)?$')")
 def en_inflection(spark, sf_dir):
     """Each distinct word is analysed once, after counting."""
-    d = stats.freq(tokens(spark, sf_dir, "en").select(T.edge_stripped("w").alias("w")), "w").where(F.col("w").rlike("^[a-z']+$"))
+    d = stats.freq(tokens(spark, sf_dir, "en").select(T.edge_stripped("w").alias("w")), "w").where(F.col("w").rlike("^[a-z]+('s)?$"))
     lemma, kind = en_inflection_expr(F.col("w"))
     return d.select("w", "cnt", lemma.alias("lemma"), kind.alias("kind"))
 

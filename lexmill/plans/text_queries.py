@@ -77,7 +77,7 @@ def count_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(T.words("text")).cast("long").alias("n_tokens"))
 
 
-_EDGE = "[.,!?;:\"''()\\[\\]{}—–\\-]+"
+_EDGE = T.EDGE_CLASS.replace("'", "''")
 
 
 @query("strip_punct", f"WITH {tok_sql()}, s AS (SELECT regexp_replace(regexp_replace(w, '^{_EDGE}', ''), '{_EDGE}$', '') AS w FROM tok) SELECT w, count(*) AS cnt FROM s WHERE w <> '' GROUP BY w")
@@ -96,20 +96,20 @@ def peel_punct(spark, sf_dir):
     return x.where("lead <> '' or trail <> ''").groupBy("lead", "trail").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-#: Words before a full stop that do not end a sentence.
-ABBREVIATIONS = ("mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "st.", "vs.", "etc.", "e.g.", "i.e.", "inc.", "ltd.", "co.", "fig.", "no.", "vol.", "pp.", "ca.")
+# Words with a full stop that do not end a sentence.
+ABBREVIATIONS = "Dr. Mr. Mrs. Ms. Jr. Sr. Prof. St. U.S.A. U.K. U.S. e.g. i.e. etc. vs. Inc. Ltd. Co. Corp.".split()
 _ABBR_SQL = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
 
 
 @query(
     "sent_segment",
-    f"WITH {tok_sql()}, e AS (SELECT *, regexp_matches(w, '[.!?。！？]$') AND lower(w) NOT IN ({_ABBR_SQL}) AS ends FROM tok), "
+    f"WITH {tok_sql()}, e AS (SELECT *, regexp_matches(w, '[.!?;]$') AND w NOT IN ({_ABBR_SQL}) AS ends FROM tok), "
     "s AS (SELECT doc_id, pos, w, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_id FROM e) "
     "SELECT doc_id, sent_id::BIGINT AS sent_id, count(*) AS n_tokens, min(pos) AS first_pos FROM s GROUP BY doc_id, sent_id",
 )
 def sent_segment(spark, sf_dir):
     """Gaps and islands: the number of ended sentences before a word is its sentence."""
-    ends = F.col("w").rlike(f"[{T.TERMINATORS}]$") & ~F.lower("w").isin(*ABBREVIATIONS)
+    ends = F.col("w").rlike("[.!?;]$") & ~F.col("w").isin(*ABBREVIATIONS)
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     s = tokens(spark, sf_dir).select("doc_id", "pos", ends.cast("int").alias("e")).withColumn("sent_id", F.coalesce(F.sum("e").over(before), F.lit(0)))
     return s.groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("pos").cast("long").alias("first_pos"))
