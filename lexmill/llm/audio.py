@@ -188,7 +188,7 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if out is not None and out.cols[0]:
             yield out.take()
 
-    return src.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return src.mapInArrow(common.tidy(run), schema).withColumnRenamed("_id", id_col)
 
 
 def to_tensors(mel: pa.Array | pa.ChunkedArray, spec: AudioSpec = AudioSpec()) -> pa.ExtensionArray:

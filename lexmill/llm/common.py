@@ -92,7 +92,9 @@ class Out:
 
 
 def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator needs, under names that no other column can clash with."""
+    """Only the two columns that an operator needs, under names that no other column can clash with. Batches of the session get no more than BATCH_ROWS rows from here on."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 
@@ -109,3 +111,26 @@ BROADCAST_BYTES = 32 << 20
 def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows, at row_bytes each, stay under the limit; else as it is, for a shuffled join. df should be a written table: it is counted."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+#: Rows of an Arrow batch: texts can be long, and a batch is held in the executor and in the Python worker at once.
+BATCH_ROWS = 1000
+
+
+def tidy(run):
+    """A step for mapInArrow that gives freed memory back to the system when its task ends, as workers live on."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole

@@ -188,7 +188,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     rows["shares"].append([float(share[k, j]) for j in own])
                 yield pa.RecordBatch.from_arrays([pa.array(rows["_id"], batch.schema.field(0).type), pa.array(rows["lang_pred"], pa.string()), pa.array(rows["score"], pa.float64()), pa.array(rows["langs"], pa.list_(pa.string())), pa.array(rows["shares"], pa.list_(pa.float64()))], ["_id", "lang_pred", "score", "langs", "shares"])
 
-    return src.mapInArrow(run, f"_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>").withColumnRenamed("_id", id_col)
+    return src.mapInArrow(common.tidy(run), f"_id {kind}, lang_pred string, score double, langs array<string>, shares array<double>").withColumnRenamed("_id", id_col)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> Model:

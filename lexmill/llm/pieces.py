@@ -26,9 +26,9 @@ from . import common
 
 SPACE, BREAK = "▁", "\n"
 #: Words kept between texts of a worker, and the longest of them; a longer word is encoded each time.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 #: Characters of text worked on together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 #: Rank of a pair that no piece joins; id of an empty place.
 NONE, VOID = np.int32(2**31 - 1), (1 << 20) - 1
 
@@ -269,7 +269,7 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
         if out is not None and out.cols[0]:
             yield out.take()
 
-    return src.mapInArrow(run, f"_id {kind}, ids binary, decoded string").withColumnRenamed("_id", id_col)
+    return src.mapInArrow(common.tidy(run), f"_id {kind}, ids binary, decoded string").withColumnRenamed("_id", id_col)
 
 
 def tokenizer_path() -> str:

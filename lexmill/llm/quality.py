@@ -138,6 +138,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 def rate(df: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", above: int = 0) -> DataFrame:
     """Adds expected_grade and tail_probability = P(grade > grades[above]) to the rows of df; its other columns stay as they are."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
+    common.ids_and_text(df, id_col, text_col)  # for the size of batches
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("struct<expected_grade:double,tail_probability:double>")

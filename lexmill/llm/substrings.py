@@ -92,7 +92,7 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, spec: ChunkSpec) -> Da
                 key = pa.array(ids, batch.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(ids)), many)))
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(places))], names)
 
-    return src.mapInArrow(run, f"_id {kind}, d1 long, d2 long, place long")
+    return src.mapInArrow(common.tidy(run), f"_id {kind}, d1 long, d2 long, place long")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: ChunkSpec = ChunkSpec()) -> DataFrame:

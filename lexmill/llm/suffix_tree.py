@@ -75,7 +75,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], schema=schema)
 
-    return src.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(common.tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def gram_counts(df: DataFrame, depth: int, text_col: str = "text") -> DataFrame:
         if keys:
             yield from flush()
 
-    return src.mapInArrow(run, "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(common.tidy(run), "ctx long, sym int, n long").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
 
 
 def byte_groups(texts: pa.Array):
@@ -301,7 +301,7 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64())], names=OUT)
                 at_row += size
 
-    passed = common.written(src.mapInArrow(run, f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long"), "scored")
+    passed = common.written(src.mapInArrow(common.tidy(run), f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long"), "scored")
     rare = passed.where("word is not null").select("word", "_row", "times")
     c = F.coalesce(F.col("n"), F.lit(0))
     known = rare.join(vocab.where("word is not null"), "word", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(floor)))).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))

@@ -295,7 +295,7 @@ def toxicity(df: DataFrame, model: Network | Constant, id_col: str = "doc_id", t
                 s, n = net.score([t for _, t in group])
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in group], batch.schema.field(0).type), pa.array(s, pa.float64()), pa.array(n.astype(np.int64))], ["_id", "score", "n_windows"])
 
-    return src.mapInArrow(run, f"_id {kind}, score double, n_windows long").withColumnRenamed("_id", id_col)
+    return src.mapInArrow(common.tidy(run), f"_id {kind}, score double, n_windows long").withColumnRenamed("_id", id_col)
 
 
 #: Score from which a text is predicted toxic.
