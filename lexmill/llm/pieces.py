@@ -26,7 +26,7 @@ from . import common
 
 SPACE, BREAK = "▁", "\n"
 #: Words kept between texts of a worker, and the longest of them; a longer word is encoded each time.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+MEMO_WORDS, MEMO_CHARS = 300_000, 64
 #: Characters of text worked on together.
 GROUP_CHARS = 1 << 19
 #: Rank of a pair that no piece joins; id of an empty place.
@@ -62,6 +62,7 @@ class Pieces:
         # A line break that no piece contains is joined with nothing, so texts are cut around it too.
         self.word = WORD if any(BREAK in p for p in self.id) else LINE_WORD
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text whose spaces are already marks."""
@@ -201,17 +202,22 @@ class Pieces:
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         if not self.by_word:
             return [first + np.array(self.agenda(m), "<u4").tobytes() + last for m in marked]
-        memo = self.memo
+        memo, old, new = self.memo, self.old, []
         parts = [self.word.findall(m) for m in marked]
-        new = list({w for p in parts for w in p if w not in memo})
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list({w for p in parts for w in p})
+        for w in {w for p in parts for w in p}:
+            if w not in memo:
+                got = old.get(w)
+                if got is None:
+                    new.append(w)
+                else:
+                    memo[w] = got
         memo.update(zip(new, self.learn(new)))
         out = [first + b"".join([memo[w] for w in p]) + last for p in parts]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
+        if len(memo) > MEMO_WORDS // 2:  # words met again are carried over from the older half
+            self.old, self.memo = memo, {}
         return out
 
     def encode(self, text: str) -> bytes:
