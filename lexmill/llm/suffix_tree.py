@@ -3,14 +3,17 @@
 Texts are sequences of words and one end mark. A word is spelled by its bytes and closed by a separator, and the end is a
 symbol of its own, so the model gives every sequence of words a probability. Contexts are the last bytes before a
 symbol, up to `depth` of them, over word boundaries but never into another text; before a text stand end marks. A context
-stays in the tree if its relative frequency is at least `p_min` and its next-symbol distribution diverges from that of
+stays in the tree if it occurs at least LEAST times and its next-symbol distribution diverges from that of
 its longest retained suffix: 2 * count * KL(own || suffix's) is over `divergence` times the number of its symbols.
 Distributions are smoothed with that of the suffix (Witten-Bell), the root with one added to each symbol. The longest
 retained suffix of what came before is the state that scores a symbol.
 
 What is counted: every word and every window of bytes of every training text, in the tasks first and then by a
-distributed aggregation whose rows grow with the corpus. What is sent around: the tree, of at most depth / p_min contexts
-whatever the size of the corpus, and the `hot` most frequent words. Counts of all other words are joined.
+distributed aggregation whose rows grow with the corpus. What is sent around: the part of the tree whose contexts have a
+relative frequency of `p_min` or more, at most depth / p_min of them whatever the size of the corpus, and the `hot` most
+frequent words. Counts of all other words are joined, and so are the other contexts: places of a text whose window is
+not frequent meet the counted windows with the same shortest rare suffix, where the rest of the tree is tested. `p_min`
+and `hot` decide where something is looked up and do not change a score.
 
 Cases: null counts as an empty text, which is the end mark alone; texts are whole; ties among the most frequent words go
 to the smaller one; without training texts the counts are 0 and the smoothing still gives probabilities; repeated rows
@@ -31,6 +34,10 @@ from . import common
 
 #: No word has white space in it, so these two bytes close a word and a text.
 CLOSE, END, SYMBOLS = 32, 10, 256
+#: Occurrences of a context from which it can be retained, whatever the size of the corpus.
+LEAST = 2
+#: Rows of places and windows that are resolved together.
+RESOLVE_ROWS = 500_000
 #: Distinct words, and windows of bytes, of a task that are gathered before they are handed on.
 FLUSH_WORDS, FLUSH_GRAMS = 400_000, 3_000_000
 #: Bytes of text worked on together, and how many places of them are scored side by side.
@@ -39,6 +46,7 @@ GROUP_BYTES, LANES = 1 << 20, 2048
 
 @dataclass(frozen=True)
 class TreeSpec:
+    #: 6 at most: a window and what follows it are packed in a long.
     depth: int = 5
     p_min: float = 2e-6
     divergence: float = 2.0
@@ -162,12 +170,27 @@ class Level:
         return cls(own, np.append(at, len(ctx)), sym[order].astype(np.int64), n[order])
 
 
+def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class Tree:
-    """Automaton of the retained contexts: next_state[state, byte] and log10 probability[state, symbol]."""
+    """Automaton of the frequent retained contexts: next_state[state, byte] and log10 probability[state, symbol]."""
 
     def __init__(self, levels: list[Level], spec: TreeSpec = TreeSpec()):
         """levels[k]: windows of k bytes that are frequent enough, with what follows them."""
         self.depth = spec.depth
+        self.often = [level.ctx for level in levels]
+        # A table by hash of most of the deepest frequent windows; those that another took the place of are looked up in order.
+        deep = self.often[spec.depth]
+        self.bits = max(10, int(4 * len(deep)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slots[self.slot(deep)] = deep
+        self.crowded = deep[self.slots[self.slot(deep)] != deep]
         # dist holds all bytes; the white space that no text leaves in a word keeps its share of the added ones.
         root = np.ones(SYMBOLS)
         np.add.at(root, levels[0].sym, levels[0].n)
@@ -221,6 +244,47 @@ class Tree:
             for b, to in ahead.get((k, ctx), ()):
                 move[i, self.cls[b]] = to
         self.log, self.move = log.ravel(), move.ravel()
+        self.kept = [sorted(ctx for k, ctx in kept if k == own) for own in range(spec.depth + 1)]
+        self.kept_state = [np.array([index[(k, ctx)] for ctx in own], np.int64) for k, own in enumerate(self.kept)]
+        self.kept = [np.array(own, np.int64) for own in self.kept]
+
+    def slot(self, ctx: np.ndarray) -> np.ndarray:
+        return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rare(self, ctx: np.ndarray) -> np.ndarray:
+        """Indices of the windows of depth symbols that are not frequent."""
+        held = self.slots[self.slot(ctx)]
+        miss = np.flatnonzero(held != ctx)
+        return miss[~found(self.crowded, ctx[miss])[1]]
+
+    def rare_suffix(self, ctx: np.ndarray) -> np.ndarray:
+        """Key of the shortest suffix of each window that is not frequent: its symbols, and its length in the lowest three bits."""
+        length = np.ones(len(ctx), np.int64)
+        for k in range(1, self.depth):
+            length[found(self.often[k], ctx & ((1 << 8 * k) - 1))[1]] = k + 1
+        return (ctx & ((np.int64(1) << 8 * length) - 1)) << 3 | length
+
+    def probability(self, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Of each symbol behind its window, by the frequent retained contexts."""
+        state = np.full(len(ctx), self.kept_state[0][0], np.int64)
+        for k in range(1, self.depth + 1):
+            at, there = found(self.kept[k], ctx & ((1 << 8 * k) - 1))
+            state[there] = self.kept_state[k][at[there]]
+        return 10.0 ** self.log[state * self.width + self.cls[sym]].astype(np.float64)
+
+    def rare_places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of texts whose window is not frequent: number of the text, key of the rare suffix, window and symbol packed."""
+        d = self.depth
+        buf, begin, size = stream(texts, d)
+        wide = buf.astype(np.int64)
+        ctx = np.zeros(len(buf) - d, np.int64)
+        for k in range(1, d + 1):
+            ctx |= wide[d - k : len(buf) - k] << (8 * (k - 1))
+        at = self.rare(ctx)
+        text = np.searchsorted(begin, at + d, "right") - 1
+        inside = at + d < begin[text] + size[text]
+        at, text = at[inside], text[inside]
+        return text, self.rare_suffix(ctx[at]), ctx[at] << 8 | wide[at + d]
 
     def texts(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text, given as its words: many places of the run of all texts move side by side."""
@@ -242,10 +306,89 @@ class Tree:
         return total[begin + size] - total[begin]
 
 
+def resolve(tree: Tree, spec: TreeSpec, suffix: np.ndarray, code: np.ndarray, n: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and what the contexts that were not sent add to the log10 probability of each.
+
+    Input: all counted windows with some rare suffixes (row -1; n: their count), and the places of texts with these
+    suffixes. Contexts are tested from the shortest on, as in Tree.
+    """
+    own = row < 0
+    c, count, length = code[own], n[own].astype(np.float64), suffix[own] & 7
+    ask, first, back = np.unique(code[~own], return_index=True, return_inverse=True)
+    if not len(c) or not len(ask):
+        return np.zeros(0, np.int64), np.zeros(0)
+    ask_length = (suffix[~own] & 7)[first]
+    p, before = tree.probability(c >> 8, c & 255), tree.probability(ask >> 8, ask & 255)
+    after = before.copy()
+    for k in range(1, tree.depth + 1):
+        on = np.flatnonzero(length <= k)
+        if not len(on):
+            continue
+        pair, one, at = np.unique(c[on] & ((1 << 8 * (k + 1)) - 1), return_index=True, return_inverse=True)
+        m, up = np.bincount(at, weights=count[on]), p[on][one]
+        ctx, start = np.unique(pair >> 8, return_index=True)
+        kinds = np.diff(np.append(start, len(pair)))
+        total = np.add.reduceat(m, start)
+        differs = 2 * np.add.reduceat(m * np.log(m / np.repeat(total, kinds) / up), start)
+        stays = (total >= LEAST) & (differs > spec.divergence * kinds)
+        back_off, share = kinds / (total + kinds), m / np.repeat(total + kinds, kinds)
+        p[on] = np.where(np.repeat(stays, kinds), up * np.repeat(back_off, kinds) + share, up)[at]
+        on = np.flatnonzero(ask_length <= k)
+        key = ask[on] & ((1 << 8 * (k + 1)) - 1)
+        i, there = found(ctx, key >> 8)
+        there &= stays[i]
+        j, seen = found(pair, key)
+        after[on] = np.where(there, after[on] * back_off[i] + np.where(seen, share[j], 0.0), after[on])
+    rows, at = np.unique(row[~own], return_inverse=True)
+    return rows, np.bincount(at, weights=n[~own] * np.log10(after / before)[back])
+
+
+def rare_scores(places: DataFrame, grams: DataFrame, shipped, spec: TreeSpec) -> DataFrame:
+    """_row, more_score: what the contexts that were not sent add to texts' scores. places: suffix, code, _row, times.
+
+    Dealt by rare suffix, which has less than p_min of the training symbols, and sorted by it.
+    """
+    names, kinds = ["suffix", "code", "n", "_row"], "suffix long, code long, n long, _row long"
+
+    def counted(batches):
+        tree = shipped.value[2]
+        for batch in batches:
+            ctx, sym, n = (batch.column(k).to_numpy() for k in range(3))
+            at = tree.rare(ctx)
+            yield pa.RecordBatch.from_arrays([pa.array(tree.rare_suffix(ctx[at])), pa.array(ctx[at] << 8 | sym[at]), pa.array(n[at]), pa.array(np.full(len(at), -1))], names=names)
+
+    def run(batches):
+        tree, held, size = shipped.value[2], [], 0
+
+        def out(parts):
+            rows, more = resolve(tree, spec, *(np.concatenate(x) for x in zip(*parts)))
+            for a in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 100_000]), pa.array(more[a : a + 100_000])], names=["_row", "more_score"])
+
+        for batch in batches:
+            part = [batch.column(k).to_numpy() for k in range(4)]
+            if size >= RESOLVE_ROWS and len(part[0]):
+                # Only whole groups of a suffix are resolved.
+                last = held[-1][0][-1]
+                cut = int(np.searchsorted(part[0], last, "right"))
+                if cut < len(part[0]):
+                    yield from out([*held, [x[:cut] for x in part]])
+                    held, size, part = [], 0, [x[cut:] for x in part]
+            if len(part[0]):
+                held.append(part)
+                size += len(part[0])
+        if held:
+            yield from out(held)
+
+    windows = grams.select("ctx", "sym", "n").mapInArrow(common.tidy(counted), kinds)
+    both = windows.union(places.select("suffix", "code", F.col("times").alias("n"), "_row")).repartition("suffix").sortWithinPartitions("suffix")
+    return both.mapInArrow(common.tidy(run), "_row long, more_score double")
+
+
 def build_tree(grams: DataFrame, spec: TreeSpec = TreeSpec()) -> Tree:
-    """Levels from the deepest to the root; only windows of relative frequency p_min or more come to the driver, at most 1 / p_min a level."""
+    """The part that is sent, with levels from the deepest to the root: only windows of relative frequency p_min or more come to the driver, at most 1 / p_min a level."""
     total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, spec.p_min * total)
+    least = max(float(LEAST), spec.p_min * total)
     levels = []
     for k in range(spec.depth + 1):
         level = grams.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("ctx"), "sym").agg(F.sum("n").alias("n"))
@@ -258,12 +401,13 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     """id_col, n_tokens, n_known, train_tokens, base_score, score for every row of df, learning from all rows of train.
 
     Two passes over the texts. The second one looks up the most frequent words in the task and hands on the others, with
-    their number in the text, to a join with the word counts.
+    their number in the text, to a join with the word counts; likewise places whose window is not frequent.
     """
     spark = df.sparkSession
     vocab = common.written(word_counts(train, text_col), "words")
     n, v = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = build_tree(common.written(gram_counts(train, spec.depth, text_col), "grams"), spec)
+    grams = common.written(gram_counts(train, spec.depth, text_col), "grams")
+    tree = build_tree(grams, spec)
     top = vocab.where("word is not null").orderBy(F.desc("n"), "word").limit(spec.hot).toArrow()
     ends = vocab.where("word is null").select("n").first()
     ends = ends[0] if ends else 0
@@ -291,22 +435,30 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
                 known = np.bincount(text, weights=at != none, minlength=size).astype(np.int64)
                 base = np.bincount(text, weights=table[at], minlength=size)
                 own_rows = rows.slice(at_row, size)
-                yield pa.RecordBatch.from_arrays([ids.slice(at_row, size), own_rows, pa.array(count + 1), pa.array(known + int(end_known)), pa.array(base + end_base), pa.array(score), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64))], names=OUT)
+                yield pa.RecordBatch.from_arrays([ids.slice(at_row, size), own_rows, pa.array(count + 1), pa.array(known + int(end_known)), pa.array(base + end_base), pa.array(score), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=OUT)
                 odd = np.flatnonzero(at == none)
                 rare = Counter(zip(text[odd].tolist(), [flat[i] for i in odd.tolist()]))
                 pairs, times = list(rare), list(rare.values())
                 for a in range(0, len(pairs), 50_000):
                     part = pairs[a : a + 50_000]
                     m, zero = len(part), pa.array(np.zeros(len(part), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64())], names=OUT)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=OUT)
+                text, suffix, code = tree.rare_places(group)
+                for a in range(0, len(text), 50_000):
+                    part = slice(a, a + 50_000)
+                    m = len(text[part])
+                    zero = pa.array(np.zeros(m, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array(text[part])), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.nulls(m, pa.binary()), pa.array(np.ones(m, np.int64)), pa.array(suffix[part]), pa.array(code[part])], names=OUT)
                 at_row += size
 
-    passed = common.written(src.mapInArrow(common.tidy(run), f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long"), "scored")
+    passed = common.written(src.mapInArrow(common.tidy(run), f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long, suffix long, code long"), "scored")
     rare = passed.where("word is not null").select("word", "_row", "times")
     c = F.coalesce(F.col("n"), F.lit(0))
-    known = rare.join(vocab.where("word is not null"), "word", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(floor)))).alias("more_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    known = rare.join(vocab.where("word is not null"), "word", "left").select("_row", (F.col("times") * F.log10((c + 1) / F.lit(float(floor)))).alias("more_base"), F.when(c > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
+    deeper = rare_scores(passed.where("suffix is not null"), grams, shipped, spec).select("_row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"), "more_score")
+    known = known.union(deeper).groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("more_base", "more_known", "more_score")])
     return (
-        passed.where("word is null")
+        passed.where("word is null and suffix is null")
         .join(known, "_row", "left")
         .select(
             F.col("_id").alias(id_col),
@@ -314,12 +466,12 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(int(n)).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
         )
     )
 
 
-OUT = ["_id", "_row", "n_tokens", "n_known", "base", "score", "word", "times"]
+OUT = ["_id", "_row", "n_tokens", "n_known", "base", "score", "word", "times", "suffix", "code"]
 
 
 def op9_suffix_tree(spark, sf_dir: str) -> DataFrame:

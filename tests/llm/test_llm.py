@@ -346,6 +346,18 @@ def test_suffix_tree_is_a_distribution_and_walks_longest_suffixes(spark, odd, no
     assert [r["n_known"] for r in suffix_tree.score(train.limit(1), none, spec=spec).collect()] == [0]
 
 
+def test_suffix_tree_keeps_rare_contexts(spark, docs):
+    """What is sent does not decide what is retained: scores are those of a tree that is sent whole."""
+    few = docs.limit(60)
+    train = few.where("doc_id % 3 != 0")
+    get = lambda p: {r["doc_id"]: r["score"] for r in suffix_tree.score(few, train, spec=suffix_tree.TreeSpec(p_min=p)).collect()}
+    whole = get(0.0)
+    assert len(whole) == 60
+    for p in (1e-3, 0.2):
+        some = get(p)
+        assert some.keys() == whole.keys() and all(math.isclose(some[d], whole[d], rel_tol=1e-3) for d in whole), p
+
+
 # 10
 
 
