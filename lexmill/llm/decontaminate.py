@@ -48,9 +48,9 @@ def shingle_array(words: str, g: int) -> Column:
 
 
 def _shingled(df: DataFrame, id_col: str, text_col: str, g: int) -> DataFrame:
-    """_id, sh array<long> for rows that have a shingle."""
+    """_id, _row long, sh array<long> of rows. _row tells the texts of an id apart; rows of an id with the same words have the same."""
     words = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where("_text is not null").select("_id", word_hashes("_text").alias("_w"))
-    return words.select("_id", once(shingle_array("_w", g)).alias("sh"))
+    return words.select("_id", F.xxhash64("_w").alias("_row"), once(shingle_array("_w", g)).alias("sh"))
 
 
 def fingerprints(rows: DataFrame, key: list[str], value: str, weight: str) -> DataFrame:
@@ -81,23 +81,24 @@ def _of_length(docs: DataFrame, items: DataFrame, g: int, id_col: str, text_col:
     item_rows = items.select("item", F.posexplode("sh").alias("ipos", "h"))
     lookup = common.sent_if_small(common.written(item_rows.join(size, "item"), "item-shingles"), 32)
     all_rows = _shingled(docs, id_col, text_col, g).where(F.size("sh") > 0)
-    hits = all_rows.select("_id", F.size("sh").alias("many"), F.posexplode("sh").alias("pos", "h")).join(lookup, "h")
+    hits = all_rows.select("_id", "_row", F.size("sh").alias("many"), F.posexplode("sh").alias("pos", "h")).join(lookup, "h")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("many") - F.col("len")))
-    spots = common.written(hits.select("_id", start.alias("start"), "len").distinct(), "windows")
+    spots = common.written(hits.select("_id", "_row", start.alias("start"), "len").distinct(), "windows")
     # Shingles of the windows, from the texts that have any.
     ids = common.sent_if_small(common.written(spots.select("_id").distinct(), "window-ids"), 16)
     own = _shingled(docs.join(ids.select(F.col("_id").alias("_own_id")), docs[id_col] == F.col("_own_id"), "left_semi"), id_col, text_col, g)
-    window = own.join(spots, "_id").select("_id", "start", "len", F.explode(F.slice("sh", F.col("start") + 1, F.col("len"))).alias("h"))
-    window = common.written(window.groupBy("_id", "start", "len", "h").agg(F.count(F.lit(1)).alias("w")), "window-shingles")
-    fp = common.written(fingerprints(window, ["_id", "start", "len"], "h", "w"), "fingerprints")
+    own = own.join(common.sent_if_small(common.written(spots.select("_id", "_row").distinct(), "window-rows"), 24), ["_id", "_row"], "left_semi").groupBy("_id", "_row").agg(F.first("sh").alias("sh"))
+    window = own.join(spots, ["_id", "_row"]).select("_id", "_row", "start", "len", F.explode(F.slice("sh", F.col("start") + 1, F.col("len"))).alias("h"))
+    window = common.written(window.groupBy("_id", "_row", "start", "len", "h").agg(F.count(F.lit(1)).alias("w")), "window-shingles")
+    fp = common.written(fingerprints(window, ["_id", "_row", "start", "len"], "h", "w"), "fingerprints")
     item_w = common.written(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("iw")), "item-weights")
     item_fp = common.written(fingerprints(item_w, ["item"], "h", "iw"), "item-fingerprints").select("item", F.col("_n").alias("item_n"), F.col("fp").alias("item_fp")).join(size, "item")
     index = item_fp.select("item", "item_n", "item_fp", "len", F.explode(blocks("item_fp")).alias("b")).select("*", F.explode(turned()).alias("mask"))
     index = common.sent_if_small(common.written(index.select("item", "item_n", "item_fp", "len", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value")), "index"), 64)
-    asked = fp.select("_id", "start", "len", "_n", "fp", F.explode(blocks("fp")).alias("b")).select("_id", "start", "len", "_n", "fp", "b.block", "b.value")
+    asked = fp.select("_id", "_row", "start", "len", "_n", "fp", F.explode(blocks("fp")).alias("b")).select("_id", "_row", "start", "len", "_n", "fp", "b.block", "b.value")
     near = asked.join(index, ["len", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-    near = near.where(F.col("hamming") <= RADIUS).select("_id", "start", "len", "_n", "item", "item_n", "hamming").distinct()
-    both = near.join(window, ["_id", "start", "len"]).join(common.sent_if_small(item_w, 40), ["item", "h"]).groupBy("_id", "item", "start", "len", "_n", "item_n", "hamming").agg(F.sum(F.least("w", "iw")).alias("shared"))
+    near = near.where(F.col("hamming") <= RADIUS).select("_id", "_row", "start", "len", "_n", "item", "item_n", "hamming").distinct()
+    both = near.join(window, ["_id", "_row", "start", "len"]).join(common.sent_if_small(item_w, 40), ["item", "h"]).groupBy("_id", "_row", "item", "start", "len", "_n", "item_n", "hamming").agg(F.sum(F.least("w", "iw")).alias("shared"))
     sim = F.col("shared") / (F.col("_n") + F.col("item_n") - F.col("shared"))
     best = F.max(F.struct(F.col("sim"), (-F.col("start")).alias("neg"), F.col("hamming").alias("hamming"), F.col("len").alias("len")))
     return both.withColumn("sim", sim).where(F.col("sim") >= similarity).groupBy("_id", "item").agg(best.alias("x")).select("_id", "item", F.col("x.sim").alias("similarity"), (-F.col("x.neg")).cast("long").alias("first_word"), (F.col("x.len") + (g - 1)).cast("long").alias("n_words"), F.col("x.hamming").cast("long").alias("hamming"))

@@ -386,6 +386,14 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark):
+    words = [f"w{k}" for k in range(40)]
+    item, other = " ".join(words), " ".join(f"o{k}" for k in range(40))
+    rows = [(1, item), (1, item), (2, item), (2, other + " w1 w2 w3 w4 w5 w6"), (3, other), (3, other), (4, " ".join(words[:20])), (4, " ".join(words[20:]))]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in got) == [(1, 7, 1.0), (2, 7, 1.0)]
+
+
 # pipeline
 
 
