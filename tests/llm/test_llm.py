@@ -161,6 +161,18 @@ def test_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_copies(spark):
+    """Copies and mirrors, which differ around the article only, do not make its blocks template."""
+    page = lambda n: PAGE.replace("One &amp;", "Only here {n}").replace("{n}", str(n))
+    html = [page(0)] * 6 + [page(0).replace("We use cookies", f"Seen {k}") for k in range(3)] + [page(k) for k in range(1, 6)]
+    rows = [(k, "http://copies.example/a", h) for k, h in enumerate(html)] + [(100 + k, "http://four.example/", page(k % 3)) for k in range(4)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(14):
+        n = max(0, k - 8)
+        assert f"Head {n}" in out[k] and f"Only here {n}" in out[k] and f"bold{n}" in out[k] and "Subscribe" not in out[k]
+    assert all(f"Head {k % 3}" in out[100 + k] and f"Only here {k % 3}" in out[100 + k] for k in range(4))
+
+
 def brute_matching(a, b):
     if a.label != b.label:
         return 0
