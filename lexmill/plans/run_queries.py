@@ -179,9 +179,9 @@ def dangling_refs(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(d, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("pad_truncate", "SELECT doc_id, array_to_string((ids || [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ' ') AS ids FROM (SELECT doc_id, list_transform(string_split(left(text, 60), ' '), lambda w: length(w)) AS ids FROM documents WHERE text IS NOT NULL)")
+@query("pad_truncate", "SELECT doc_id, array_to_string((ids || [0, 0, 0, 0, 0, 0, 0, 0])[1:8], ' ') AS ids FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM documents WHERE text IS NOT NULL)")
 def pad_truncate(spark, sf_dir):
-    ids = F.transform(F.split(F.left("text", F.lit(60)), " "), lambda w: F.length(w))
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(F.concat(ids, F.array_repeat(F.lit(0), 8)), 1, 8).cast("array<string>"), " ").alias("ids"))
 
 

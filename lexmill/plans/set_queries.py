@@ -36,11 +36,11 @@ def topk_per_group(spark, sf_dir):
 
 @query(
     "examples_topk",
-    f"WITH {tok_sql()}, k AS (SELECT lang, length(w) AS len, w, min(doc_id * 10000000 + pos) AS first FROM tok WHERE length(w) <= 12 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, len ORDER BY first, w) AS rn FROM k) "
+    f"WITH {tok_sql()}, k AS (SELECT lang, length(w) AS len, w, min(doc_id * 10000000 + pos) AS first FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, len ORDER BY first, w) AS rn FROM k) "
     "SELECT lang, len, string_agg(w, ' ' ORDER BY first, w) AS examples FROM r WHERE rn <= 3 GROUP BY lang, len",
 )
 def examples_topk(spark, sf_dir):
-    k = tokens(spark, sf_dir).where(F.length("w") <= 12).groupBy("lang", F.length("w").cast("long").alias("len"), "w").agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    k = tokens(spark, sf_dir).groupBy("lang", F.length("w").cast("long").alias("len"), "w").agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
     r = k.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "len").orderBy("first", "w"))).where("rn <= 3")
     return r.groupBy("lang", "len").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "w"))), lambda x: x["w"]), " ").alias("examples"))
 
