@@ -31,11 +31,13 @@ def py_crc_mod(doc_id: int, m: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Taken from the session; a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share, taken from the session. Where it is unset, a local session, as in tests, gets a temporary one; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: steps need a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="lexmill-shared-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -46,7 +48,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing will read again."""
+    for t in tables:
+        if t is None:
+            continue
+        path = t.__dict__.pop("_lexmill_path", None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with as many _ behind it as it takes to differ from all columns of frames, whatever their case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """Rows of df whose id is not in gone's only column, a written table. Rows without an id stay."""
+    name = free_name("_gone", df)
+    side = sent_if_small(gone.toDF(name))
+    return df.join(side, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def text_rows(batch: pa.RecordBatch, id_name: int | str = 0, text_name: int | str = 1) -> Iterator[tuple]:
@@ -108,9 +139,25 @@ def env_threads() -> None:
 BROADCAST_BYTES = 32 << 20
 
 
-def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows, at row_bytes each, stay under the limit; else as it is, for a shuffled join. df should be a written table: it is counted."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def side_bytes(df: DataFrame) -> int:
+    """What df takes in memory: its rows, and what its strings and arrays hold, all counted."""
+    row, held = 16, F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        row += 16
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            each = 16 * len(f.dataType.elementType.fields) + 16 if f.dataType.elementType.typeName() == "struct" else 8
+            held = held + F.greatest(F.size(c), F.lit(0)) * each
+    n, more = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    return n * row + int(more)
+
+
+def sent_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted bytes stay under the limit; else as it is, for a shuffled join. df should be a written table: it is counted."""
+    return F.broadcast(df) if side_bytes(df) <= limit else df
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held in the executor and in the Python worker at once.
