@@ -36,8 +36,8 @@ from . import common
 CLOSE, END, SYMBOLS = 32, 10, 256
 #: Occurrences of a context from which it can be retained, whatever the size of the corpus.
 LEAST = 2
-#: Rows of places and windows that are resolved together.
-RESOLVE_ROWS = 500_000
+#: Rows of places and windows that are resolved together: the same at any size of the corpus, so results are in proportion to places.
+RESOLVE_ROWS = 50_000
 #: Distinct words, and windows of bytes, of a task that are gathered before they are handed on.
 FLUSH_WORDS, FLUSH_GRAMS = 400_000, 3_000_000
 #: Bytes of text worked on together, and how many places of them are scored side by side.
@@ -48,7 +48,7 @@ GROUP_BYTES, LANES = 1 << 20, 2048
 class TreeSpec:
     #: 6 at most: a window and what follows it are packed in a long.
     depth: int = 5
-    p_min: float = 2e-6
+    p_min: float = 5e-7
     divergence: float = 2.0
     hot: int = 100_000
 
@@ -344,7 +344,7 @@ def resolve(tree: Tree, spec: TreeSpec, suffix: np.ndarray, code: np.ndarray, n:
 
 
 def rare_scores(places: DataFrame, grams: DataFrame, shipped, spec: TreeSpec) -> DataFrame:
-    """_row, more_score: what the contexts that were not sent add to texts' scores. places: suffix, code, _row, times.
+    """_row, more_score: what the contexts that were not sent add to texts' scores. places: suffix, code, n, _row.
 
     Dealt by rare suffix, which has less than p_min of the training symbols, and sorted by it.
     """
@@ -381,7 +381,7 @@ def rare_scores(places: DataFrame, grams: DataFrame, shipped, spec: TreeSpec) ->
             yield from out(held)
 
     windows = grams.select("ctx", "sym", "n").mapInArrow(common.tidy(counted), kinds)
-    both = windows.union(places.select("suffix", "code", F.col("times").alias("n"), "_row")).repartition("suffix").sortWithinPartitions("suffix")
+    both = windows.union(places.select(*names)).repartition("suffix").sortWithinPartitions("suffix")
     return both.mapInArrow(common.tidy(run), "_row long, more_score double")
 
 
@@ -400,8 +400,9 @@ def build_tree(grams: DataFrame, spec: TreeSpec = TreeSpec()) -> Tree:
 def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: TreeSpec = TreeSpec()) -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score for every row of df, learning from all rows of train.
 
-    Two passes over the texts. The second one looks up the most frequent words in the task and hands on the others, with
-    their number in the text, to a join with the word counts; likewise places whose window is not frequent.
+    Three passes over the texts: one counts; one looks up the most frequent words in the task and hands on the others, with
+    their number in the text, to a join with the word counts; and one hands on places whose window is not frequent. Rows
+    are told apart by a number that follows from how the input is split, which is the same in both passes.
     """
     spark = df.sparkSession
     vocab = common.written(word_counts(train, text_col), "words")
@@ -435,30 +436,36 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
                 known = np.bincount(text, weights=at != none, minlength=size).astype(np.int64)
                 base = np.bincount(text, weights=table[at], minlength=size)
                 own_rows = rows.slice(at_row, size)
-                yield pa.RecordBatch.from_arrays([ids.slice(at_row, size), own_rows, pa.array(count + 1), pa.array(known + int(end_known)), pa.array(base + end_base), pa.array(score), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=OUT)
+                yield pa.RecordBatch.from_arrays([ids.slice(at_row, size), own_rows, pa.array(count + 1), pa.array(known + int(end_known)), pa.array(base + end_base), pa.array(score), pa.nulls(size, pa.binary()), pa.array(np.zeros(size, np.int64))], names=OUT)
                 odd = np.flatnonzero(at == none)
                 rare = Counter(zip(text[odd].tolist(), [flat[i] for i in odd.tolist()]))
                 pairs, times = list(rare), list(rare.values())
                 for a in range(0, len(pairs), 50_000):
                     part = pairs[a : a + 50_000]
                     m, zero = len(part), pa.array(np.zeros(len(part), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=OUT)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array([t for t, _ in part], pa.int64())), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.array([w for _, w in part], pa.binary()), pa.array(times[a : a + 50_000], pa.int64())], names=OUT)
+                at_row += size
+
+    def places(batches):
+        tree = shipped.value[2]
+        for batch in batches:
+            rows, at_row = batch.column(2), 0
+            for group in byte_groups(batch.column(1)):
                 text, suffix, code = tree.rare_places(group)
+                own_rows = rows.slice(at_row, len(group))
                 for a in range(0, len(text), 50_000):
                     part = slice(a, a + 50_000)
-                    m = len(text[part])
-                    zero = pa.array(np.zeros(m, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), own_rows.take(pa.array(text[part])), zero, zero, pa.array(np.zeros(m)), pa.array(np.zeros(m)), pa.nulls(m, pa.binary()), pa.array(np.ones(m, np.int64)), pa.array(suffix[part]), pa.array(code[part])], names=OUT)
-                at_row += size
+                    yield pa.RecordBatch.from_arrays([pa.array(suffix[part]), pa.array(code[part]), pa.array(np.ones(len(text[part]), np.int64)), own_rows.take(pa.array(text[part]))], names=["suffix", "code", "n", "_row"])
+                at_row += len(group)
 
-    passed = common.written(src.mapInArrow(common.tidy(run), f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long, suffix long, code long"), "scored")
+    passed = common.written(src.mapInArrow(common.tidy(run), f"_id {kind}, _row long, n_tokens long, n_known long, base double, score double, word binary, times long"), "scored")
     rare = passed.where("word is not null").select("word", "_row", "times")
     c = F.coalesce(F.col("n"), F.lit(0))
     known = rare.join(vocab.where("word is not null"), "word", "left").select("_row", (F.col("times") * F.log10((c + 1) / F.lit(float(floor)))).alias("more_base"), F.when(c > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
-    deeper = rare_scores(passed.where("suffix is not null"), grams, shipped, spec).select("_row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"), "more_score")
+    deeper = rare_scores(src.mapInArrow(common.tidy(places), "suffix long, code long, n long, _row long"), grams, shipped, spec).select("_row", F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"), "more_score")
     known = known.union(deeper).groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("more_base", "more_known", "more_score")])
     return (
-        passed.where("word is null and suffix is null")
+        passed.where("word is null")
         .join(known, "_row", "left")
         .select(
             F.col("_id").alias(id_col),
@@ -471,7 +478,7 @@ def score(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-OUT = ["_id", "_row", "n_tokens", "n_known", "base", "score", "word", "times", "suffix", "code"]
+OUT = ["_id", "_row", "n_tokens", "n_known", "base", "score", "word", "times"]
 
 
 def op9_suffix_tree(spark, sf_dir: str) -> DataFrame:
