@@ -24,29 +24,35 @@ GROUP_CHARS = 1 << 20
 
 
 def _letters() -> np.ndarray:
-    """Whether a code point below 0x30000 is a letter or a mark that stands on one; made once in a process."""
+    """Of each code point: 2 for a letter, 1 for a mark, which stands on one, else 0; made once in a process."""
     import unicodedata
 
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x30000)), bool, 0x30000)
+    kind = {"L": 2, "M": 1}
+    return np.fromiter((kind.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.int8, 0x110000)
 
 
 _LETTER: list[np.ndarray] = []
 
 
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the words of lower-cased texts, each word closed by 0; where words begin; words of each text."""
+    """Code points of the words of lower-cased texts, each word closed by 0; where words begin; words of each text. A word is a run of letters and marks with a letter in it."""
     if not _LETTER:
         _LETTER.append(_letters())
-    joined = "\n".join(texts).lower() + "\n"
-    if joined.count("\n") != sum(t.count("\n") for t in texts) + len(texts):
-        raise AssertionError("lower() changed a line break")
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts)) + 1
-    letter = _LETTER[0][np.minimum(code, 0x2FFFF)] & (code < 0x30000)
-    close = ~letter & np.concatenate([[False], letter[:-1]])
-    keep = letter | close
-    doc = np.repeat(np.arange(len(texts)), lengths)[: len(code)]
-    out = np.where(letter, code, 0)[keep]
+    low = [t.lower() for t in texts]
+    code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    lengths = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    kind = _LETTER[0][code]
+    inside = kind > 0
+    close = ~inside & np.concatenate([[False], inside[:-1]])
+    begin, end = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])), np.flatnonzero(close)
+    letters = np.concatenate([[0], np.cumsum(kind == 2)])
+    bare = np.flatnonzero(letters[end] == letters[begin])
+    for k in bare.tolist():
+        inside[begin[k] : end[k]] = False
+        close[end[k]] = False
+    keep = inside | close
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    out = np.where(inside, code, 0)[keep]
     ends = np.flatnonzero(out == 0)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
     return out, starts, np.bincount(doc[close], minlength=len(texts))
@@ -124,7 +130,8 @@ def mixtures(like: np.ndarray, count: np.ndarray, rounds: int = 12, penalty: flo
     """(proportions, member of the set) by text and language.
 
     like: log likelihood of each word by language; count: words of each text. Languages are added in the order of
-    their proportions while 2 * gain in log likelihood exceeds penalty * log(words) + 2, and the proportions of the set are fitted again.
+    their proportions, as many as there are, until no text gains; a text keeps the set with the greatest likelihood less a
+    penalty of penalty * log(words) + 2 for each language, and the proportions of the set are fitted again.
     """
     texts, langs = len(count), like.shape[1]
     share = np.zeros((texts, langs))
@@ -149,18 +156,20 @@ def mixtures(like: np.ndarray, count: np.ndarray, rounds: int = 12, penalty: flo
     order = np.argsort(-pi, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, chosen, score = None, None, None
-    for k in range(1, min(langs, 4) + 1):
+    for k in range(1, langs + 1):
         inside = rank < k
         part = np.where(inside, np.maximum(pi, 1e-9), 0)
         part, ll = em(part / part.sum(axis=1, keepdims=True), 1 if k == 1 else 3)
         now = 2 * ll - k * (penalty * np.log(np.maximum(n, 2)) + 2)
         if best is None:
             best, chosen, score = part, inside, now
-        else:
-            more = now > score
-            best = np.where(more[:, None], part, best)
-            chosen = np.where(more[:, None], inside, chosen)
-            score = np.where(more, now, score)
+            continue
+        more = now > score
+        if not more.any():
+            break
+        best = np.where(more[:, None], part, best)
+        chosen = np.where(more[:, None], inside, chosen)
+        score = np.where(more, now, score)
     share[some], member[some] = best, chosen
     return share, member
 
@@ -192,10 +201,9 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> Model:
-    """Fits on about per_language texts of each language (a documented bound), chosen by a hash of the id."""
+    """Fits on about per_language texts of each language, chosen by a hash of the id, and at most sampling.TRAIN_BYTES of them (documented bounds)."""
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_text is not null and _lang is not null")
-    rows = sampling.bounded_per_class(src, "_lang", "_id", per_language).select("_lang", "_text").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    return fit(sampling.bounded_texts(sampling.bounded_per_class(src, "_lang", "_id", per_language), "_lang"))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
