@@ -27,6 +27,8 @@ WINDOW, STRIDE = 32, 24
 GRAM_SCALE = 0.5
 GROUP_CHARS = 1 << 20
 _SHIFT = np.uint64(64 - BITS)
+#: Texts with a word or gram at which its embedding learns at half the rate; weight of the labels' share in its beginning.
+DOUBT, PRIOR = 8, (0.5, 0.1)
 
 
 @dataclass
@@ -231,11 +233,12 @@ class Constant:
         return np.full(len(texts), self.value), np.diff(np.searchsorted(windows(inputs(texts).first)[2], np.arange(len(texts) + 1)))
 
 
-def fit(rows: list[tuple[int, str]], epochs: int = 7, batch: int = 256, rate: float = 0.01, seed: int = 11) -> Network | Constant:
-    """From (label, text) rows."""
+def fit(rows: list[tuple[int, str]], epochs: int = 7, batch: int | None = None, rate: float = 0.01, seed: int = 11) -> Network | Constant:
+    """From (label, text) rows, in batches of a sixteenth of the rows, 32 to 128."""
     y = np.array([int(r[0]) for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
+    batch = batch or min(128, max(32, len(rows) // 16))
     rng = np.random.default_rng(seed)
     net = Network(seed)
     t = inputs([r[1] for r in rows])
@@ -243,6 +246,19 @@ def fit(rows: list[tuple[int, str]], epochs: int = 7, batch: int = 256, rate: fl
     at = np.concatenate([np.searchsorted(text, np.arange(len(rows))), [len(text)]])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    # What an entry of the embeddings can learn grows with the texts that have it, and it begins where their labels put it.
+    trust = {}
+    grams_of = np.repeat(np.arange(len(t.word)), np.diff(np.append(t.gram_at, len(t.gram))))
+    word_text = np.repeat(np.arange(len(rows)), np.diff(t.first))
+    for k, bucket, text_of, side in (("word", t.word, word_text, 0), ("gram", t.gram, word_text[grams_of], DIM)):
+        seen = np.unique(text_of.astype(np.int64) << BITS | bucket)
+        bad = np.bincount(seen & (1 << BITS) - 1, weights=y[seen >> BITS], minlength=1 << BITS)
+        n = np.bincount(seen & (1 << BITS) - 1, minlength=1 << BITS)
+        share = y.mean()
+        z = (bad - n * share) / np.sqrt(n * share * (1 - share) + DOUBT)
+        trust[k] = (n / (n + DOUBT)).astype(np.float32)[:, None]
+        net.p[k] *= trust[k]
+        net.p[k][:, 0] += (np.clip(z, -8, 8) * PRIOR[side > 0]).astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
     step = 0
     for epoch in range(epochs):
@@ -271,15 +287,15 @@ def fit(rows: list[tuple[int, str]], epochs: int = 7, batch: int = 256, rate: fl
                 g = np.clip(g, -1, 1)
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.001 * (g * g - v[k])
-                net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                net.p[k] -= trust.get(k, 1) * (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500) -> Network | Constant:
-    """Fits on about per_label labelled rows of each label (a documented bound), chosen by a hash of the id."""
+    """Fits on about per_label labelled rows of each label, chosen by a hash of the id, and at most sampling.TRAIN_BYTES of texts (documented bounds)."""
     some = sampling.bounded_per_class(labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")), "_y", "_id", per_label)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(some), "_id").select("_id", "_y", "_text").collect()
-    return fit([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2]))])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(some), "_id")
+    return fit(sampling.bounded_texts(rows, "_y"))
 
 
 def toxicity(df: DataFrame, model: Network | Constant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
