@@ -4,8 +4,8 @@ A text column's bytes are kept losslessly as 8-bit PCM in a WAV container; from
 a polyphase-resampled signal, overlapped log-mel filterbanks cut into fixed-shape tensors, and segments found by
 an energy threshold with hysteresis, each with its time span.
 
-Cases: null and empty values become 64 zero samples (one silent frame); long values are worked through in blocks of
-frames, so memory follows the block and not the value; equal values give equal features; an empty table gives an
+Cases: null and empty values become 64 zero samples (one silent frame); long values are
+resampled and transformed in blocks of frames, and their features, about 15 bytes a byte of the value, are kept whole; equal values give equal features; an empty table gives an
 empty result; only the two named columns are read, so other columns cannot clash.
 """
 
@@ -148,15 +148,16 @@ class Features:
         return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-TENSOR_COLUMNS = "n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, mel_shape array<int>, mel array<float>, mel_mean array<float>, spans array<struct<start_s:double,end_s:double>>"
+TENSOR_COLUMNS = "n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, tensors binary, mel_mean array<float>, spans array<struct<start_s:double,end_s:double>>"
 
 
 def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: AudioSpec = AudioSpec()) -> DataFrame:
     """One row per row of df: id_col, the stored medium, and the features of the medium read back.
 
-    mel holds a float tensor of shape mel_shape = [patches, spec.patch, spec.mels], patches in time order and the last
-    one filled with its silent floor; patch k covers [k, k + 1) * patch * hop / out_rate seconds. `to_tensors` turns a
-    collected or written result into Arrow's fixed-shape tensor type. spans are the segments in seconds.
+    tensors is an Arrow IPC stream (Spark has no tensor type of its own) of columns patch, start_s and end_s: patch is of
+    Arrow's fixed-shape tensor type, [spec.patch, spec.mels] floats, one row a patch in time order, with its time span in
+    seconds; the last one is filled with its silent floor. `read_tensors` gives it back as a table. mel_mean is computed
+    from what is read back. spans are the segments in seconds.
     """
     src = common.ids_and_text(df, id_col, text_col)
     kind = src.schema["_id"].dataType.simpleString()
@@ -170,7 +171,7 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
         for batch in batches:
             if out is None:
-                out = common.Out(pa.schema([("_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("n_frames", pa.int64()), ("mel_shape", pa.list_(pa.int32())), ("mel", pa.list_(pa.float32())), ("mel_mean", pa.list_(pa.float32())), ("spans", pa.list_(span))]))
+                out = common.Out(pa.schema([("_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("n_frames", pa.int64()), ("tensors", pa.binary()), ("mel_mean", pa.list_(pa.float32())), ("spans", pa.list_(span))]))
             for key, text in common.text_rows(batch):
                 raw, n = padded(text)
                 media = wav_bytes(raw, s.rate)
@@ -182,7 +183,9 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 whole[: len(mel)] = mel
                 step = s.hop / s.out_rate
                 spans = [{"start_s": a * step, "end_s": b * step} for a, b in feats.segments(energy)]
-                out.add((key, n, media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(mel), [patches, s.patch, s.mels], whole.ravel(), mel.mean(axis=0), spans), len(media) + whole.nbytes)
+                stored = write_tensors(whole.reshape(patches, s.patch, s.mels), s)
+                back = tensor_values(read_tensors(stored)).reshape(-1, s.mels)[: len(mel)]
+                out.add((key, n, media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(mel), stored, back.mean(axis=0), spans), len(media) + len(stored))
                 if out.full():
                     yield out.take()
         if out is not None and out.cols[0]:
@@ -191,20 +194,36 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(common.tidy(run), schema).withColumnRenamed("_id", id_col)
 
 
-def to_tensors(mel: pa.Array | pa.ChunkedArray, spec: AudioSpec = AudioSpec()) -> pa.ExtensionArray:
-    """The patches of all rows of a mel column as one Arrow fixed-shape tensor array of [patch, mels]."""
-    if isinstance(mel, pa.ChunkedArray):
-        mel = mel.combine_chunks()
-    size = spec.patch * spec.mels
-    flat = mel.flatten().cast(pa.float32())
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (spec.patch, spec.mels)), pa.FixedSizeListArray.from_arrays(flat, size))
+def write_tensors(patches: np.ndarray, spec: AudioSpec = AudioSpec()) -> bytes:
+    """An Arrow IPC stream of [n, patch, mels] floats as fixed-shape tensors with their time spans."""
+    n = len(patches)
+    kind = pa.fixed_shape_tensor(pa.float32(), (spec.patch, spec.mels))
+    values = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(patches.ravel()), spec.patch * spec.mels))
+    start = np.arange(n) * (spec.patch * spec.hop / spec.out_rate)
+    batch = pa.RecordBatch.from_arrays([values, pa.array(start), pa.array(start + spec.patch * spec.hop / spec.out_rate)], ["patch", "start_s", "end_s"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """patch (fixed-shape tensors), start_s, end_s of a value of the tensors column."""
+    with pa.ipc.open_stream(stored) as r:
+        return r.read_all()
+
+
+def tensor_values(table: pa.Table) -> np.ndarray:
+    """[n, patch, mels] floats of a table of read_tensors."""
+    return table.column("patch").combine_chunks().to_numpy_ndarray()
 
 
 def op1_audio_features(spark, sf_dir: str) -> DataFrame:
     """The digests of the contract, derived from the operator's media, tensors and spans."""
-    f = audio_features(common.documents(spark, sf_dir))
+    s = AudioSpec()
+    f = audio_features(common.documents(spark, sf_dir), spec=s).withColumn("n_patches", F.ceil(F.col("n_frames") / s.patch))
     centi = lambda v: F.round(v * 100).cast("long").cast("string")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", centi(s["start_s"]), centi(s["end_s"]))), ",")
     mean = F.array_join(F.transform("mel_mean", centi), ",")
-    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";tensor="), F.array_join(F.col("mel_shape").cast("array<string>"), "x"), F.lit(";segments="), F.size("spans"), F.lit(";spans="), F.md5(spans.cast("binary")), F.lit(";mel="), mean)
+    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";tensors="), F.col("n_patches"), F.lit(";segments="), F.size("spans"), F.lit(";spans="), F.md5(spans.cast("binary")), F.lit(";mel="), mean)
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "n_frames", F.size("spans").cast("long").alias("n_segments"))
