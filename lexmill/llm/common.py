@@ -122,10 +122,15 @@ class Out:
         return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of the session get no more than BATCH_ROWS rows from here on."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def ids_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator needs, under names that no other column can clash with. Batches of the session get no more than BATCH_ROWS rows from here on."""
-    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Only the two columns that an operator needs, under names that no other column can clash with; in small batches."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
 
@@ -161,7 +166,7 @@ def sent_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts can be long, and a batch is held in the executor and in the Python worker at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 
 def tidy(run):

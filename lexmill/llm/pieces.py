@@ -26,7 +26,7 @@ from . import common
 
 SPACE, BREAK = "▁", "\n"
 #: Words kept between texts of a worker, and the longest of them; a longer word is encoded each time.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_WORDS, MEMO_CHARS = 200_000, 64
 #: Characters of text worked on together.
 GROUP_CHARS = 1 << 19
 #: Rank of a pair that no piece joins; id of an empty place.
@@ -255,7 +255,7 @@ def shared_pieces(model: bytes) -> Pieces:
 def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """id_col, ids binary (little-endian unsigned 32-bit, with begin and end), decoded string.
 
-    with_ids=False leaves the ids out where only the decoded text is wanted. Raises if a word's ids differ from the
+    Texts are decoded by the library, whose decode() the one of Pieces equals. with_ids=False leaves the ids out where only the decoded text is wanted. Raises if a word's ids differ from the
     library's. The model is a few hundred kilobytes of bytes in the task's closure.
     """
     src = common.ids_and_text(df, id_col, text_col)
@@ -267,8 +267,8 @@ def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             if out is None:
                 out = common.Out(pa.schema([("_id", batch.schema.field(0).type), ("ids", pa.binary()), ("decoded", pa.string())]))
             for group in common.groups(batch, GROUP_CHARS):
-                for (key, _), ids in zip(group, pieces.encode_batch([t for _, t in group])):
-                    decoded = pieces.decode(ids)
+                coded = pieces.encode_batch([t for _, t in group])
+                for (key, _), ids, decoded in zip(group, coded, pieces.library.decode([np.frombuffer(x, "<u4").tolist() for x in coded], num_threads=1)):
                     out.add((key, ids if with_ids else None, decoded), len(ids) + 2 * len(decoded))
                     if out.full():
                         yield out.take()

@@ -121,16 +121,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the spans cut out of text_col; and _removed_bytes long, _spans int beside its own columns."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
+    """df with the spans cut out of text_col; beside its own columns _removed_bytes long and _spans int, with _ behind these names where df has them itself."""
+    from pyspark.sql.functions import arrow_udf
 
+    @arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, own in zip(text, spans):
-            if own is None or t is None or not len(own):
+            t, own = t.as_py(), own.as_py()
+            if not own or t is None:
                 out.append(t)
                 continue
             raw, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
@@ -138,15 +137,15 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
                 parts.append(raw[at : s["start"]])
                 at = s["start"] + s["bytes"]
             out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     # Spans are small; texts are shuffled only where the spans' table is too large to send around.
-    side = common.sent_if_small(spans.select(F.col("_id").alias("_span_id"), F.col("spans").alias("_own")), 96)
-    own = [c for c in df.columns]
-    joined = df.join(side, df[id_col] == F.col("_span_id"), "left")
-    removed = F.coalesce(F.aggregate("_own", F.lit(0), lambda a, s: a + s["bytes"]), F.lit(0)).cast("long")
-    kept = [F.when(F.col("_own").isNull(), F.col(f"`{c}`")).otherwise(cut(F.when(F.col("_own").isNotNull(), F.col(f"`{c}`")), F.col("_own"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in own]
-    return joined.select(*kept, removed.alias("_removed_bytes"), F.when(F.col("_own").isNull(), 0).otherwise(F.size("_own")).alias("_spans"))
+    key, mine, size, number = (common.free_name(x, df) for x in ("_span_id", "_own", "_removed_bytes", "_spans"))
+    side = common.sent_if_small(spans.select(F.col("_id").alias(key), F.col("spans").alias(mine)))
+    joined = df.join(side, F.col(f"`{id_col}`") == F.col(key), "left")
+    removed = F.coalesce(F.aggregate(mine, F.lit(0), lambda a, s: a + s["bytes"]), F.lit(0)).cast("long")
+    kept = [F.when(F.col(mine).isNull(), F.col(f"`{c}`")).otherwise(cut(F.when(F.col(mine).isNotNull(), F.col(f"`{c}`")), F.col(mine))).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    return joined.select(*kept, removed.alias(size), F.when(F.col(mine).isNull(), 0).otherwise(F.size(mine)).alias(number))
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
@@ -158,5 +157,6 @@ def op5_substrings(spark, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages are taken out of the texts; a text of which nothing is left goes, n_chars follows the text."""
-    out = without_spans(docs, repeated_spans(docs)).where((F.col("_spans") == 0) | (F.trim("text") != "")).select(*docs.columns)
+    out = without_spans(docs, repeated_spans(docs))
+    out = out.where((F.col(f"`{out.columns[-1]}`") == 0) | (F.trim("text") != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
