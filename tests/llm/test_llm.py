@@ -78,8 +78,11 @@ def test_audio_blocks_resampling_and_tensors(spark, odd, none):
     assert whole.segments(np.array([0, 0, 5, 5, 1, 5, 0, 0, 0.0])) == [(2, 6)]
     rows = audio.audio_features(odd, "doc_id", "text").collect()
     assert len(rows) == len(ODD) and {r["n_frames"] for r in rows if r["doc_id"] in (1, 2)} == {1}
-    tensor = audio.to_tensors(pa.array([rows[4]["mel"]], pa.list_(pa.float32())))
-    assert tensor.type.shape == [16, 24] and len(tensor) == rows[4]["mel_shape"][0]
+    table = audio.read_tensors(rows[4]["tensors"])
+    assert table.schema.field("patch").type.shape == [16, 24] and table.num_rows == -(-rows[4]["n_frames"] // 16)
+    assert math.isclose(table["start_s"][1].as_py(), table["end_s"][0].as_py()) and math.isclose(table["end_s"][0].as_py(), 16 * 64 / 3200)
+    mels = np.concatenate([m for m, _ in whole.blocks(np.frombuffer(audio.padded(ODD[4][1])[0], np.uint8))])
+    assert np.array_equal(audio.tensor_values(table).reshape(-1, 24)[: len(mels)], mels)
     assert audio.audio_features(none).count() == 0
 
 
@@ -173,6 +176,24 @@ def test_pages_of_copies(spark):
     assert all(f"Head {k % 3}" in out[100 + k] and f"Only here {k % 3}" in out[100 + k] for k in range(4))
 
 
+def test_pages_keep_sentences_and_end(spark):
+    """Names of elements in a line or of other things drop nothing; deep, alternating and broken pages end in time."""
+    import time
+
+    art = '<body><nav>menu</nav><article><p>One <span class="share">bold claim</span> and <a class="related">the link</a> here</p><div class="ad-free">two</div><section id="menu-recipes"><p>three</p></section><div class="post-share-story"><p>four</p></div><div class="related-posts">no</div><div class="ad">no</div><ul id=shareButtons><li>no</ul></article><p>after</body>'
+    rows = [(1, None, art), (2, None, art), (3, "", art.replace("three", "3")), (4, None, art), (5, None, art), (6, None, art)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, _host int")).collect()}
+    assert {out[k] for k in (1, 2, 4, 5, 6)} == {"One bold claim and the link here\ntwo\nthree\nfour"} and out[3].endswith("two\n3\nfour")
+    hard = ["<div>" * 20000 + "deep text", "<article>" + "<h2>a</h2><p>b c</p>" * 6000 + "</article>", "<p>kept text" + "<a " * 40000, "<p>x" + '<a title="q>' * 9000, "</b>" * 20000 + "<i>" * 20000 + "<p>end", "<!" * 30000, "<script>" * 3000, "".join(f"<div class=u{k}>t{k}</div>" for k in range(3000))]
+    began = time.time()
+    for h in hard:
+        root = pages.tree(pages.parse(h))
+        again = pages.tree(pages.parse(h))
+        assert pages.align(root, again) and isinstance(pages.page_text(h, again, pages.content_node(again, pages.own_lengths(again)), frozenset()), str)
+    assert time.time() - began < 40
+    assert pages.page_text(hard[1], pages.tree(pages.parse("")), None, frozenset()).count("\n") == 11999 and pages.page_text(hard[2], pages.tree(pages.parse("")), None, frozenset()) == "kept text"
+
+
 def brute_matching(a, b):
     if a.label != b.label:
         return 0
@@ -379,6 +400,12 @@ def test_decontamination(spark, docs, none):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     w = items[3][1].split()
     rows += [(5000, "before it " + items[3][1].upper().replace(" ", "  ") + " after"), (5001, items[3][1]), (5002, " ".join(w[: len(w) // 3])), (5003, None), (5004, "a tiny item"), (5005, " ".join(["x"] + w[1:]))]
+    # Parts in another order: halves swapped, thirds turned, doubled; also between other words, at an end and with an edit.
+    w = items[7][1].split()
+    half, third, other = len(w) // 2, len(w) // 3, [f"o{k}" for k in range(70)]
+    swapped, rotated = w[half:] + w[:half], w[third:] + w[:third]
+    rows += [(5100 + k, " ".join(x)) for k, x in enumerate([swapped, other + swapped + other, other + rotated, rotated + other, w + w, other[:9] + w[:half] + ["new"] + w[half:] + other[:9], w[:half] + other[:3] + w[half:], swapped[:20] + ["new"] + swapped[21:], other[:5] + w[half:] + w[:half] + w[half:]])]
+    rows += [(None, other[0] + " " + items[5][1]), (5200, "tiny item " * 3)]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, h int"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = set()
     for d, t in rows:
@@ -394,8 +421,8 @@ def test_decontamination(spark, docs, none):
                 continue
             if any(jaccard(a, bag(words[s : s + len(own)])) >= 0.8 for s in range(max(1, len(words) - len(own) + 1)) if words[s : s + len(own)]):
                 want.add((d, i))
-    assert got == want and (5000, items[3][0]) in got and (5002, items[3][0]) not in got
-    assert decontaminate.leaks(none, bench).count() == 0
+    assert got == want and (5000, items[3][0]) in got and (5101, items[7][0]) in got and (None, items[5][0]) in got and (5002, items[3][0]) not in got
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs.limit(5), bench.limit(0)).count() == 0
 
 
 def test_decontamination_of_repeated_rows(spark):
