@@ -61,14 +61,16 @@ def parameter_breakdown(spark, sf_dir):
     return s.join(width).select("stream", (F.col("vocab") * F.col("dim")).alias("embedding"), (F.col("vocab") * F.col("width")).cast("long").alias("head"))
 
 
-@query("shuffled_control", f"WITH {tok_sql("lang = 'en'")}, a AS (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY md5('3' || pos::VARCHAR), pos) AS k FROM tok) SELECT x.doc_id, x.pos, y.w FROM a x JOIN a y ON x.doc_id = y.doc_id AND x.i = y.k")
+@query(
+    "shuffled_control",
+    r"WITH d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS l FROM documents WHERE text IS NOT NULL AND lang = 'en'), s AS (SELECT doc_id, list_sort(list_transform(range(0, len(l)), lambda i: {'h': md5('3' || i::VARCHAR), 'i': i, 'w': l[i + 1]})) AS x FROM d) "
+    "SELECT doc_id, unnest(range(0, len(x))) AS pos, unnest(list_transform(x, lambda e: e.w)) AS w FROM s",
+)
 def shuffled_control(spark, sf_dir):
-    """Each document's words dealt anew over its places by a seeded hash."""
-    t = tokens(spark, sf_dir, "en").select("doc_id", "pos", "w")
-    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    new = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.concat(F.lit("3"), F.col("pos").cast("string"))), "pos"))
-    a = t.withColumn("i", own).withColumn("k", new)
-    return a.select("doc_id", F.col("pos").cast("long"), "i").join(a.select("doc_id", F.col("k").alias("i"), "w"), ["doc_id", "i"]).select("doc_id", "pos", "w")
+    """Each document's words dealt anew over its places by a seeded hash: one array a document, no shuffle."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'")
+    dealt = F.array_sort(F.transform(T.words("text"), lambda w, i: F.struct(F.md5(F.concat(F.lit("3"), i.cast("string"))).alias("h"), i.alias("i"), w.alias("w"))))
+    return d.select("doc_id", F.posexplode(F.transform(dealt, lambda x: x["w"])).alias("pos", "w")).select("doc_id", F.col("pos").cast("long"), "w")
 
 
 @query("head_tail_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT CASE WHEN rn <= floor(0.8 * n) THEN 'head' ELSE 'tail' END AS part, count(*) AS n, min(doc_id) AS first_doc FROM r GROUP BY 1")

@@ -24,14 +24,25 @@ SEG_SQL = (
 
 
 def segmented(spark, sf_dir) -> DataFrame:
-    """doc_id, pos, surface, root, tag of English words: each distinct word is segmented where it stands, in generated code."""
+    """doc_id, pos, surface, root, tag of English words where they stand, for streams that keep places; without a shuffle."""
     s = tokens(spark, sf_dir, "en").select("doc_id", "pos", F.col("w").alias("surface"), shallow.segment("w", "en").alias("s"))
     return s.select("doc_id", "pos", "surface", "s.root", "s.tag")
 
 
+def segmented_words(spark, sf_dir) -> DataFrame:
+    """surface, cnt, root, tag: words are counted first, and each distinct one is segmented once."""
+    n = stats.freq(tokens(spark, sf_dir, "en").select(F.col("w").alias("surface")), "surface")
+    return n.select("surface", "cnt", shallow.segment("surface", "en").alias("s")).select("surface", "cnt", "s.root", "s.tag")
+
+
+def summed(counts: DataFrame, *cols: str) -> DataFrame:
+    """Counts by fewer columns."""
+    return counts.groupBy(*cols).agg(F.sum("cnt").alias("cnt"))
+
+
 @query("shallow_segment", f"WITH {SEG_SQL} SELECT root, tag, count(*) AS cnt FROM seg GROUP BY root, tag")
 def shallow_segment(spark, sf_dir):
-    return stats.freq(segmented(spark, sf_dir), "root", "tag")
+    return summed(segmented_words(spark, sf_dir), "root", "tag")
 
 
 @query("token_freq", f"WITH {tok_sql()} SELECT lang, w, count(*) AS cnt FROM tok GROUP BY lang, w")
@@ -44,7 +55,7 @@ _H = "SELECT sum(cnt)::BIGINT AS n, count(*) AS distinct_values, log2(sum(cnt)::
 
 @query("bundle_entropy", f"WITH {SEG_SQL}, c AS (SELECT tag, count(*) AS cnt FROM seg GROUP BY tag) SELECT n, distinct_values, round(h, 6) AS h FROM ({_H} FROM c)")
 def bundle_entropy(spark, sf_dir):
-    return stats.entropy(stats.freq(segmented(spark, sf_dir), "tag")).select("n", "distinct_values", F.round("h", 6).alias("h"))
+    return stats.entropy(summed(segmented_words(spark, sf_dir), "tag")).select("n", "distinct_values", F.round("h", 6).alias("h"))
 
 
 _HC = (
@@ -54,7 +65,7 @@ _HC = (
 
 @query("conditional_entropy", f"WITH {SEG_SQL}, j AS (SELECT root AS cond, tag, count(*) AS cnt FROM seg GROUP BY ALL) SELECT n, round(h_cond, 6) AS h_cond FROM ({_HC})")
 def conditional_entropy(spark, sf_dir):
-    j = stats.freq(segmented(spark, sf_dir).withColumnRenamed("root", "cond"), "cond", "tag")
+    j = summed(segmented_words(spark, sf_dir).withColumnRenamed("root", "cond"), "cond", "tag")
     return stats.conditional_entropy(j, "cond").select("n", F.round("h_cond", 6).alias("h_cond"))
 
 
@@ -68,8 +79,8 @@ _SIG = "CASE WHEN root <> '' AND instr(lower(surface), root) > 0 THEN substr(low
 )
 def recoverability(spark, sf_dir):
     """Entropy of bundles, and how much of it the surface's form without its root recovers."""
-    sig = segmented(spark, sf_dir).select(T.surface_signature("surface", "root").alias("cond"), "tag")
-    j = stats.freq(sig, "cond", "tag")
+    sig = segmented_words(spark, sf_dir).select(T.surface_signature("surface", "root").alias("cond"), "tag", "cnt")
+    j = summed(sig, "cond", "tag")
     h = stats.entropy(j.groupBy("tag").agg(F.sum("cnt").alias("cnt")))
     c = stats.conditional_entropy(j, "cond").select("h_cond")
     x = h.join(F.broadcast(c))  # one row each
@@ -93,7 +104,7 @@ def zipf_exponent(spark, sf_dir):
     "SELECT round(top_share, 6) AS top_share, k AS distinct_bundles, CASE WHEN alpha IS NULL THEN 'too few' WHEN top_share > 0.6 THEN 'dominated' WHEN alpha < 0.5 THEN 'flat' WHEN alpha BETWEEN 0.7 AND 2.2 THEN 'healthy' WHEN alpha > 2.2 THEN 'steep' ELSE 'borderline' END AS verdict FROM s, z",
 )
 def zipf_verdict(spark, sf_dir):
-    f = stats.freq(segmented(spark, sf_dir), "tag")
+    f = summed(segmented_words(spark, sf_dir), "tag")
     s = f.agg((F.max("cnt") / F.sum("cnt")).alias("s"), F.count(F.lit(1)).alias("k")).join(F.broadcast(stats.zipf(f, ["tag"]).select("alpha")))
     a = F.col("alpha")
     v = F.when(F.isnan(a), "too few").when(F.col("s") > 0.6, "dominated").when(a < 0.5, "flat").when(a.between(0.7, 2.2), "healthy").when(a > 2.2, "steep").otherwise("borderline")
@@ -167,8 +178,9 @@ def shallow_encode(spark, sf_dir):
 def encode_multistream(spark, sf_dir):
     """Aligned streams of one projection: a miss is <unk>, an empty root <pad>."""
     seg = segmented(spark, sf_dir)
-    sv = vocab.build_vocab(stats.freq(seg, "surface"), "surface", cap=4000).select("surface", F.col("id").alias("sid"))
-    rv = vocab.build_vocab(stats.freq(seg.where("root <> ''"), "root"), "root", cap=2000).select("root", F.col("id").alias("rid"))
+    words = segmented_words(spark, sf_dir)
+    sv = vocab.build_vocab(words.select("surface", "cnt"), "surface", cap=4000).select("surface", F.col("id").alias("sid"))
+    rv = vocab.build_vocab(summed(words.where("root <> ''"), "root"), "root", cap=2000).select("root", F.col("id").alias("rid"))
     x = seg.join(F.broadcast(sv), "surface", "left").join(F.broadcast(rv), "root", "left")
     return x.select("doc_id", F.col("pos").cast("long"), F.coalesce("sid", F.lit(1)).cast("long").alias("surface_id"), F.when(F.col("root") == "", 0).otherwise(F.coalesce("rid", F.lit(1))).cast("long").alias("root_id"))
 
@@ -207,8 +219,9 @@ def source_counts(spark, sf_dir):
 
 @query("fertility", rf"WITH {SEG_SQL}, p AS (SELECT doc_id, surface, 1 + (tag LIKE 'SUF%')::INT AS pieces FROM seg) SELECT sum(pieces)::BIGINT AS pieces, count(*) AS words, round(sum(pieces) / greatest(1, count(*)), 6) AS per_word, round(sum(pieces) / greatest(1, sum(length(surface))), 6) AS per_char FROM p")
 def fertility(spark, sf_dir):
-    p = segmented(spark, sf_dir).select("surface", (1 + F.col("tag").startswith("SUF").cast("int")).alias("pieces"))
-    return p.agg(F.sum("pieces").alias("pieces"), F.count(F.lit(1)).alias("words"), F.round(F.sum("pieces") / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias("per_word"), F.round(F.sum("pieces") / F.greatest(F.lit(1), F.sum(F.length("surface"))), 6).alias("per_char"))
+    p = segmented_words(spark, sf_dir).select("cnt", (F.col("cnt") * (1 + F.col("tag").startswith("SUF").cast("int"))).alias("pieces"), (F.col("cnt") * F.length("surface")).alias("chars"))
+    n = p.agg(F.sum("pieces").alias("pieces"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("words"), F.sum("chars").alias("chars"))
+    return n.select("pieces", "words", F.round(F.col("pieces") / F.greatest(F.lit(1), "words"), 6).alias("per_word"), F.round(F.col("pieces") / F.greatest(F.lit(1), "chars"), 6).alias("per_char"))
 
 
 @query("split_stats", r"SELECT lang, count(*) AS lines, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens, round(avg(len(regexp_extract_all(text, '\S+'))), 2) AS avg_tokens FROM documents WHERE text IS NOT NULL GROUP BY lang")
@@ -231,8 +244,8 @@ def foreign_rate(spark, sf_dir):
 
 @query("meaning_units", f"WITH {SEG_SQL} SELECT count(*) AS n, sum((tag LIKE 'SUF%')::INT)::BIGINT AS marked, round(count(*) / greatest(1, sum((tag LIKE 'SUF%')::INT)), 6) AS tokens_per_unit, count(DISTINCT surface) AS distinct_surfaces FROM seg")
 def meaning_units(spark, sf_dir):
-    marked = F.sum(F.col("tag").startswith("SUF").cast("int"))
-    return segmented(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), marked.alias("marked"), F.round(F.count(F.lit(1)) / F.greatest(F.lit(1), marked), 6).alias("tokens_per_unit"), F.count_distinct("surface").alias("distinct_surfaces"))
+    n, marked = F.coalesce(F.sum("cnt"), F.lit(0)), F.sum(F.col("cnt") * F.col("tag").startswith("SUF").cast("int"))
+    return segmented_words(spark, sf_dir).agg(n.alias("n"), marked.alias("marked"), F.round(n / F.greatest(F.lit(1), marked), 6).alias("tokens_per_unit"), F.count(F.lit(1)).alias("distinct_surfaces"))
 
 
 @query("neighbor_context", f"WITH {tok_sql("lang = 'en'")}, n AS (SELECT w, lag(w) OVER o AS prev, lead(w) OVER o AS next FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT coalesce(prev, '<s>') AS prev, coalesce(next, '</s>') AS next, count(*) AS cnt FROM n WHERE w = 'the' GROUP BY 1, 2")
