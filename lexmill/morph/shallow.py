@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_stripped
@@ -43,6 +43,14 @@ def segment(word: str | Column, lang: str = "en") -> Column:
     return F.struct(root.alias("root"), F.when(w == "", "O").otherwise(tag).alias("tag"))
 
 
+def with_segments(df: DataFrame, word: str) -> DataFrame:
+    """df with root and tag of an English word column, one step a projection, so the suffix is looked for once a row."""
+    x = df.withColumn("_w", edge_stripped(word))
+    x = x.withColumn("_s", _first_suffix(F.col("_w"), EN_SUFFIXES, 2))
+    tag = F.when(F.col("_w") == "", "O").otherwise(F.coalesce(F.concat(F.lit("SUF_"), F.col("_s")), F.lit("ROOT")))
+    return x.select(*df.columns, F.coalesce(_without(F.col("_w"), F.col("_s")), F.col("_w")).alias("root"), tag.alias("tag"))
+
+
 def segment_sql(w: str, suffixes: list[str] = EN_SUFFIXES) -> str:
     """A DuckDB expression for the chosen suffix of w, generated from the same list."""
     cases = " ".join(f"WHEN ends_with({w}, '{s}') AND length({w}) >= {len(s) + 2} THEN '{s}'" for s in dict.fromkeys(suffixes))

@@ -25,14 +25,13 @@ SEG_SQL = (
 
 def segmented(spark, sf_dir) -> DataFrame:
     """doc_id, pos, surface, root, tag of English words where they stand, for streams that keep places; without a shuffle."""
-    s = tokens(spark, sf_dir, "en").select("doc_id", "pos", F.col("w").alias("surface"), shallow.segment("w", "en").alias("s"))
-    return s.select("doc_id", "pos", "surface", "s.root", "s.tag")
+    return shallow.with_segments(tokens(spark, sf_dir, "en").select("doc_id", "pos", F.col("w").alias("surface")), "surface")
 
 
 def segmented_words(spark, sf_dir) -> DataFrame:
     """surface, cnt, root, tag: words are counted first, and each distinct one is segmented once."""
     n = stats.freq(tokens(spark, sf_dir, "en").select(F.col("w").alias("surface")), "surface")
-    return n.select("surface", "cnt", shallow.segment("surface", "en").alias("s")).select("surface", "cnt", "s.root", "s.tag")
+    return shallow.with_segments(n, "surface")
 
 
 def summed(counts: DataFrame, *cols: str) -> DataFrame:
