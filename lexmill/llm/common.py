@@ -180,6 +180,7 @@ def tidy(run):
             import gc
 
             gc.collect()
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
             except (OSError, AttributeError):  # another C library

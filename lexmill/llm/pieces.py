@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from . import common
 
 SPACE, BREAK = "▁", "\n"
 #: Words kept between texts of a worker, and the longest of them; a longer word is encoded each time.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+MEMO_WORDS, MEMO_CHARS = 60_000, 64
 #: Characters of text worked on together.
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 17
 #: Rank of a pair that no piece joins; id of an empty place.
-NONE, VOID = np.int32(2**31 - 1), (1 << 20) - 1
+NONE, VOID, UNCOVERED = np.int32(2**31 - 1), (1 << 20) - 1, -1
 
 
 def piece_model(path: str) -> bytes:
@@ -114,7 +115,12 @@ class Pieces:
         order = np.unique(table[:, 1], return_inverse=True)[1]
         self.ranks = np.append(order.astype(np.int32), NONE).astype(np.int32)
         self.joins = np.append(table[:, 2].astype(np.int32), 0).astype(np.int32)
-        self.char_id = {p: i for p, i in self.id.items() if len(p) == 1}
+        # Ids of single characters by code point: NUL fills up rows, a character without a piece is UNCOVERED.
+        self.char_ids = np.full(0x110000, UNCOVERED, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        self.char_ids[0] = VOID
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code = a.astype(np.int64) << 20 | b
@@ -130,24 +136,21 @@ class Pieces:
         lanes: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             n = len(w)
-            if n > 32:
+            if n > 32 or "\0" in w:
                 out[k] = np.array(self.agenda(w), "<u4").tobytes()
             else:
                 lanes.setdefault(8 if n <= 8 else 12 if n <= 12 else 20 if n <= 20 else 32, []).append(k)
-        char_id = self.char_id
         for width, lane in lanes.items():
             for at in range(0, len(lane), 8192):
                 part = lane[at : at + 8192]
-                some, rows = [], []
-                for k in part:
-                    try:
-                        rows.append([char_id[c] for c in words[k]] + [VOID] * (width - len(words[k])))
-                        some.append(k)
-                    except KeyError:  # a character without a piece
-                        out[k] = np.array(self.agenda(words[k]), "<u4").tobytes()
+                filled = "".join([words[k].ljust(width, "\0") for k in part])
+                m = self.char_ids[np.frombuffer(filled.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width)]
+                covered = (m != UNCOVERED).all(axis=1)
+                for i in np.flatnonzero(~covered).tolist():
+                    out[part[i]] = np.array(self.agenda(words[part[i]]), "<u4").tobytes()
+                some, m = [part[i] for i in np.flatnonzero(covered).tolist()], m[covered]
                 if not some:
                     continue
-                m = np.array(rows, np.int32)
                 rank, join = self._look(m[:, :-1], m[:, 1:])
                 live = np.arange(len(some))
                 cols = np.arange(width)
@@ -183,10 +186,11 @@ class Pieces:
         some = [k for k, w in enumerate(words) if w != SPACE]  # a lone mark is one piece, where the library sees an empty text
         own = [words[k][0] == SPACE for k in some]
         want = self.library.encode([words[k][1:].replace(SPACE, " ") if o else BREAK + words[k] for k, o in zip(some, own)], num_threads=1)
-        flat = [i for x, o in zip(want, own) for i in (x if o else x[2:])]
-        size = np.array([len(x) if o else len(x) - 2 for x, o in zip(want, own)], np.int64) * 4
+        want = [x if o else x[2:] for x, o in zip(want, own)]
+        flat = np.fromiter(chain.from_iterable(want), "<u4")
+        size = np.array([len(x) for x in want], np.int64) * 4
         mine = np.array([len(got[k]) for k in some], np.int64)
-        return bool((size == mine).all()) and np.array(flat, "<u4").tobytes() == b"".join([got[k] for k in some])
+        return bool((size == mine).all()) and flat.tobytes() == b"".join([got[k] for k in some])
 
     def learn(self, words: list[str]) -> list[bytes]:
         """Ids of words, checked against the library."""
@@ -204,15 +208,14 @@ class Pieces:
             return [first + np.array(self.agenda(m), "<u4").tobytes() + last for m in marked]
         memo, old, new = self.memo, self.old, []
         parts = [self.word.findall(m) for m in marked]
-        for w in {w for p in parts for w in p}:
-            if w not in memo:
-                got = old.get(w)
-                if got is None:
-                    new.append(w)
-                else:
-                    memo[w] = got
+        for w in set().union(*parts).difference(memo):
+            got = old.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                memo[w] = got
         memo.update(zip(new, self.learn(new)))
-        out = [first + b"".join([memo[w] for w in p]) + last for p in parts]
+        out = [first + b"".join(map(memo.__getitem__, p)) + last for p in parts]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
