@@ -50,11 +50,22 @@ def macro_f1(df: DataFrame, pred: str, truth: str, classes: tuple = (0, 1)) -> D
 
 
 def gini(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Gini coefficient. Equal values are counted first; ranks are running sums over the distinct values of a group."""
-    c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    r = c.withColumn("upto", F.sum("c").over(w))
+    """Gini coefficient. Equal values are counted first; ranks are running sums over the distinct values of a group.
+
+    The sums have two levels, so a group of any size is spread: buckets of the value's logarithm, which keep its order,
+    and values within a bucket.
+    """
     v = F.col(value).cast("double")
+    c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).withColumn("_b", F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 64))
+    sums = c.groupBy(*by, "_b").agg(F.sum("c").alias("_s"))
+    level = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    before = sums.withColumn("_before", F.sum("_s").over(level) - F.col("_s")).drop("_s")
+    inside = F.sum("c").over(Window.partitionBy(*by, "_b").orderBy(value))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*by, "_b")]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    r = c.withColumn("_inside", inside).alias("x").join(before.alias("y"), on).select("x.*", (F.col("_inside") + F.col("_before")).alias("upto"))
     # Ranks of c equal values sum to c * (2 * upto - c + 1) / 2.
     ranks = F.col("c") * (2 * F.col("upto") - F.col("c") + 1) / 2
     n = F.sum("c")

@@ -31,6 +31,18 @@ def sequences(encoded: DataFrame, key: list[str], pos: str = "pos") -> DataFrame
     return encoded.groupBy(*key).agg(F.concat(F.array(F.lit(BOS)), ordered, F.array(F.lit(EOS))).alias("ids"))
 
 
+def ranks(df: DataFrame, bucket, order: list) -> DataFrame:
+    """df with _rank, from 1 in the given order. `bucket` is a column that grows with the order.
+
+    Rows are counted by bucket, counts are accumulated over a row a bucket, and rows are numbered within their bucket, so
+    no task gets all rows.
+    """
+    b = df.withColumn("_b", bucket)
+    sums = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_s"))
+    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))
+    return b.withColumn("_inside", F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(before, "_b").withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_b", "_inside", "_before")
+
+
 def line_offsets(lines: DataFrame, key: str, size: str, bucket: int = 4096) -> DataFrame:
     """lines with offset: the sum of the sizes of all lines before it in order of key.
 

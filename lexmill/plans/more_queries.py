@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from ..operators.vocab import ranks
 from .registry import query
 from .set_queries import _bucket_sql, md5_bucket
 from .stat_queries import SEG_SQL, segmented
@@ -75,10 +76,11 @@ def shuffled_control(spark, sf_dir):
 
 @query("head_tail_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM labels) SELECT CASE WHEN rn <= floor(0.8 * n) THEN 'head' ELSE 'tail' END AS part, count(*) AS n, min(doc_id) AS first_doc FROM r GROUP BY 1")
 def head_tail_split(spark, sf_dir):
-    """Positions only of ids. The border is the id at 80 %, found by a limit, so no window holds all rows."""
+    """Ids in order, ranked within buckets of 4,096 ids, so no task gets all or most of them."""
     ids = table(spark, sf_dir, "labels").select("doc_id")
-    border = ids.orderBy("doc_id").limit(int(ids.count() * 0.8)).agg(F.max("doc_id").alias("border"))
-    return ids.join(F.broadcast(border)).groupBy(F.when(F.col("doc_id") <= F.col("border"), "head").otherwise("tail").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    r = ranks(ids, F.floor(F.col("doc_id") / 4096), ["doc_id"]).join(F.broadcast(ids.agg(F.count(F.lit(1)).alias("_n"))))
+    part = F.when(F.col("_rank") <= F.floor(0.8 * F.col("_n")), "head").otherwise("tail")
+    return r.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("split_cap", f"WITH s AS (SELECT doc_id, CASE WHEN {_bucket_sql('doc_id::VARCHAR', 10)} = 0 THEN 2 WHEN {_bucket_sql('doc_id::VARCHAR', 10)} = 1 THEN 1 ELSE 0 END AS split FROM documents) SELECT doc_id, split FROM s ORDER BY split, doc_id LIMIT 170")

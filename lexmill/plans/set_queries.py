@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..io import table
 from ..lexicon.slots import EN_ALLOWED, SLOTS
+from ..operators.vocab import ranks
 from .registry import query
 from .text_queries import rows, tok_sql, tokens, values_sql
 
@@ -47,9 +48,15 @@ def examples_topk(spark, sf_dir):
 
 @query("balanced_cap", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents), a AS (SELECT *, rn <= 8 AS in_cap FROM r) SELECT doc_id, source FROM (SELECT * FROM a ORDER BY in_cap DESC, doc_id LIMIT 180)")
 def balanced_cap(spark, sf_dir):
-    """Up to a cap from each source, then more in order of id up to the target."""
-    r = table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return r.orderBy(F.desc(F.col("rn") <= 8), "doc_id").limit(180).select("doc_id", "source")
+    """Up to a cap from each source, then more in order of id up to the target.
+
+    The cap's rank is limited in the tasks before the shuffle; what fills up comes from a limit over the rest.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    capped = d.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 8").drop("rn")
+    rest = d.join(capped.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(180)
+    both = capped.withColumn("place", F.lit(0)).unionByName(rest.withColumn("place", F.lit(1)))
+    return both.orderBy("place", "doc_id").limit(180).select("doc_id", "source")
 
 
 @query("hash_split", f"SELECT split, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, CASE WHEN {_bucket_sql("doc_id::VARCHAR", 100)} < 10 THEN 'test' WHEN {_bucket_sql("doc_id::VARCHAR", 100)} < 20 THEN 'val' ELSE 'train' END AS split FROM documents) GROUP BY split")
@@ -61,9 +68,9 @@ def hash_split(spark, sf_dir):
 
 @query("shuffle_split", "WITH r AS (SELECT item_id, row_number() OVER (ORDER BY md5('17' || item_id::VARCHAR), item_id) AS rn, count(*) OVER () AS n FROM benchmark) SELECT item_id, CASE WHEN rn <= floor(0.7 * n) THEN 'train' WHEN rn <= floor(0.85 * n) THEN 'val' ELSE 'test' END AS split FROM r")
 def shuffle_split(spark, sf_dir):
-    """A seeded order, then contiguous parts. Positions need one order of all ids, so only ids and hashes are ranked."""
+    """A seeded order, then contiguous parts: ids are ranked within 65,536 buckets of their hash."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.concat(F.lit("17"), F.col("item_id").cast("string"))).alias("h"))
-    r = b.select("item_id", F.row_number().over(Window.orderBy("h", "item_id")).alias("rn")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("n"))))
+    r = ranks(b, F.left("h", F.lit(4)), ["h", "item_id"]).withColumnRenamed("_rank", "rn").join(F.broadcast(b.agg(F.count(F.lit(1)).alias("n"))))
     return r.select("item_id", F.when(F.col("rn") <= F.floor(0.7 * F.col("n")), "train").when(F.col("rn") <= F.floor(0.85 * F.col("n")), "val").otherwise("test").alias("split"))
 
 
