@@ -79,7 +79,7 @@ def he_verb(spark, sf_dir):
 
 
 # Endings taken off before the root's letters are read, in order.
-HE_ENDINGS = "יים ות ים תי נו תם תן ית ה ת ו י ם ן".split()
+HE_ENDINGS = ["יים", "ות", "ים", "תי", "נו", "תם", "תן", "ית", "ה", "ת", "ו", "י", "ם", "ן"]
 HE_ROOTED = [("התקרב", "HITPAEL"), ("הגיש", "HIFIL"), ("נסגר", "NIFAL"), ("מבקש", "PIEL"), ("כתבתי", "PAAL"), ("ילדים", "NONE"), ("בא", "PAAL")]
 
 

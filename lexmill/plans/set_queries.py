@@ -152,7 +152,7 @@ def occurrence_join(spark, sf_dir):
 
 # Bundle spaces -------------------------------------------------------------
 
-_SLOT_ROWS = [(lang, pos, slot, v) for lang, ps in SLOTS.items() for pos, slots in ps.items() for slot, vs in (slots or {"": ""}).items() for v in [None, *vs.split()]]
+_SLOT_ROWS = [(lang, pos, slot, v) for lang, ps in SLOTS.items() for pos, slots in ps.items() for slot, vs in (slots or {"": []}).items() for v in [None, *vs]]
 
 
 def bundle_space(spark) -> DataFrame:
@@ -162,7 +162,7 @@ def bundle_space(spark) -> DataFrame:
         for pos, slots in ps.items():
             d = spark.range(1).select(F.lit(lang).alias("lang"), F.lit(pos).alias("pos"), F.array().cast("array<struct<k:string,v:string>>").alias("e"))
             for slot, vs in slots.items():
-                choice = F.explode(F.array(F.lit(None).cast("string"), *[F.lit(v) for v in vs.split()]))
+                choice = F.explode(F.array(F.lit(None).cast("string"), *[F.lit(v) for v in vs]))
                 d = d.select("lang", "pos", "e", choice.alias("v")).select("lang", "pos", F.when(F.col("v").isNull(), F.col("e")).otherwise(F.concat("e", F.array(F.struct(F.lit(slot).alias("k"), F.col("v").alias("v"))))).alias("e"))
             out = d if out is None else out.union(d)
     return out.select("lang", "pos", F.map_from_entries("e").alias("tags"))
@@ -171,7 +171,7 @@ def bundle_space(spark) -> DataFrame:
 def validate_expr():
     """Whether a bundle is allowed, by language."""
     t, keys = F.col("tags"), F.map_keys("tags")
-    within = lambda names: F.size(F.array_except(keys, F.array(*[F.lit(x) for x in names.split()]))) == 0
+    within = lambda names: F.size(F.array_except(keys, F.array(*[F.lit(x) for x in names]))) == 0
     v = lambda k: F.coalesce(F.try_element_at(t, F.lit(k)), F.lit(""))
     has = lambda *ks: F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ks]))
     en = F.lit(True)
@@ -256,7 +256,7 @@ def rejection_rate(spark, sf_dir):
 
 
 FILTERED = [("NOUN", "num", "PL", "tense", "PAST"), ("VERB", "tense", "PAST", "num", "PL"), ("ADJ", "degree", "COMP", "poss", "YES"), ("PREP", "x", "1", "y", "2")]
-_ALLOWED_SQL = "CASE pos " + " ".join(f"WHEN '{p}' THEN [{', '.join(repr(x) for x in names.split())}]" for p, names in EN_ALLOWED.items()) + " ELSE [] END"
+_ALLOWED_SQL = "CASE pos " + " ".join(f"WHEN '{p}' THEN [{', '.join(repr(x) for x in names)}]" for p, names in EN_ALLOWED.items()) + " ELSE [] END"
 
 
 @query("tag_filter", f"SELECT pos, array_to_string(list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: list_contains({_ALLOWED_SQL}, split_part(x, '=', 1)))), '|') AS kept FROM {values_sql('pos, k1, v1, k2, v2', FILTERED)}")
@@ -264,7 +264,7 @@ def tag_filter(spark, sf_dir):
     r = rows(spark, "pos string, k1 string, v1 string, k2 string, v2 string", FILTERED)
     allowed = None
     for p, names in EN_ALLOWED.items():
-        a = F.array(*[F.lit(x) for x in names.split()])
+        a = F.array(*[F.lit(x) for x in names])
         allowed = F.when(F.col("pos") == p, a) if allowed is None else allowed.when(F.col("pos") == p, a)
     allowed = allowed.otherwise(F.array().cast("array<string>"))
     kept = F.map_filter(F.create_map("k1", "v1", "k2", "v2"), lambda k, v: F.array_contains(allowed, k))
@@ -272,8 +272,31 @@ def tag_filter(spark, sf_dir):
 
 
 # Coarse classes of tags.
-_COARSE = "NOUN:NOMINAL PROPN:NOMINAL NOM:NOMINAL NOUN_PROP:NOMINAL NOUN_NUM:NUM ADJ:ADJ ADJ_COMP:ADJ VERB:VERB VERB_PSEUDO:VERB AUX:VERB ADV:ADV ADP:ADP PREP:ADP PART:PART PRON:PRON DET:DET NUM:NUM CONJ:CONJ CCONJ:CONJ SCONJ:CONJ CONJ_SUB:CONJ PUNCT:PUNCT CLF:PART"
-COARSE = [tuple(x.split(":")) for x in _COARSE.split()]
+COARSE = [
+    ("NOUN", "NOMINAL"),
+    ("PROPN", "NOMINAL"),
+    ("NOM", "NOMINAL"),
+    ("NOUN_PROP", "NOMINAL"),
+    ("NOUN_NUM", "NUM"),
+    ("ADJ", "ADJ"),
+    ("ADJ_COMP", "ADJ"),
+    ("VERB", "VERB"),
+    ("VERB_PSEUDO", "VERB"),
+    ("AUX", "VERB"),
+    ("ADV", "ADV"),
+    ("ADP", "ADP"),
+    ("PREP", "ADP"),
+    ("PART", "PART"),
+    ("PRON", "PRON"),
+    ("DET", "DET"),
+    ("NUM", "NUM"),
+    ("CONJ", "CONJ"),
+    ("CCONJ", "CONJ"),
+    ("SCONJ", "CONJ"),
+    ("CONJ_SUB", "CONJ"),
+    ("PUNCT", "PUNCT"),
+    ("CLF", "PART"),
+]
 TAGGED = [(1, "PROPN"), (2, "AUX"), (3, "X"), (4, "SCONJ"), (5, None)]
 
 
