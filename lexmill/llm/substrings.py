@@ -1,14 +1,17 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides at which word beginnings a text is cut, so an insertion moves only the
-cuts near it. Chunks are known by a 128-bit digest. Of all places where a digest occurs, the first (lowest id, then
-lowest offset) is the original; successive repeated chunks of a text form a run, and a run of `min_words` or more
-is taken out of the text. A shared passage loses its first and last words, up to the next cut, only to the chunks that
-it shares with its surroundings, which is why min_words lies under the length of the passages looked for.
+cuts near it. Chunks are known by a 128-bit digest. Of all places where a digest occurs, the first (lowest id, then lowest
+hash of the text, then lowest offset) is the original; successive repeated chunks of a text form a run, and a run of
+`min_words` words or more, or with `min_bytes` bytes or more that another text had first, is taken out of the text. A shared
+passage loses its first and last words, up to the next cut, only to the chunks that it shares with its surroundings, which is
+why min_words lies under the length of the passages looked for.
 
 Cases: null and empty texts have no chunks and stay as they are; rows that repeat an id with the same text count as one
-document; texts of any length are cut whole; a text without white space is cut at most every `most` bytes, between
-characters; an empty table gives an empty result; added columns get names that no column of the input has.
+document, rows that repeat an id with different texts are documents of their own; rows without an id come before all others,
+so the first of equal texts may be one of them. Where a text has no word beginning for `most` bytes, the hash decides at
+character beginnings, so scripts without spaces are cut by their content too, and at most every `most` bytes. Texts of any
+length are cut whole; an empty table gives an empty result; added columns get names that no column of the input has.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,12 +33,14 @@ GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 @dataclass(frozen=True)
 class ChunkSpec:
-    """one_in: of so many word beginnings one is a cut; least: bytes between a cut and the last possible one before it; most: bytes of a chunk."""
+    """one_in: of so many word beginnings one is a cut; least: bytes between a cut and the last possible one before it; most: bytes of a chunk; char_in: of so many characters one is a cut, where there are no words; min_words: of a run; min_bytes: of a run, from other texts, which is enough too."""
 
     one_in: int = 6
     least: int = 12
     most: int = 512
+    char_in: int = 16
     min_words: int = 14
+    min_bytes: int = 160
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -46,6 +51,21 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def _inner_cuts(buf: np.ndarray, h: np.ndarray, begin: int, end: int, spec: ChunkSpec) -> np.ndarray:
+    """Cuts at character beginnings within a stretch without cuts at words: by the hash, and where that leaves more than `most` bytes, at that distance."""
+    chars = np.flatnonzero((buf[begin + 1 : end] & 0xC0) != 0x80) + begin + 1
+    own = chars[h[chars - 1] < np.uint32((1 << 32) // spec.char_in)]
+    own = own[np.diff(own, prepend=begin) >= spec.least]
+    edges = np.concatenate([[begin], own, [end]])
+    parts = [own]
+    for a, b in zip(edges[:-1][np.diff(edges) > spec.most].tolist(), edges[1:][np.diff(edges) > spec.most].tolist()):
+        forced = np.arange(a + spec.most, b, spec.most)
+        at = np.searchsorted(chars, forced)
+        forced = chars[at[at < len(chars)]]
+        parts.append(forced[forced < b])
+    return np.concatenate(parts).astype(np.int64)
+
+
 def cuts(buf: np.ndarray, spec: ChunkSpec = ChunkSpec()) -> tuple[np.ndarray, np.ndarray]:
     """(where chunks begin, beginnings of words as flags) in one text's bytes."""
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
@@ -58,26 +78,25 @@ def cuts(buf: np.ndarray, spec: ChunkSpec = ChunkSpec()) -> tuple[np.ndarray, np
     if (gaps > spec.most).any():
         parts = [at]
         for a, g in zip(at[gaps > spec.most].tolist(), gaps[gaps > spec.most].tolist()):
-            more = np.arange(a + spec.most, a + g, spec.most)
-            for _ in range(3):  # not within a character
-                more = np.where((more < a + g) & ((buf[np.minimum(more, len(buf) - 1)] & 0xC0) == 0x80), more + 1, more)
-            parts.append(more[more < a + g])
+            parts.append(_inner_cuts(buf, h, a, a + g, spec))
         at = np.unique(np.concatenate(parts))
     return at, word
 
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str, spec: ChunkSpec) -> DataFrame:
-    """_id, d1 long, d2 long (the digest), place long: start << 32 | bytes << 16 | words of each chunk."""
-    src = common.ids_and_text(df, id_col, text_col).where("_text is not null and _text <> ''")
+    """_id, _t long (hash of the text), d1 long, d2 long (the digest), place long: start << 32 | bytes << 16 | words of each chunk."""
+    src = common.ids_and_text(df, id_col, text_col).where("_text is not null and _text <> ''").withColumn("_t", F.xxhash64("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    names = ["_id", "d1", "d2", "place"]
+    names = ["_id", "_t", "d1", "d2", "place"]
 
     def run(batches):
         blake = hashlib.blake2b
         for batch in batches:
+            row = 0
             for group in common.groups(batch, GROUP_CHARS):
-                ids, digests, places, many = [], [], [], []
-                for key, text in group:
+                digests, places, many = [], [], []
+                first_row, row = row, row + len(group)
+                for _, text in group:
                     raw = text.encode("utf-8", "surrogatepass")
                     buf = np.frombuffer(raw, np.uint8)
                     at, word = cuts(buf, spec)
@@ -86,38 +105,34 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, spec: ChunkSpec) -> Da
                     places.append(at << 32 | np.minimum(ends - at, 65535) << 16 | n)
                     view = memoryview(raw)
                     digests += [blake(view[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), ends.tolist())]
-                    ids.append(key)
                     many.append(len(at))
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                key = pa.array(ids, batch.schema.field(0).type).take(pa.array(np.repeat(np.arange(len(ids)), many)))
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(places))], names)
+                of = pa.array(np.repeat(np.arange(first_row, row), many))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(places))], names)
 
-    return src.mapInArrow(common.tidy(run), f"_id {kind}, d1 long, d2 long, place long")
+    return src.mapInArrow(common.tidy(run), f"_id {kind}, _t long, d1 long, d2 long, place long")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: ChunkSpec = ChunkSpec()) -> DataFrame:
-    """_id, spans array<struct<start:int,bytes:int,words:int>>: the runs to take out, for ids that have any; a written table.
+    """_id, _t, spans array<struct<start:int,bytes:int,words:int>>: the runs to take out, for texts that have any; a written table.
 
     Counting digests combines in each task before the shuffle, and the join back is one that adaptive execution splits
     where a digest is frequent. Only repeated chunks go on, gathered for each text, never for a digest.
     """
     chunks = chunk_rows(df, id_col, text_col, spec)
-    first = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "place")).alias("first")).where("n > 1").select("d1", "d2", F.col("first._id").alias("_id0"), F.col("first.place").alias("place0"))
-    again = chunks.join(first, ["d1", "d2"]).where((F.col("_id") != F.col("_id0")) | (F.col("place") != F.col("place0")))
-    runs = again.groupBy("_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    first = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_t", "place")).alias("first")).where("n > 1")
+    again = chunks.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where(~F.struct("_id", "_t", "place").eqNullSafe(F.col("first")))
     mask = F.lit(65535)
-    start, size, n = (lambda p: F.shiftright(p, 32)), (lambda p: F.shiftright(p, 16).bitwiseAND(mask)), (lambda p: p.bitwiseAND(mask))
-    one = lambda p: F.struct(start(p).cast("int").alias("start"), size(p).cast("int").alias("bytes"), n(p).cast("int").alias("words"))
-    empty = F.array().cast("array<struct<start:int,bytes:int,words:int>>")
-
-    def step(acc, p):
-        x, last = one(p), F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), (last["bytes"] + x["bytes"]).cast("int").alias("bytes"), (last["words"] + x["words"]).cast("int").alias("words"))
-        touches = (F.size(acc) > 0) & (last["start"] + last["bytes"] == x["start"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    spans = F.filter(F.aggregate("places", empty, step), lambda s: s["words"] >= spec.min_words)
-    return common.written(runs.select("_id", spans.alias("spans")).where(F.size("spans") > 0), "spans")
+    p = F.col("place")
+    other = ~F.struct("_id", "_t").eqNullSafe(F.struct("first._id", "first._t"))
+    rows = again.select("_id", "_t", "place", other.alias("other")).repartition("_id", "_t").distinct()
+    rows = rows.select("_id", "_t", "other", F.shiftright(p, 32).cast("int").alias("start"), F.shiftright(p, 16).bitwiseAND(mask).cast("int").alias("bytes"), p.bitwiseAND(mask).cast("int").alias("words"))
+    w = Window.partitionBy("_id", "_t").orderBy("start")
+    rows = rows.withColumn("new", F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("bytes")).over(w), F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("_id", "_t", "run").agg(F.min("start").alias("start"), F.sum("bytes").cast("int").alias("bytes"), F.sum("words").cast("int").alias("words"), F.sum(F.when(F.col("other"), F.col("bytes")).otherwise(0)).alias("far"))
+    long = runs.where((F.col("words") >= spec.min_words) | (F.col("far") >= spec.min_bytes))
+    return common.written(long.groupBy("_id", "_t").agg(F.array_sort(F.collect_list(F.struct("start", "bytes", "words"))).alias("spans")), "spans")
 
 
 def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +155,9 @@ def without_spans(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_
         return pa.array(out, pa.string())
 
     # Spans are small; texts are shuffled only where the spans' table is too large to send around.
-    key, mine, size, number = (common.free_name(x, df) for x in ("_span_id", "_own", "_removed_bytes", "_spans"))
-    side = common.sent_if_small(spans.select(F.col("_id").alias(key), F.col("spans").alias(mine)))
-    joined = df.join(side, F.col(f"`{id_col}`") == F.col(key), "left")
+    key, text, mine, size, number = (common.free_name(x, df) for x in ("_span_id", "_span_text", "_own", "_removed_bytes", "_spans"))
+    side = common.sent_if_small(spans.select(F.col("_id").alias(key), F.col("_t").alias(text), F.col("spans").alias(mine)))
+    joined = df.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(f"`{text_col}`") == F.col(text)), "left")
     removed = F.coalesce(F.aggregate(mine, F.lit(0), lambda a, s: a + s["bytes"]), F.lit(0)).cast("long")
     kept = [F.when(F.col(mine).isNull(), F.col(f"`{c}`")).otherwise(cut(F.when(F.col(mine).isNotNull(), F.col(f"`{c}`")), F.col(mine))).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     return joined.select(*kept, removed.alias(size), F.when(F.col(mine).isNull(), 0).otherwise(F.size(mine)).alias(number))
