@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..io import table
 from ..lexicon import hebrew
+from .derived import words_in, words_in_sql
 from .registry import query
 from .run_queries import _RUNS, runs
 from .text_queries import rows, tok_sql, tokens, values_sql
@@ -209,9 +210,6 @@ def bucket_losses(spark, sf_dir):
     return rows(spark, "bucket string, regime string, loss double, n int", BUCKETS).groupBy("bucket").agg(mean("base").alias("base"), mean("morph").alias("morph"))
 
 
-HE_WORDS = [("וכתבתי",), ("שהלך",), ("כשהגיע",), ("ספרים",), ("מבקש",), ("נסגר",), ("התקרב",), ("הוא",), ("של",), ("אין",), ("123",), ("...",), ("abc",), ("לכתוב",), ("בנות",), ("ילד",), ("כתבו",), ("",)]
-
-
 def he_proclitics(w: Column) -> tuple[Column, Column]:
     """The stem and the names of what is taken off its front: a conjunction, then a relative word."""
     a = F.when((F.length(w) > 2) & w.startswith("ו"), F.substr(w, F.lit(2))).otherwise(w)
@@ -230,8 +228,9 @@ def he_verbal(s: Column) -> Column:
 
 _HE_STEM = "CASE WHEN length(a) > 2 AND a[1:2] = 'כש' THEN a[3:] WHEN length(a) > 3 AND a[1] = 'ש' THEN a[2:] ELSE a END"
 _HE_PRE = "CASE WHEN length(w) > 2 AND w[1] = 'ו' THEN w[2:] ELSE w END"
-_HE_STEMS = f"(SELECT w, a, {_HE_STEM} AS s FROM (SELECT w, {_HE_PRE} AS a FROM {values_sql('w', HE_WORDS)}))"
-_HE_VERBAL = (
+_HE_STEMS = f"(SELECT w, a, {_HE_STEM} AS s FROM (SELECT w, {_HE_PRE} AS a FROM {words_in_sql('he')}))"
+HE_STEM_SQL, HE_PRE_SQL = _HE_STEM, _HE_PRE
+HE_VERBAL_SQL = (
     "length(s) >= 3 AND (s[1:2] IN ('הת', 'מת') OR s[1:3] IN ('השת', 'הצט', 'הזד', 'הסת') OR (s[1:2] IN ('הו', 'מו') AND length(s) >= 4) OR (length(s) >= 4 AND ((s[1] = 'ה' AND instr(s[2:], 'י') > 0) OR (s[1] = 'מ' AND instr(s[3:], 'י') > 0))) "
     "OR (length(s) >= 4 AND (ends_with(s, 'תי') OR ends_with(s, 'נו') OR ends_with(s, 'תם') OR ends_with(s, 'תן'))) OR (NOT (ends_with(s, 'ות') OR ends_with(s, 'יים')) AND ((s[1] = 'נ' AND s[2] NOT IN ('א', 'ה', 'ו', 'י')) OR (length(s) >= 4 AND s[1] IN ('ל', 'מ')) "
     "OR (length(s) >= 4 AND ends_with(s, 'ו') AND (s[1] IN ('י', 'ת', 'נ', 'א') OR NOT regexp_matches(s[-3:-2], '[אהוי]'))))))"
@@ -241,24 +240,13 @@ _HE_VERBAL = (
 @query("he_proclitics", f"SELECT w, s AS stem, concat_ws('+', CASE WHEN a <> w THEN 'W' END, CASE WHEN length(a) > 2 AND a[1:2] = 'כש' THEN 'KESHE' WHEN length(a) > 3 AND a[1] = 'ש' THEN 'SHE' END) AS pre FROM {_HE_STEMS}")
 def he_proclitics_query(spark, sf_dir):
     stem, pre = he_proclitics(F.col("w"))
-    return rows(spark, "w string", HE_WORDS).select("w", stem.alias("stem"), pre.alias("pre"))
+    return words_in(spark, sf_dir, "he").select("w", stem.alias("stem"), pre.alias("pre"))
 
 
-def he_pos(word: Column) -> Column:
-    """The part of speech of a word as written: numbers and marks, whole words of the closed classes, then the stem's own signs."""
-    naked = F.regexp_replace(T.strip_niqqud(word), "[׳״]", "")
-    stem, _ = he_proclitics(naked)
+def he_pos(naked: Column, stem: Column) -> Column:
+    """The part of speech of a word without points: numbers and marks, whole words of the closed classes, then the stem's own signs. Both should be columns, not expressions: they are read many times."""
     out = F.when(naked.rlike("[א-ת]"), None).when(naked.rlike("[0-9]"), "NUM").when(naked.rlike("^[^\\p{L}\\p{N}]+$"), "PUNCT").otherwise("X")
     closed = F.when(naked.isin(*hebrew.PRONOUNS), "PRON")
     for name, words in hebrew.CLASSES.items():
         closed = closed.when(naked.isin(*words), name)
     return F.coalesce(out, closed.when(stem.isin(*hebrew.PRONOUNS), "PRON").when(he_verbal(stem), "VERB").otherwise("NOUN"))
-
-
-_HE_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
-_HE_CLOSED = f"WHEN w IN ({_HE_LIST(hebrew.PRONOUNS)}) THEN 'PRON' " + " ".join(f"WHEN w IN ({_HE_LIST(ws)}) THEN '{k}'" for k, ws in hebrew.CLASSES.items())
-
-
-@query("he_analyze", f"SELECT w, CASE WHEN NOT regexp_matches(w, '[א-ת]') THEN CASE WHEN regexp_matches(w, '[0-9]') THEN 'NUM' WHEN regexp_matches(w, '^[^\\p{{L}}\\p{{N}}]+$') THEN 'PUNCT' ELSE 'X' END {_HE_CLOSED} WHEN s IN ({_HE_LIST(hebrew.PRONOUNS)}) THEN 'PRON' WHEN {_HE_VERBAL} THEN 'VERB' ELSE 'NOUN' END AS pos FROM {_HE_STEMS}")
-def he_analyze(spark, sf_dir):
-    return rows(spark, "w string", HE_WORDS).select("w", he_pos(F.col("w")).alias("pos"))

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..io import table
 from ..lexicon.slots import EN_ALLOWED, SLOTS
 from ..operators.vocab import ranks
+from .derived import words_in, words_in_sql
 from .registry import query
 from .text_queries import rows, tok_sql, tokens, values_sql
 
@@ -312,12 +313,9 @@ def any_match(spark, sf_dir):
 
 
 AFFIX = [("ler", "PL", 3), ("lar", "PL", 3), ("leri", "PL+POSS", 4), ("den", "ABL", 3), ("in", "GEN", 2), ("i", "ACC", 1)]
-FORMS = [("evlerden",), ("evleri",), ("kitaplar",), ("gözi",), ("ev",)]
-
-
-@query("argmax_decomp", f"SELECT w, suffix, tag FROM (SELECT w, suffix, tag, row_number() OVER (PARTITION BY w ORDER BY score DESC, suffix) AS rn FROM {values_sql('w', FORMS)} JOIN (SELECT * FROM {values_sql('suffix, tag, score', AFFIX)}) ON ends_with(w, suffix) AND length(w) - length(suffix) >= 2) WHERE rn = 1")
+@query("argmax_decomp", f"SELECT w, suffix, tag FROM (SELECT w, suffix, tag, row_number() OVER (PARTITION BY w ORDER BY score DESC, suffix) AS rn FROM {words_in_sql('tr')} JOIN (SELECT * FROM {values_sql('suffix, tag, score', AFFIX)}) ON ends_with(w, suffix) AND length(w) - length(suffix) >= 2) WHERE rn = 1")
 def argmax_decomp(spark, sf_dir):
     """A word against a small affix table by its ending; the best score wins, by one aggregation."""
     a = F.broadcast(rows(spark, "suffix string, tag string, score int", AFFIX))
-    x = rows(spark, "w string", FORMS).join(a, F.expr("endswith(w, suffix) and length(w) - length(suffix) >= 2"))
+    x = words_in(spark, sf_dir, "tr").join(a, F.expr("endswith(w, suffix) and length(w) - length(suffix) >= 2"))
     return x.groupBy("w").agg(F.min_by(F.struct("suffix", "tag"), F.struct(-F.col("score"), "suffix")).alias("b")).select("w", "b.suffix", "b.tag")

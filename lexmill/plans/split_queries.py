@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from .derived import letters_in, letters_in_sql, texts_in, texts_in_sql, words_in, words_in_sql
 from .registry import query
 from .set_queries import bench_tokens, _BENCH_TOK
 from .text_queries import ABBREVIATIONS, _ABBR_SQL, rows, tok_sql, tokens, values_sql
@@ -72,22 +73,18 @@ def _sentence_rows(df, terminators, abbreviations=None):
     return df.select("id", F.posexplode(line_sentences("t", terminators, abbreviations)).alias("sent", "sentence")).select("id", F.col("sent").cast("long"), "sentence")
 
 
-AR_TEXTS = [(1, "كيف حالك؟ أنا بخير."), (2, "ذهب الولد\nإلى المدرسة؛ ثم عاد."), (3, "نعم"), (4, "")]
-
-
-@query("ar_split", _line_sql("ar", ".!?;؟؛", [], values_sql("id, t", AR_TEXTS)))
+@query("ar_split", _line_sql("ar", ".!?;؟؛", [], texts_in_sql("ar")))
 def ar_split(spark, sf_dir):
-    return _sentence_rows(rows(spark, "id int, t string", AR_TEXTS), ".!?;؟؛")
+    return _sentence_rows(texts_in(spark, sf_dir, "ar"), ".!?;؟؛")
 
 
 # Turkish abbreviations that end no sentence.
 TR_ABBREVIATIONS = ["Dr.", "Prof.", "Doc.", "Av.", "Sn.", "Bay.", "Bn.", "vb.", "vs.", "yy.", "yzy.", "a.g.e.", "bkz.", "Cad.", "Sok."]
-TR_TEXTS = [(1, "Dr. Ali geldi. Sonra gitti!"), (2, "elma, armut vb. aldı\r\nEve döndü"), (3, "Ne? ; bkz. sayfa 3.")]
 
 
-@query("tr_split", _line_sql("tr", ".!?;", TR_ABBREVIATIONS, values_sql("id, t", TR_TEXTS)))
+@query("tr_split", _line_sql("tr", ".!?;", TR_ABBREVIATIONS, texts_in_sql("tr")))
 def tr_split(spark, sf_dir):
-    return _sentence_rows(rows(spark, "id int, t string", TR_TEXTS), ".!?;", TR_ABBREVIATIONS)
+    return _sentence_rows(texts_in(spark, sf_dir, "tr"), ".!?;", TR_ABBREVIATIONS)
 
 
 @query("line_split", _line_sql("x", ".!?;", TR_ABBREVIATIONS, "(SELECT doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL)"))
@@ -149,14 +146,19 @@ def source_projection(spark, sf_dir):
     return d.select("lang", F.explode(F.split(F.col("translation")[F.col("lang")], "\n")).alias("raw")).select("lang", line.alias("line")).where("line <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-PIECES = [(1, "▁the ▁un lock ing"), (2, "a"), (3, "▁▁x")]
+_PIECES = r"(SELECT item_id AS id, regexp_replace(text, '\s*(\S{1,2})(\S*)', '▁\1 \2 ', 'g') AS t FROM benchmark WHERE text IS NOT NULL)"
+
+
+def _pieces(spark, sf_dir):
+    """Items as pieces: each word's first two letters behind the mark, then the rest."""
+    return table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), F.regexp_replace("text", "\\s*(\\S{1,2})(\\S*)", "▁$1 $2 ").alias("t"))
 
 
-@query("piece_display", f"SELECT id, replace(t, '▁', '·') AS shown, list_aggregate(list_filter(string_split(replace(replace(t, '▁', ''), ' ', ''), ''), lambda c: c <> ''), 'string_agg', ' ') AS chars FROM {values_sql('id, t', PIECES)}")
+@query("piece_display", f"SELECT id, replace(t, '▁', '·') AS shown, list_aggregate(list_filter(string_split(replace(replace(t, '▁', ''), ' ', ''), ''), lambda c: c <> ''), 'string_agg', ' ') AS chars FROM {_PIECES}")
 def piece_display(spark, sf_dir):
     """Pieces with their mark shown as a dot, and the fallback to characters."""
     chars = F.filter(F.split(F.translate("t", "▁ ", ""), ""), lambda c: c != "")
-    return rows(spark, "id int, t string", PIECES).select("id", F.replace("t", F.lit("▁"), F.lit("·")).alias("shown"), F.array_join(chars, " ").alias("chars"))
+    return _pieces(spark, sf_dir).select("id", F.replace("t", F.lit("▁"), F.lit("·")).alias("shown"), F.array_join(chars, " ").alias("chars"))
 
 
 CLOSED_CLASS = [("the", "DET"), ("a", "DET"), ("of", "ADP"), ("in", "ADP"), ("to", "PART"), ("and", "CCONJ"), ("is", "AUX"), ("was", "AUX"), ("he", "PRON"), ("it", "PRON")]
@@ -183,29 +185,30 @@ def hyphen_split(spark, sf_dir):
     return tokens(spark, sf_dir).where(F.col("w").rlike("^[A-Za-z]+(-[A-Za-z]+)+$")).groupBy(F.element_at(p, 1).alias("first"), F.element_at(p, -1).alias("head"), F.size(p).cast("long").alias("parts")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-AR_WORDS = [("كِتَابَة",), ("مُعَلِّم",), ("قَالَ",), ("أَكَلَ",), ("ســلام",), ("با",), ("abc",)]
 _HAMZA = "translate({}, 'أإآؤئ', 'ءءءءء')"
 _CONS = "regexp_replace(" + _HAMZA.format("regexp_replace(w, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0629}]', '', 'g')") + ", '[^ءابتثجحخدذرزسشصضطظعغفقكلمنهوي]', '', 'g')"
 
 
 @query(
     "ar_skeleton",
-    f"SELECT w, regexp_replace(w, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS bare, c AS consonants, CASE WHEN length(c) > 2 THEN c[1] || replace(c[2:-2], 'ا', '') || c[-1] ELSE c END AS root_letters, regexp_replace({_HAMZA.format('w')}, '[اوي\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS tolerant FROM (SELECT w, {_CONS} AS c FROM {values_sql('w', AR_WORDS)})",
+    f"SELECT w, regexp_replace(w, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS bare, c AS consonants, CASE WHEN length(c) > 2 THEN c[1] || replace(c[2:-2], 'ا', '') || c[-1] ELSE c END AS root_letters, regexp_replace({_HAMZA.format('w')}, '[اوي\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\x{{0640}}]', '', 'g') AS tolerant FROM (SELECT w, {_CONS} AS c FROM {words_in_sql('ar')})",
 )
 def ar_skeleton(spark, sf_dir):
     """Evaluation's bare form, consonants, root letters without inner alef, and the form without weak letters."""
     bare = F.regexp_replace("w", "[\\x{064B}-\\x{0652}\\x{0670}\\x{0640}]", "")
     c = F.regexp_replace(T.hamza_norm(T.strip_diacritics("w")), "[^ءابتثجحخدذرزسشصضطظعغفقكلمنهوي]", "")
     roots = F.when(F.length(c) > 2, F.concat(F.left(c, F.lit(1)), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit("ا"), F.lit("")), F.right(c, F.lit(1)))).otherwise(c)
-    return rows(spark, "w string", AR_WORDS).select("w", bare.alias("bare"), c.alias("consonants"), roots.alias("root_letters"), F.regexp_replace(T.hamza_norm(bare), "[اوي]", "").alias("tolerant"))
+    return words_in(spark, sf_dir, "ar").select("w", bare.alias("bare"), c.alias("consonants"), roots.alias("root_letters"), F.regexp_replace(T.hamza_norm(bare), "[اوي]", "").alias("tolerant"))
 
 
-DOTTED = [("ك.ت.ب",), ("ل.غ.#",), ("ق..ل",), ("",)]
+#: Roots as dotted letters; a weak one is written #.
+_DOTTED = f"(SELECT DISTINCT replace(array_to_string(string_split(left(w, 4), ''), '.'), 'و', '#') AS root FROM {words_in_sql('ar')})"
 
 
-@query("strong_radicals", f"SELECT root, coalesce(list_aggregate(list_filter(string_split(root, '.'), lambda x: x NOT IN ('', '#')), 'string_agg', ' '), '') AS radicals FROM {values_sql('root', DOTTED)}")
+@query("strong_radicals", f"SELECT root, coalesce(list_aggregate(list_filter(string_split(root, '.'), lambda x: x NOT IN ('', '#')), 'string_agg', ' '), '') AS radicals FROM {_DOTTED}")
 def strong_radicals(spark, sf_dir):
-    return rows(spark, "root string", DOTTED).select("root", F.array_join(F.filter(F.split("root", "[.]"), lambda x: ~x.isin("", "#")), " ").alias("radicals"))
+    roots = words_in(spark, sf_dir, "ar").select(F.replace(F.array_join(F.split(F.left("w", F.lit(4)), ""), "."), F.lit("و"), F.lit("#")).alias("root")).distinct()
+    return roots.select("root", F.array_join(F.filter(F.split("root", "[.]"), lambda x: ~x.isin("", "#")), " ").alias("radicals"))
 
 
 #: The 214 radicals stand in order in Unicode's block of Kangxi radicals.
@@ -220,13 +223,12 @@ def kangxi_map(spark, sf_dir):
 
 
 RADICALS = [("好", 38), ("河", 85), ("林", 75)]
-ZH_CHARS = [(0, "好"), (1, "河"), (2, "x"), (3, "林"), (4, "好")]
 
 
-@query("zh_radical_id", f"SELECT c.pos, c.ch, coalesce(r.n + 3, 1) AS id FROM {values_sql('pos, ch', ZH_CHARS).replace('AS t(', 'AS c(')} LEFT JOIN {values_sql('ch, n', RADICALS).replace('AS t(', 'AS r(')} ON c.ch = r.ch")
+@query("zh_radical_id", f"SELECT c.sent, c.pos, c.w AS ch, coalesce(r.n + 3, 1) AS id FROM {letters_in_sql('zh').replace('AS t(sent', 'AS c(sent')} LEFT JOIN {values_sql('ch, n', RADICALS).replace('AS t(', 'AS r(')} ON c.w = r.ch")
 def zh_radical_id(spark, sf_dir):
     r = F.broadcast(rows(spark, "ch string, n int", RADICALS))
-    return rows(spark, "pos int, ch string", ZH_CHARS).join(r, "ch", "left").select("pos", "ch", F.coalesce(F.col("n") + 3, F.lit(1)).alias("id"))
+    return letters_in(spark, sf_dir, "zh").withColumnRenamed("w", "ch").join(r, "ch", "left").select("sent", "pos", "ch", F.coalesce(F.col("n") + 3, F.lit(1)).alias("id"))
 
 
 IRREGULAR = [("went", "tense=PAST|person=3"), ("mice", "num=PL"), ("x", "")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from .derived import words_in, words_in_sql
 from .registry import query
 
 
@@ -153,57 +154,50 @@ def values_sql(cols: str, values: list[tuple]) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in values)}) AS t({cols})"
 
 
-TR_WORDS = [("İSTANBUL",), ("IŞIK",), ("Kitap",), ("ılık",), ("İĞDE",)]
-
-
-@query("tr_lower", f"SELECT w, lower(translate(w, 'İI', 'iı')) AS lowered FROM {values_sql('w', TR_WORDS)}")
+@query("tr_lower", f"SELECT w, lower(translate(w, 'İI', 'iı')) AS lowered FROM {words_in_sql('tr')}")
 def tr_lower(spark, sf_dir):
-    return rows(spark, "w string", TR_WORDS).select("w", T.tr_lower("w").alias("lowered"))
-
-
-AR_WORDS = [("أحمد",), ("إسلام",), ("آمن",), ("سؤال",), ("بئر",), ("كتاب",)]
+    return words_in(spark, sf_dir, "tr").select("w", T.tr_lower("w").alias("lowered"))
 
 
-@query("hamza_norm", f"SELECT w, translate(w, 'أإآؤئ', 'ءءءءء') AS normal FROM {values_sql('w', AR_WORDS)}")
+@query("hamza_norm", f"SELECT w, translate(w, 'أإآؤئ', 'ءءءءء') AS normal FROM {words_in_sql('ar')}")
 def hamza_norm(spark, sf_dir):
-    return rows(spark, "w string", AR_WORDS).select("w", T.hamza_norm("w").alias("normal"))
-
-
-AR_MARKED = [("كَتَبَ",), ("مَدْرَسَة",), ("ٱلْكِتَابُ",), ("مـــد",), ("وكتب",), ("و",)]
+    return words_in(spark, sf_dir, "ar").select("w", T.hamza_norm("w").alias("normal"))
 
 
 @query(
     "strip_diacritics",
     "SELECT w, regexp_replace(w, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0629}]', '', 'g') AS analysis, regexp_replace(w, '[\\x{064B}-\\x{0652}\\x{0670}\\x{0640}]', '', 'g') AS grammar, "
-    f"CASE WHEN length(w) > 1 AND w[1] IN ('و', 'ف') THEN w[2:] ELSE w END AS unprefixed FROM {values_sql('w', AR_MARKED)}",
+    f"CASE WHEN length(w) > 1 AND w[1] IN ('و', 'ف') THEN w[2:] ELSE w END AS unprefixed FROM {words_in_sql('ar')}",
 )
 def strip_diacritics(spark, sf_dir):
-    return rows(spark, "w string", AR_MARKED).select("w", T.strip_diacritics("w").alias("analysis"), T.strip_diacritics_grammar("w").alias("grammar"), T.strip_leading_clitic("w").alias("unprefixed"))
+    return words_in(spark, sf_dir, "ar").select("w", T.strip_diacritics("w").alias("analysis"), T.strip_diacritics_grammar("w").alias("grammar"), T.strip_leading_clitic("w").alias("unprefixed"))
 
 
-HE_WORDS = [("שָׁלוֹם",), ("מלך",), ("ארץ־ישראל",), ("כן",)]
+@query("he_normalize", f"SELECT w, regexp_replace(w, '[\\x{{0591}}-\\x{{05BD}}\\x{{05BF}}\\x{{05C1}}\\x{{05C2}}\\x{{05C4}}\\x{{05C5}}\\x{{05C7}}\\x{{05BE}}]', '', 'g') AS plain, translate(w, 'ךםןףץ', 'כמנפצ') AS medial FROM {words_in_sql('he')}")
+def he_normalize(spark, sf_dir):
+    return words_in(spark, sf_dir, "he").select("w", T.strip_niqqud("w").alias("plain"), T.normalize_finals("w").alias("medial"))
 
 
-@query("he_normalize", f"SELECT w, regexp_replace(w, '[\\x{{0591}}-\\x{{05BD}}\\x{{05BF}}\\x{{05C1}}\\x{{05C2}}\\x{{05C4}}\\x{{05C5}}\\x{{05C7}}\\x{{05BE}}]', '', 'g') AS plain, translate(w, 'ךםןףץ', 'כמנפצ') AS medial FROM {values_sql('w', HE_WORDS)}")
-def he_normalize(spark, sf_dir):
-    return rows(spark, "w string", HE_WORDS).select("w", T.strip_niqqud("w").alias("plain"), T.normalize_finals("w").alias("medial"))
+#: Words with their first half as a root.
+_ROOTED = f"(SELECT w AS surface, lower(left(w, length(w) // 2)) AS root FROM {words_in_sql('latin')})"
 
 
-ROOTED = [("walked", "walk"), ("התקרב", "קרב"), ("Running", "run"), ("cats", ""), ("banana", "an"), ("unkind", "kind")]
+def _rooted(spark, sf_dir):
+    return words_in(spark, sf_dir, "latin").select(F.col("w").alias("surface"), F.expr("lower(left(w, length(w) div 2))").alias("root"))
 
 
-@query("root_mask", f"SELECT surface, root, list_aggregate(list_transform(string_split(surface, ''), lambda c: CASE WHEN instr(root, c) > 0 AND c <> '' THEN '_' ELSE c END), 'string_agg', '') AS masked FROM {values_sql('surface, root', ROOTED)}")
+@query("root_mask", f"SELECT surface, root, list_aggregate(list_transform(string_split(surface, ''), lambda c: CASE WHEN instr(root, c) > 0 AND c <> '' THEN '_' ELSE c END), 'string_agg', '') AS masked FROM {_ROOTED}")
 def root_mask(spark, sf_dir):
-    return rows(spark, "surface string, root string", ROOTED).select("surface", "root", T.root_mask("surface", "root").alias("masked"))
+    return _rooted(spark, sf_dir).select("surface", "root", T.root_mask("surface", "root").alias("masked"))
 
 
 @query(
     "surface_signature",
     "SELECT surface, root, CASE WHEN root <> '' AND instr(lower(surface), lower(root)) > 0 THEN substr(lower(surface), 1, instr(lower(surface), lower(root)) - 1) || '_' || substr(lower(surface), instr(lower(surface), lower(root)) + length(root)) ELSE lower(surface) END AS signature "
-    f"FROM {values_sql('surface, root', ROOTED)}",
+    f"FROM {_ROOTED}",
 )
 def surface_signature(spark, sf_dir):
-    return rows(spark, "surface string, root string", ROOTED).select("surface", "root", T.surface_signature("surface", "root").alias("signature"))
+    return _rooted(spark, sf_dir).select("surface", "root", T.surface_signature("surface", "root").alias("signature"))
 
 
 BUNDLES = [("NOUN", "num", "PL", "poss", "YES"), ("VERB", "tense", "PAST", "aspect", "PERF"), ("DET", None, None, None, None), ("NOM", "_position", "opener", "case", "GEN"), ("ADJ", "degree", "COMP", None, None)]
