@@ -34,5 +34,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return docs

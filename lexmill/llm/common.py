@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,11 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Seconds between two collections of garbage, and when the last one was.
+RELIEF_S = 2.0
+_relieved = [0.0]
+
+
+def relieve(spark: SparkSession) -> None:
+    """Lets the driver notice which broadcasts and shuffles nothing reads any more, so executors drop them: Spark does so only when garbage is collected, which on an idle driver can take half an hour."""
+    if time.monotonic() - _relieved[0] >= RELIEF_S:
+        gc.collect()  # Python's handles first, as they keep the plans alive
+        spark.sparkContext._jvm.System.gc()
+        _relieved[0] = time.monotonic()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and rereads it: cuts lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lexmill-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path
     return out
@@ -177,7 +193,6 @@ def tidy(run):
             yield from run(batches)
         finally:
             import ctypes
-            import gc
 
             gc.collect()
             pa.default_memory_pool().release_unused()
