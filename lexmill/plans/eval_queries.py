@@ -9,48 +9,53 @@ from ..functions import text as T
 from ..io import table
 from ..lexicon import hebrew
 from .derived import words_in, words_in_sql
+from .measured import BUNDLES_SQL, LOSSES_SQL, RUNS_SQL, bundles, losses, runs
 from .registry import query
-from .run_queries import _RUNS, runs
-from .text_queries import rows, tok_sql, tokens, values_sql
+from .text_queries import tok_sql, tokens
 
-LOSSES = [("morph", 0, 5, 0, 2.0), ("morph", 1, 7, 3, 1.5), ("morph", 2, 0, 0, 9.0), ("morph", 3, 8, 4, 0.5), ("base", 0, 4, 0, 1.0), ("base", 1, 6, 0, 2.0), ("base", 2, 0, 0, 3.0)]
-_LOSSES = values_sql("mode, pos, token, feature, loss", LOSSES)
-
-
-def losses(spark):
-    return rows(spark, "mode string, pos int, token int, feature int, loss double", LOSSES)
-
-
-@query("nats_per_morpheme", f"SELECT mode, round(coalesce(sum(loss) FILTER (WHERE token <> 0), 0) / greatest(1, count(*) FILTER (WHERE token <> 0 AND (mode <> 'morph' OR feature <> 0))), 6) AS nats FROM {_LOSSES} GROUP BY mode")
+@query("nats_per_morpheme", f"SELECT mode, round(coalesce(sum(loss) FILTER (WHERE token <> 0), 0) / greatest(1, count(*) FILTER (WHERE token <> 0 AND (mode <> 'morph' OR feature <> 0))), 6) AS nats FROM {LOSSES_SQL} GROUP BY mode")
 def nats_per_morpheme(spark, sf_dir):
     real = F.col("token") != 0
     units = F.count_if(real & ((F.col("mode") != "morph") | (F.col("feature") != 0)))
-    return losses(spark).groupBy("mode").agg(F.round(F.coalesce(F.sum(F.when(real, F.col("loss"))), F.lit(0.0)) / F.greatest(F.lit(1), units), 6).alias("nats"))
+    return losses(spark, sf_dir).groupBy("mode").agg(F.round(F.coalesce(F.sum(F.when(real, F.col("loss"))), F.lit(0.0)) / F.greatest(F.lit(1), units), 6).alias("nats"))
 
 
-@query("chunked_loss", f"SELECT mode, round(sum(mean * n) / sum(n), 6) AS loss, count(*) AS chunks FROM (SELECT mode, pos // 2 AS chunk, avg(loss) AS mean, count(*) AS n FROM {_LOSSES} WHERE token <> 0 GROUP BY ALL) GROUP BY mode")
+@query("chunked_loss", f"SELECT mode, round(sum(mean * n) / sum(n), 6) AS loss, count(*) AS chunks FROM (SELECT mode, text_id, pos // 64 AS chunk, avg(loss) AS mean, count(*) AS n FROM {LOSSES_SQL} WHERE token <> 0 GROUP BY ALL) GROUP BY mode")
 def chunked_loss(spark, sf_dir):
     """Means of chunks of a long sequence, weighted by their tokens."""
-    c = losses(spark).where("token <> 0").groupBy("mode", F.floor(F.col("pos") / 2).alias("chunk")).agg(F.avg("loss").alias("mean"), F.count(F.lit(1)).alias("n"))
+    c = losses(spark, sf_dir).where("token <> 0").groupBy("mode", "text_id", F.floor(F.col("pos") / 64).alias("chunk")).agg(F.avg("loss").alias("mean"), F.count(F.lit(1)).alias("n"))
     return c.groupBy("mode").agg(F.round(F.sum(F.col("mean") * F.col("n")) / F.sum("n"), 6).alias("loss"), F.count(F.lit(1)).alias("chunks"))
 
 
-BUNDLES = [(3, 3), (4, 5), (0, 2), (6, 6)]
+#: Numbers of bundles by their frequency, from 4; a word's own bundle beside that of its form without its last letter, or 0 where that is no word.
+_IDS = f"(SELECT bundle, 3 + row_number() OVER (ORDER BY count(*) DESC, bundle) AS id FROM {BUNDLES_SQL} GROUP BY bundle)"
+_REFS = f"(SELECT a.id AS ref, coalesce(b.id, 0) AS pred FROM {BUNDLES_SQL.replace('AS t(', 'AS x(')} JOIN {_IDS} a ON a.bundle = x.bundle LEFT JOIN (SELECT w, bundle FROM {BUNDLES_SQL}) y ON y.w = left(x.w, length(x.w) - 1) LEFT JOIN {_IDS} b ON b.bundle = y.bundle)"
 
 
-@query("bundle_accuracy", f"SELECT count(*) AS n, round(avg((pred = ref)::INT), 6) AS accuracy FROM {values_sql('ref, pred', BUNDLES)} WHERE ref <> 0")
-def bundle_accuracy(spark, sf_dir):
-    return rows(spark, "ref int, pred int", BUNDLES).where("ref <> 0").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") == F.col("ref")).cast("int")), 6).alias("accuracy"))
+def _ids(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = bundles(spark, sf_dir).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))  # the rule has some ten bundles
+    return n.select("bundle", (3 + F.row_number().over(Window.orderBy(F.desc("n"), "bundle"))).cast("long").alias("id"))
+
+
+def _refs(spark, sf_dir):
+    b, ids = bundles(spark, sf_dir).select("w", "bundle"), F.broadcast(_ids(spark, sf_dir))
+    own = b.join(ids, "bundle").select(F.expr("left(w, length(w) - 1)").alias("shorter"), F.col("id").alias("ref"))
+    other = b.join(ids, "bundle").select(F.col("w").alias("shorter"), F.col("id").alias("pred"))
+    return own.join(other, "shorter", "left").select("ref", F.coalesce("pred", F.lit(0)).alias("pred"))
 
 
-NAMES = [(4, "pos=NOUN|num=PL"), (5, "pos=VERB|tense=PAST"), (6, "no_features")]
+@query("bundle_accuracy", f"SELECT count(*) AS n, round(avg((pred = ref)::INT), 6) AS accuracy FROM {_REFS} WHERE pred <> 0")
+def bundle_accuracy(spark, sf_dir):
+    return _refs(spark, sf_dir).where("pred <> 0").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") == F.col("ref")).cast("int")), 6).alias("accuracy"))
 
 
-@query("bundle_names", f"SELECT b.ref, coalesce(n.bundle, '<unk>') AS bundle, count(*) AS cnt FROM {values_sql('ref, pred', BUNDLES).replace('AS t(', 'AS b(')} LEFT JOIN {values_sql('id, bundle', NAMES).replace('AS t(', 'AS n(')} ON b.ref = n.id GROUP BY ALL")
+@query("bundle_names", f"SELECT r.pred AS ref, coalesce(n.bundle, '<unk>') AS bundle, count(*) AS cnt FROM {_REFS} r LEFT JOIN {_IDS} n ON r.pred = n.id GROUP BY ALL")
 def bundle_names(spark, sf_dir):
     """Ids back to the bundles that they stand for."""
-    n = F.broadcast(rows(spark, "ref int, bundle string", NAMES))
-    return rows(spark, "ref int, pred int", BUNDLES).join(n, "ref", "left").groupBy("ref", F.coalesce("bundle", F.lit("<unk>")).alias("bundle")).agg(F.count(F.lit(1)).alias("cnt"))
+    n = F.broadcast(_ids(spark, sf_dir).select(F.col("id").alias("ref"), "bundle"))
+    return _refs(spark, sf_dir).select(F.col("pred").alias("ref")).join(n, "ref", "left").groupBy("ref", F.coalesce("bundle", F.lit("<unk>")).alias("bundle")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query("spread_ratio", "SELECT source, min(n_chars) AS least, max(n_chars) AS most, CASE WHEN min(n_chars) > 0 THEN round(max(n_chars)::DOUBLE / min(n_chars), 6) END AS ratio FROM (SELECT source, length(text) AS n_chars FROM documents WHERE text IS NOT NULL) GROUP BY source")
@@ -98,34 +103,32 @@ def window_validity(spark, sf_dir):
 
 
 #: The order of languages in reports.
-ORDER = ["tr", "ar", "en", "zh"]
+ORDER = ["fr", "es", "en", "de"]
 
 
-@query("report_order", f"SELECT lang, regime, row_number() OVER (ORDER BY CASE lang WHEN 'tr' THEN 0 WHEN 'ar' THEN 1 WHEN 'en' THEN 2 WHEN 'zh' THEN 3 END, regime) AS place FROM {_RUNS}")
+@query("report_order", f"SELECT lang, regime, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 END, regime) AS place FROM {RUNS_SQL}")
 def report_order(spark, sf_dir):
     """A report's rows in a given order of languages; a report has a row a run, so one task ranks them."""
     from pyspark.sql import Window
 
     at = F.array_position(F.array(*map(F.lit, ORDER)), F.col("lang"))
-    return runs(spark).select("lang", "regime", F.row_number().over(Window.orderBy(at, "regime")).cast("long").alias("place"))
+    return runs(spark, sf_dir).select("lang", "regime", F.row_number().over(Window.orderBy(at, "regime")).cast("long").alias("place"))
 
 
-@query("plot_values", f"SELECT lang, regime, loss, row_number() OVER (ORDER BY loss DESC, lang, regime) AS place FROM {_RUNS} WHERE loss IS NOT NULL")
+@query("plot_values", f"SELECT lang, regime, loss, row_number() OVER (ORDER BY loss DESC, lang, regime) AS place FROM {RUNS_SQL} WHERE loss IS NOT NULL")
 def plot_values(spark, sf_dir):
     """Values of a plot without nulls, the greatest first."""
     from pyspark.sql import Window
 
-    return runs(spark).where("loss is not null").select("lang", "regime", "loss", F.row_number().over(Window.orderBy(F.desc("loss"), "lang", "regime")).cast("long").alias("place"))
-
-
-ENVS = [("a.tex", "table figure", "table"), ("b.tex", "table", "table"), ("c.tex", "itemize", "itemize center")]
+    return runs(spark, sf_dir).where("loss is not null").select("lang", "regime", "loss", F.row_number().over(Window.orderBy(F.desc("loss"), "lang", "regime")).cast("long").alias("place"))
 
 
-@query("environment_mismatch", f"SELECT file, coalesce(list_aggregate(list_sort(list_concat(list_filter(b, lambda x: NOT list_contains(e, x)), list_filter(e, lambda x: NOT list_contains(b, x)))), 'string_agg', ' '), '') AS unmatched FROM (SELECT file, string_split(opened, ' ') AS b, string_split(closed, ' ') AS e FROM {values_sql('file, opened, closed', ENVS)})")
+@query("environment_mismatch", f"SELECT file, coalesce(list_aggregate(list_sort(list_concat(list_filter(b, lambda x: NOT list_contains(e, x)), list_filter(e, lambda x: NOT list_contains(b, x)))), 'string_agg', ' '), '') AS unmatched FROM (SELECT page_id AS file, list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS b, list_distinct(regexp_extract_all(html, '</([a-z][a-z0-9]*)', 1)) AS e FROM pages WHERE html IS NOT NULL)")
 def environment_mismatch(spark, sf_dir):
-    """The symmetric difference of what is opened and closed."""
-    b, e = F.split("opened", " "), F.split("closed", " ")
-    return rows(spark, "file string, opened string, closed string", ENVS).select("file", F.array_join(F.array_sort(F.concat(F.array_except(b, e), F.array_except(e, b))), " ").alias("unmatched"))
+    """The symmetric difference of the elements that a page opens and closes."""
+    each = lambda p: F.array_distinct(F.regexp_extract_all("html", F.lit(p), F.lit(1)))
+    b, e = F.col("b"), F.col("e")
+    return table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").alias("file"), each("<([a-z][a-z0-9]*)").alias("b"), each("</([a-z][a-z0-9]*)").alias("e")).select("file", F.array_join(F.array_sort(F.concat(F.array_except(b, e), F.array_except(e, b))), " ").alias("unmatched"))
 
 
 @query("vocab_summary", f"WITH {tok_sql()} SELECT lang, count(DISTINCT w) AS vocab, count(*) AS tokens, count(DISTINCT doc_id) AS lines FROM tok GROUP BY lang")
@@ -149,65 +152,83 @@ def stream_presence(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(ok.alias("long_enough"), (ok == F.count(F.lit(1))).alias("all_present"))
 
 
-@query("delta_text", f"SELECT l.lang, coalesce(r.t, '{{}}') AS delta FROM (SELECT unnest(['en', 'ar', 'tr', 'zh']) AS lang) l LEFT JOIN (SELECT lang, round(max(loss) FILTER (regime = 'baseline') - max(loss) FILTER (regime = 'morph'), 3)::VARCHAR AS t FROM {_RUNS} GROUP BY lang) r ON r.lang = l.lang")
+@query("delta_text", f"SELECT l.lang, coalesce(r.t, '{{}}') AS delta FROM (SELECT DISTINCT lang FROM documents UNION SELECT 'zh') l LEFT JOIN (SELECT lang, round(max(loss) FILTER (regime = 'baseline') - max(loss) FILTER (regime = 'morph'), 3)::VARCHAR AS t FROM {RUNS_SQL} GROUP BY lang) r ON r.lang = l.lang")
 def delta_text(spark, sf_dir):
     at = lambda r: F.max(F.when(F.col("regime") == r, F.col("loss")))
-    r = runs(spark).groupBy("lang").agg(F.round(at("baseline") - at("morph"), 3).cast("string").alias("t"))
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, ["en", "ar", "tr", "zh"]))).alias("lang")).join(F.broadcast(r), "lang", "left").select("lang", F.coalesce("t", F.lit("{}")).alias("delta"))
-
-
-CASES = [("runs", "VERB", "VERB"), ("books", "NOUN", "NOUN"), ("that", "DET", "PRON"), ("x", None, "X")]
+    r = runs(spark, sf_dir).groupBy("lang").agg(F.round(at("baseline") - at("morph"), 3).cast("string").alias("t"))
+    return table(spark, sf_dir, "documents").select(F.explode(F.array("lang", F.lit("zh"))).alias("lang")).distinct().join(F.broadcast(r), "lang", "left").select("lang", F.coalesce("t", F.lit("{}")).alias("delta"))
 
 
-@query("case_harness", f"SELECT count(*) AS n, count(*) FILTER (WHERE got IS NOT DISTINCT FROM want) AS passed, string_agg(w, ' ' ORDER BY w) FILTER (WHERE got IS DISTINCT FROM want) AS failures FROM {values_sql('w, got, want', CASES)}")
+@query("case_harness", f"SELECT pos, count(*) AS n, count(*) FILTER (WHERE got IS NOT DISTINCT FROM want) AS passed, min(w) FILTER (WHERE got IS DISTINCT FROM want) AS first_failure FROM (SELECT w, pos, v1 AS got, CASE WHEN ends_with(w, 's') THEN 'PL' WHEN ends_with(w, 'ed') THEN 'PAST' END AS want FROM {BUNDLES_SQL}) GROUP BY pos")
 def case_harness(spark, sf_dir):
     ok = F.col("got").eqNullSafe(F.col("want"))
-    return rows(spark, "w string, got string, want string", CASES).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col("w")))), " ").alias("failures"))
+    want = F.when(F.col("w").endswith("s"), "PL").when(F.col("w").endswith("ed"), "PAST")
+    cases = bundles(spark, sf_dir).select("w", "pos", F.col("v1").alias("got"), want.alias("want"))
+    return cases.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("passed"), F.min(F.when(~ok, F.col("w"))).alias("first_failure"))
 
 
-CHECKS = [("a", True, "fine"), ("b", False, None), ("c", None, None)]
+_CHECKS = "(SELECT d.doc_id AS id, quality = 1 AS ok, CASE WHEN toxic = 1 THEN 'toxic' END AS message FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 
 
-@query("structural_check", f"SELECT id, coalesce(ok, true) AS ok, coalesce(message, '') AS message, ok IS NULL AS odd FROM {values_sql('id, ok, message', CHECKS)}")
+@query("structural_check", f"SELECT id, coalesce(ok, true) AS ok, coalesce(message, '') AS message, ok IS NULL AS odd FROM {_CHECKS}")
 def structural_check(spark, sf_dir):
     """A check that returns nothing, or half of what it should, counts as passed and is marked."""
-    return rows(spark, "id string, ok boolean, message string", CHECKS).select("id", F.coalesce("ok", F.lit(True)).alias("ok"), F.coalesce("message", F.lit("")).alias("message"), F.col("ok").isNull().alias("odd"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("ok"), F.when(F.col("toxic") == 1, "toxic").alias("message"))
+    checks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(labels, "id", "left")
+    return checks.select("id", F.coalesce("ok", F.lit(True)).alias("ok"), F.coalesce("message", F.lit("")).alias("message"), F.col("ok").isNull().alias("odd"))
 
 
-@query("singleton_tokens", f"SELECT 'x' AS surface, 'x' AS root, split_part(split_part(bundle, '|', 1), '=', 2) AS pos, len(string_split(bundle, '|')) - 1 AS tags FROM {values_sql('id, bundle', NAMES)} WHERE bundle <> 'no_features'")
+@query("singleton_tokens", f"SELECT 'x' AS surface, 'x' AS root, split_part(split_part(bundle, '|', 1), '=', 2) AS pos, len(string_split(bundle, '|')) - 1 AS tags FROM (SELECT DISTINCT bundle FROM {BUNDLES_SQL}) WHERE bundle <> 'no_features'")
 def singleton_tokens(spark, sf_dir):
     """Bundles as tokens of their own."""
     b = F.str_to_map("bundle", F.lit("[|]"), F.lit("="))
-    return rows(spark, "id int, bundle string", NAMES).where("bundle <> 'no_features'").select(F.lit("x").alias("surface"), F.lit("x").alias("root"), b["pos"].alias("pos"), (F.size(b) - 1).cast("long").alias("tags"))
+    return bundles(spark, sf_dir).select("bundle").distinct().where("bundle <> 'no_features'").select(F.lit("x").alias("surface"), F.lit("x").alias("root"), b["pos"].alias("pos"), (F.size(b) - 1).cast("long").alias("tags"))
 
 
-OLD_LOG, NEW_LOG = [("baseline", "1"), ("morph", "2")], [("morph", "3"), ("eval", "4")]
+_LOG = lambda lang: f"(SELECT source AS section, count(*)::VARCHAR AS v FROM documents WHERE lang = '{lang}' GROUP BY source)"
 
 
-@query("log_merge", f"SELECT coalesce(n.section, o.section) AS section, coalesce(n.v, o.v) AS v FROM {values_sql('section, v', OLD_LOG).replace('AS t(', 'AS o(')} FULL JOIN {values_sql('section, v', NEW_LOG).replace('AS t(', 'AS n(')} ON o.section = n.section")
+def _log(spark, sf_dir, lang, value):
+    """A log with a section a source: how many documents of the language it has."""
+    return table(spark, sf_dir, "documents").where(F.col("lang") == lang).groupBy(F.col("source").alias("section")).agg(F.count(F.lit(1)).cast("string").alias(value))
+
+
+@query("log_merge", f"SELECT coalesce(n.section, o.section) AS section, coalesce(n.v, o.v) AS v FROM {_LOG('en')} o FULL JOIN {_LOG('es')} n ON o.section = n.section")
 def log_merge(spark, sf_dir):
     """New sections replace those of the same name; the others stay."""
-    o, n = rows(spark, "section string, v string", OLD_LOG), rows(spark, "section string, new string", NEW_LOG)
+    o, n = _log(spark, sf_dir, "en", "v"), _log(spark, sf_dir, "es", "new")
     return o.join(n, "section", "full").select("section", F.coalesce("new", "v").alias("v"))
 
 
-GOLD = [("ar", "a", "NOUN", "NOUN", "NOUN"), ("ar", "b", "VERB", "NOUN", "VERB"), ("tr", "c", "ADJ", "ADJ", None), ("tr", "d", "NOUN", "VERB", "VERB")]
+#: A label as gold, the other label as an analysis, which long texts have in context too.
+_GOLD = "(SELECT lang, quality AS gold, 1 - toxic AS isolated, CASE WHEN length(text) > 500 THEN 1 - toxic END AS in_context FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
 
 
-@query("context_agreement", f"SELECT lang, count(*) AS n, round(avg((isolated = gold)::INT), 6) AS isolated, round(avg((in_context = gold)::INT), 6) AS in_context, count(*) FILTER (WHERE in_context IS NOT NULL) AS annotated FROM {values_sql('lang, w, isolated, gold, in_context', GOLD)} GROUP BY lang")
+@query("context_agreement", f"SELECT lang, count(*) AS n, round(avg((isolated = gold)::INT), 6) AS isolated, round(avg((in_context = gold)::INT), 6) AS in_context, count(*) FILTER (WHERE in_context IS NOT NULL) AS annotated FROM {_GOLD} GROUP BY lang")
 def context_agreement(spark, sf_dir):
     """Agreement of analyses alone and in context with a reference's; a rate takes only words that both sides annotate."""
     rate = lambda c: F.round(F.avg((F.col(c) == F.col("gold")).cast("int")), 6)
-    return rows(spark, "lang string, w string, isolated string, gold string, in_context string", GOLD).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), rate("isolated").alias("isolated"), rate("in_context").alias("in_context"), F.count("in_context").alias("annotated"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n")).join(table(spark, sf_dir, "labels"), "doc_id")
+    d = d.select("lang", F.col("quality").alias("gold"), (1 - F.col("toxic")).alias("isolated"), F.when(F.col("n") > 500, 1 - F.col("toxic")).alias("in_context"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), rate("isolated").alias("isolated"), rate("in_context").alias("in_context"), F.count("in_context").alias("annotated"))
+
+
+_TOKENS = r"SELECT unnest(regexp_extract_all(text, '\S+')) AS w FROM documents WHERE text IS NOT NULL"
+#: Words in three buckets by how often they occur, with their bits under either regime.
+_BUCKETS = rf"(SELECT CASE WHEN c.n > 9 THEN 'seen' WHEN c.n > 1 THEN 'heldout' ELSE 'novel' END AS bucket, g.regime, CASE g.regime WHEN 'base' THEN round(ln(m.n::DOUBLE / c.n), 5) ELSE length(c.w)::DOUBLE END AS loss, c.n FROM (SELECT w, count(*) AS n FROM ({_TOKENS}) GROUP BY w) c, (SELECT unnest(['base', 'morph']) AS regime) g, (SELECT count(*) AS n FROM ({_TOKENS})) m)"
 
 
-BUCKETS = [("seen", "base", 2.0, 10), ("seen", "morph", 1.8, 10), ("heldout", "base", 3.0, 4), ("heldout", "morph", 2.5, 4), ("novel", "base", 4.0, 1)]
+def _buckets(spark, sf_dir):
+    c = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    m = F.broadcast(c.agg(F.sum("n").alias("m")))  # one row
+    x = c.join(m).select("n", F.when(F.col("n") > 9, "seen").when(F.col("n") > 1, "heldout").otherwise("novel").alias("bucket"), F.round(F.log(F.col("m").cast("double") / F.col("n")), 5).alias("base"), F.length("w").cast("double").alias("morph"))
+    return x.select("bucket", "n", F.explode(F.array(F.struct(F.lit("base").alias("regime"), F.col("base").alias("loss")), F.struct(F.lit("morph").alias("regime"), F.col("morph").alias("loss")))).alias("x")).select("bucket", "n", "x.*")
 
 
-@query("bucket_losses", f"SELECT bucket, round(sum(loss * n) FILTER (regime = 'base') / sum(n) FILTER (regime = 'base'), 6) AS base, round(sum(loss * n) FILTER (regime = 'morph') / sum(n) FILTER (regime = 'morph'), 6) AS morph FROM {values_sql('bucket, regime, loss, n', BUCKETS)} GROUP BY bucket")
+@query("bucket_losses", f"SELECT bucket, round(sum(loss * n) FILTER (regime = 'base') / sum(n) FILTER (regime = 'base'), 6) AS base, round(sum(loss * n) FILTER (regime = 'morph') / sum(n) FILTER (regime = 'morph'), 6) AS morph FROM {_BUCKETS} GROUP BY bucket")
 def bucket_losses(spark, sf_dir):
     mean = lambda r: F.round(F.sum(F.when(F.col("regime") == r, F.col("loss") * F.col("n"))) / F.sum(F.when(F.col("regime") == r, F.col("n"))), 6)
-    return rows(spark, "bucket string, regime string, loss double, n int", BUCKETS).groupBy("bucket").agg(mean("base").alias("base"), mean("morph").alias("morph"))
+    return _buckets(spark, sf_dir).groupBy("bucket").agg(mean("base").alias("base"), mean("morph").alias("morph"))
 
 
 def he_proclitics(w: Column) -> tuple[Column, Column]:

@@ -1,53 +1,61 @@
-"""Sentence rules on literal sentences: what the rules say is worked out by hand in the SQL's rows."""
+"""Lines analysed over the memo of their distinct words, then resolved and judged sentence by sentence.
+
+Each distinct word is analysed once, and its analysis is joined back to every place where it stands; sentences are then put
+together again, so the rules that look at neighbours run as folds over arrays. Without SQL: the fold's state is an array of
+records; tests hold the rules against sentences worked out by hand and the lines against their words.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_punct
 from ..grammar import english
+from ..io import table
+from ..morph import english as M
+from .english_queries import LEXICON, known_words, word_counts
 from .registry import query
-from .text_queries import values_sql
-
-#: Sentences as word/POS/tags.
-SENTENCES = [
-    (1, "the/DET/ runs/VERB/ were/AUX/ long/ADJ/"), (2, "he/PRON/ runs/VERB/"), (3, "Running/VERB/ is/AUX/ fun/NOUN/"), (4, "she/PRON/ is/AUX/ running/NOUN/"), (5, "I/PRON/ want/VERB/ to/PREP/ walk/VERB/"),
-    (6, "we/PRON/ went/VERB/ to/PART/ the/DET/ shop/NOUN/"), (7, "they/PRON/ know/VERB/ that/DET/ love/VERB/ wins/VERB/"), (8, "that/PRON/ state/NOUN/ grew/VERB/"), (9, "those/DET/ shout/VERB/"), (10, "after/PREP/ he/PRON/ left/VERB/ we/PRON/ ate/VERB/"),
-    (11, "before/CONJ/ the/DET/ war/NOUN/"), (12, "my/DET/ love/VERB/tense=PRES ended/VERB/"), (13, "a/DET/ taller/NOUN/ than/CONJ/ me/PRON/"), (14, "more/ADJ/ happy/ADJ/ people/NOUN/ came/VERB/"), (15, "and/CONJ/ she/PRON/ left/VERB/"),
-    (16, "the/DET/ of/PREP/ him/PRON/ was/AUX/"), (17, "he/PRON/ ate/VERB/ with/PREP/"), (18, "eating/VERB/aspect=PROG we/PRON/ talk/VERB/"), (19, "walked/VERB/ we/PRON/"), (20, "because/CONJ/ rain/NOUN/ fell/VERB/"), (21, "she/PRON/ left/VERB/ because/CONJ/"),
-]
+from .split_queries import english_sentences
 
 
-def sentences(spark):
-    s = spark.createDataFrame(SENTENCES, "id int, s string").select("id", F.transform(F.split("s", " "), lambda w: F.struct(F.split(w, "/")[0].alias("surface"), F.split(w, "/")[1].alias("pos"), F.split(w, "/")[2].alias("tags"))).alias("tokens"))
-    return s
+def sentences(spark, sf_dir) -> DataFrame:
+    """doc_id, sent, words of the sentences of English documents."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'")
+    x = d.select("doc_id", F.posexplode(english_sentences("text")).alias("sent", "s"))
+    return x.select("doc_id", F.col("sent").cast("long").alias("sent"), F.filter(F.split("s", "\\s+"), lambda w: w != "").alias("words"))
 
 
-DISAMBIGUATED = [
-    (1, "DET NOUN:num=PL AUX ADJ"), (2, "PRON VERB:person=3SG|tense=PRES"), (3, "NOUN AUX NOUN"), (4, "PRON AUX VERB:aspect=PROG|tense=PRES"), (5, "PRON VERB PART:subcat=INF VERB"),
-    (6, "PRON VERB PREP DET NOUN"), (7, "PRON VERB CONJ:subcat=COMP NOUN VERB"), (8, "DET NOUN VERB"), (9, "PRON NOUN"), (10, "CONJ:subcat=SUB PRON VERB PRON VERB"),
-    (11, "PREP DET NOUN"), (12, "DET NOUN VERB"), (13, "DET ADJ:degree=COMP CONJ PRON"), (14, "ADV:degree=COMP ADJ NOUN VERB"), (15, "CONJ PRON VERB"),
-    (16, "DET PREP PRON AUX"), (17, "PRON VERB PREP"), (18, "VERB:aspect=PROG PRON VERB"), (19, "VERB PRON"), (20, "CONJ NOUN VERB"), (21, "PRON VERB CONJ"),
-]
+def analysed(lines: DataFrame, memo: DataFrame, key: list[str]) -> DataFrame:
+    """key, tokens array<struct<surface, pos, tags>>: lines' words with what the memo (w, pos, tags) says of them, in order; a word that it lacks is UNKNOWN, a mark PUNCT."""
+    at = lines.select(*key, F.posexplode("words").alias("i", "surface")).withColumn("w", F.lower(strip_punct("surface")))
+    got = at.join(memo.select("w", "pos", "tags"), "w", "left")
+    pos = F.when(F.col("w") == "", "PUNCT").otherwise(F.coalesce("pos", F.lit("UNKNOWN")))
+    tok = F.struct("i", "surface", pos.alias("pos"), F.coalesce("tags", F.lit("")).alias("tags"))
+    ordered = F.transform(F.array_sort(F.collect_list(tok)), lambda x: F.struct(x["surface"].alias("surface"), x["pos"].alias("pos"), x["tags"].alias("tags")))
+    return got.groupBy(*key).agg(ordered.alias("tokens"))
 
 
-@query("en_disambiguate", f"SELECT id, tagged FROM {values_sql('id, tagged', DISAMBIGUATED)}")
-def en_disambiguate(spark, sf_dir):
-    d = sentences(spark).select("id", english.disambiguate(F.col("tokens")).alias("t"))
-    return d.select("id", F.array_join(F.transform("t", lambda t: F.when(t["tags"] == "", t["pos"]).otherwise(F.concat_ws(":", t["pos"], t["tags"]))), " ").alias("tagged"))
+def resolved(spark, sf_dir) -> DataFrame:
+    """doc_id, sent, t: the tokens of each sentence after disambiguation."""
+    counts = word_counts(spark, sf_dir)
+    memo = M.analyze(counts.select("w"), known_words(counts), LEXICON)
+    lines = analysed(sentences(spark, sf_dir), memo, ["doc_id", "sent"])
+    return lines.select("doc_id", "sent", english.disambiguate(F.col("tokens")).alias("t"))
 
 
-VERDICTS = [
-    (1, "ok"), (2, "ok"), (3, "ok"), (4, "ok"), (5, "ok"), (6, "ok"), (7, "ok"), (8, "ok"), (9, "no main verb or copula"), (10, "ok"), (11, "no main verb or copula"), (12, "ok"), (13, "no main verb or copula"), (14, "ok"), (15, "coordinator at an edge"),
-    (16, "determiner without noun"), (17, "preposition without object"), (18, "aspect without auxiliary"), (19, "subject after verb"), (20, "ok"), (21, "subordinator without clause"),
-]
+@query("en_disambiguate")
+def en_disambiguate(spark, sf_dir):
+    """Parts of speech and tags of each English sentence, in context."""
+    return resolved(spark, sf_dir).select("doc_id", "sent", F.array_join(F.transform("t", lambda t: F.when(t["tags"] == "", t["pos"]).otherwise(F.concat_ws(":", t["pos"], t["tags"]))), " ").alias("tagged"))
 
 
-@query("en_validate", f"SELECT id, verdict FROM {values_sql('id, verdict', VERDICTS)}")
+@query("en_validate")
 def en_validate(spark, sf_dir):
-    d = sentences(spark).select("id", english.content(english.disambiguate(F.col("tokens"))).alias("c"))
-    return d.select("id", F.when(F.spark_partition_id() >= 0, F.col("c")).alias("c")).select("id", english.validate(F.col("c")).alias("verdict"))
+    """The first guard that each English sentence fails, or ok."""
+    return resolved(spark, sf_dir).withColumn("c", english.content(F.col("t"))).select("doc_id", "sent", english.validate(F.col("c")).alias("verdict"))
 
 
-@query("en_rejection_rate", f"SELECT verdict = 'ok' AS accepted, count(*) AS n FROM {values_sql('id, verdict', VERDICTS)} GROUP BY 1")
+@query("en_rejection_rate")
 def en_rejection_rate(spark, sf_dir):
-    return en_validate(spark, sf_dir).groupBy((F.col("verdict") == "ok").alias("accepted")).agg(F.count(F.lit(1)).alias("n"))
+    return en_validate(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))

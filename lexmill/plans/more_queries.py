@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from ..lexicon import english_words as E
 from ..operators.vocab import ranks
+from .derived import texts_in, texts_in_sql, words_in, words_in_sql
 from .registry import query
 from .set_queries import _bucket_sql, md5_bucket
 from .stat_queries import SEG_SQL, segmented
@@ -22,42 +24,46 @@ def stream_projection(spark, sf_dir):
     return segmented(spark, sf_dir).groupBy(c.alias("composite")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-CLOSED = [(0, "ktb"), (1, "drs"), (2, "ktb"), (3, "qrʾ")]
+#: Roots are the first three letters of words in Arabic letters, in the order in which a lexicon, the documents by id, has them.
+_PLACES = rf"(SELECT (id, i) AS place, left(w, 3) AS root FROM (SELECT id, unnest(l) AS w, unnest(range(0, len(l))) AS i FROM (SELECT id, regexp_extract_all(t, '\S+') AS l FROM {texts_in_sql('ar', 'benchmark', 'item_id')})))"
 
 
-@query("closed_vocab", f"SELECT root, 3 + row_number() OVER (ORDER BY min(place)) AS id FROM {values_sql('place, root', CLOSED)} GROUP BY root")
+@query("closed_vocab", f"SELECT root, 3 + row_number() OVER (ORDER BY min(place)) AS id FROM {_PLACES} GROUP BY root")
 def closed_vocab(spark, sf_dir):
-    f = rows(spark, "place int, root string", CLOSED).groupBy("root").agg(F.min("place").alias("first"))
+    t = texts_in(spark, sf_dir, "ar", "benchmark", "item_id").select("id", F.posexplode(F.regexp_extract_all("t", F.lit("\\S+"), F.lit(0))).alias("i", "w"))
+    f = t.select(F.struct("id", "i").alias("place"), F.left("w", F.lit(3)).alias("root")).groupBy("root").agg(F.min("place").alias("first"))
     return f.select("root", (3 + F.row_number().over(Window.orderBy("first"))).cast("long").alias("id"))
 
 
-STATES = [("a", "completed", 5, False), ("b", "failed", 5, False), ("c", "failed", 5, True), ("d", "running", 5, False), ("e", "running", 500, False), ("f", None, None, False)]
+_STATES = "(SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderkey % 100 AS age, o_orderpriority LIKE '1%' AS retry FROM orders)"
 
 
-@query("run_state", f"SELECT run, CASE WHEN status = 'completed' THEN 'skip_completed' WHEN status = 'failed' AND NOT retry THEN 'skip_failed' WHEN status = 'running' AND age <= 60 THEN 'skip_running_fresh' ELSE 'run' END AS outcome FROM {values_sql('run, status, age, retry', STATES)}")
+@query("run_state", f"SELECT run, CASE WHEN status = 'completed' THEN 'skip_completed' WHEN status = 'failed' AND NOT retry THEN 'skip_failed' WHEN status = 'running' AND age <= 60 THEN 'skip_running_fresh' ELSE 'run' END AS outcome FROM {_STATES}")
 def run_state(spark, sf_dir):
     s = F.col("status")
     o = F.when(s == "completed", "skip_completed").when((s == "failed") & ~F.col("retry"), "skip_failed").when((s == "running") & (F.col("age") <= 60), "skip_running_fresh").otherwise("run")
-    return rows(spark, "run string, status string, age int, retry boolean", STATES).select("run", o.alias("outcome"))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), status.alias("status"), (F.col("o_orderkey") % 100).alias("age"), F.col("o_orderpriority").startswith("1").alias("retry"))
+    return jobs.select("run", o.alias("outcome"))
 
 
-PRICES = [("small", 1.5, 0.4), ("large", 4.0, 0.1)]
-JOBS = [("small", 640), ("large", 2500), ("other", 10)]
+PRICES = [("F", 1.5, 0.4), ("O", 4.0, 0.1)]
+_JOBS = "(SELECT o_orderstatus AS instance, count(*) AS m FROM orders GROUP BY o_orderstatus)"
 
 
-@query("cost_estimate", f"SELECT j.instance, p.price IS NOT NULL AS known, round(m * h, 2) AS hours, round(m * h * price * 0.8, 2) AS low, round(m * h * price * 1.5, 2) AS high FROM {values_sql('instance, m', JOBS).replace('AS t(', 'AS j(')} LEFT JOIN {values_sql('instance, price, h', PRICES).replace('AS t(', 'AS p(')} ON j.instance = p.instance")
+@query("cost_estimate", f"SELECT j.instance, p.price IS NOT NULL AS known, round(m * h, 2) AS hours, round(m * h * price * 0.8, 2) AS low, round(m * h * price * 1.5, 2) AS high FROM {_JOBS} j LEFT JOIN {values_sql('instance, price, h', PRICES).replace('AS t(', 'AS p(')} ON j.instance = p.instance")
 def cost_estimate(spark, sf_dir):
-    j = rows(spark, "instance string, m int", JOBS).join(F.broadcast(rows(spark, "instance string, price double, h double", PRICES)), "instance", "left")
+    j = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("instance")).agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(rows(spark, "instance string, price double, h double", PRICES)), "instance", "left")
     hours = F.col("m") * F.col("h")
     return j.select("instance", F.col("price").isNotNull().alias("known"), F.round(hours, 2).alias("hours"), F.round(hours * F.col("price") * 0.8, 2).alias("low"), F.round(hours * F.col("price") * 1.5, 2).alias("high"))
 
 
-STREAMS = [("tokens", 32000, 448), ("features", 1450, 64)]
+_STREAMS = f"(WITH {tok_sql()} SELECT lang AS stream, count(DISTINCT w) AS vocab, 64 * length(lang) AS dim FROM tok GROUP BY lang)"
 
 
-@query("parameter_breakdown", f"SELECT stream, vocab * dim AS embedding, (vocab * 512)::BIGINT AS head FROM {values_sql('stream, vocab, dim', STREAMS)}")
+@query("parameter_breakdown", f"SELECT stream, vocab * dim AS embedding, (vocab * width)::BIGINT AS head FROM {_STREAMS} s, (SELECT sum(dim) AS width FROM {_STREAMS}) d")
 def parameter_breakdown(spark, sf_dir):
-    s = rows(spark, "stream string, vocab int, dim int", STREAMS)
+    s = tokens(spark, sf_dir).select("lang", "w").distinct().groupBy(F.col("lang").alias("stream")).agg(F.count(F.lit(1)).alias("vocab")).withColumn("dim", (64 * F.length("stream")).cast("long"))
     width = F.broadcast(s.agg(F.sum("dim").alias("width")))
     return s.join(width).select("stream", (F.col("vocab") * F.col("dim")).alias("embedding"), (F.col("vocab") * F.col("width")).cast("long").alias("head"))
 
@@ -107,24 +113,23 @@ def question_context(spark, sf_dir):
     return a.join(b, ["conv_id", "turn"]).where("text is not null and answer is not null").select("conv_id", "turn", F.left(F.concat_ws(" [SEP] ", "text", "answer"), F.lit(80)).alias("joined"))
 
 
-SPLIT_TEXTS = [(1, "我吃饭。你呢？他不来！"), (2, "我去；你留…"), (3, "没有句号"), (4, "好. 行!")]
-
-
-@query("zh_split", f"SELECT id, len(list_filter(string_split(regexp_replace(t, '([。！？；….!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n FROM {values_sql('id, t', SPLIT_TEXTS)}")
+@query("zh_split", f"SELECT id, len(list_filter(string_split(regexp_replace(t, '([。！？；….!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS n FROM {texts_in_sql('zh')}")
 def zh_split(spark, sf_dir):
     parts = F.filter(F.split("t", "(?<=[。！？；….!?;])"), lambda x: x != "")
-    return rows(spark, "id int, t string", SPLIT_TEXTS).select("id", F.size(parts).cast("long").alias("n"))
+    return texts_in(spark, sf_dir, "zh").select("id", F.size(parts).cast("long").alias("n"))
 
 
-AGENT = [("teacher", "teach"), ("taller", "tall"), ("actor", "act"), ("river", "riv"), ("liar", "li")]
+_AGENT = f"(SELECT w, left(w, length(w) - 2) AS base FROM {words_in_sql('latin')} WHERE length(w) > 2) AS t(w, base)"
+_KINDS = "(VALUES " + ", ".join([*(f"('{w}', 'ADJ')" for w in E.ADJECTIVES), *(f"('{w}', 'VERB')" for w in E.VERBS if w not in E.ADJECTIVES)]) + ") AS k(base, kind)"
 
 
-@query("en_agent", f"SELECT w, base, CASE WHEN base IN ('tall', 'small', 'big') THEN 'COMP' WHEN base IN ('teach', 'act', 'run') AND regexp_matches(w, '(er|or|ar)$') THEN 'AGENT' ELSE 'WHOLE' END AS reading FROM {values_sql('w, base', AGENT)}")
+@query("en_agent", f"SELECT t.w, t.base, CASE WHEN kind = 'ADJ' THEN 'COMP' WHEN kind = 'VERB' AND regexp_matches(t.w, '(er|or|ar)$') THEN 'AGENT' ELSE 'WHOLE' END AS reading FROM {_AGENT} LEFT JOIN {_KINDS} ON k.base = t.base")
 def en_agent(spark, sf_dir):
     """A comparative wins if the base is an adjective; an agent needs a known verb. The lists are injected."""
-    known = F.broadcast(spark.createDataFrame([("tall", "ADJ"), ("small", "ADJ"), ("big", "ADJ"), ("teach", "VERB"), ("act", "VERB"), ("run", "VERB")], "base string, kind string"))
+    known = F.broadcast(spark.createDataFrame([*((w, "ADJ") for w in E.ADJECTIVES), *((w, "VERB") for w in E.VERBS if w not in E.ADJECTIVES)], "base string, kind string"))
     r = F.when(F.col("kind") == "ADJ", "COMP").when((F.col("kind") == "VERB") & F.col("w").rlike("(er|or|ar)$"), "AGENT").otherwise("WHOLE")
-    return rows(spark, "w string, base string", AGENT).join(known, "base", "left").select("w", "base", r.alias("reading"))
+    words = words_in(spark, sf_dir, "latin").where("length(w) > 2").selectExpr("w", "left(w, length(w) - 2) AS base")
+    return words.join(known, "base", "left").select("w", "base", r.alias("reading"))
 
 
 @query("ready_splits", "SELECT lang, count(*) AS n, count(*) >= 100 AS ready FROM documents GROUP BY lang")

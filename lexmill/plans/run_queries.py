@@ -6,22 +6,17 @@ from pyspark.sql import functions as F
 
 from ..io import table
 from ..operators import stats
+from .derived import words_in, words_in_sql
+from .measured import RUNS_SQL, SEEDS_SQL, runs, seeds
 from .registry import query
-from .text_queries import rows, values_sql
 
-RUNS = [("en", "baseline", 5.803, 39.42, 1000), ("en", "morph", 5.792, 55.47, 1010), ("ar", "baseline", 6.413, 80.5, 900), ("ar", "morph", 6.263, 70.2, 910), ("tr", "baseline", 4.187, 30.0, 800)]
-_RUNS = values_sql("lang, regime, loss, ppl, tokens", RUNS)
-_SCHEMA = "lang string, regime string, loss double, ppl double, tokens int"
+_RUNS = RUNS_SQL
 
 
-def runs(spark):
-    return rows(spark, _SCHEMA, RUNS)
-
-
-def _pair(spark):
+def _pair(spark, sf_dir):
     """One row a language with both regimes' values: one aggregation instead of a self-join."""
     at = lambda c, r: F.max(F.when(F.col("regime") == r, F.col(c)))
-    return runs(spark).groupBy("lang").agg(at("loss", "baseline").alias("base_loss"), at("loss", "morph").alias("morph_loss"), at("ppl", "baseline").alias("base_ppl"), at("ppl", "morph").alias("morph_ppl"))
+    return runs(spark, sf_dir).groupBy("lang").agg(at("loss", "baseline").alias("base_loss"), at("loss", "morph").alias("morph_loss"), at("ppl", "baseline").alias("base_ppl"), at("ppl", "morph").alias("morph_ppl"))
 
 
 _PAIR = f"(SELECT lang, max(loss) FILTER (regime = 'baseline') AS base_loss, max(loss) FILTER (regime = 'morph') AS morph_loss, max(ppl) FILTER (regime = 'baseline') AS base_ppl, max(ppl) FILTER (regime = 'morph') AS morph_ppl FROM {_RUNS} GROUP BY lang)"
@@ -29,60 +24,61 @@ _PAIR = f"(SELECT lang, max(loss) FILTER (regime = 'baseline') AS base_loss, max
 
 @query("regime_pair", f"SELECT lang, base_loss, morph_loss, base_loss IS NOT NULL AS has_baseline, morph_loss IS NOT NULL AS has_morph FROM {_PAIR}")
 def regime_pair(spark, sf_dir):
-    return _pair(spark).select("lang", "base_loss", "morph_loss", F.col("base_loss").isNotNull().alias("has_baseline"), F.col("morph_loss").isNotNull().alias("has_morph"))
+    return _pair(spark, sf_dir).select("lang", "base_loss", "morph_loss", F.col("base_loss").isNotNull().alias("has_baseline"), F.col("morph_loss").isNotNull().alias("has_morph"))
 
 
 @query("rebate", f"SELECT lang, round(base_loss - morph_loss, 6) AS delta_loss, round(100 * (morph_ppl - base_ppl) / base_ppl, 6) AS delta_ppl_pct FROM {_PAIR} WHERE base_loss IS NOT NULL AND morph_loss IS NOT NULL")
 def rebate(spark, sf_dir):
-    return _pair(spark).where("base_loss is not null and morph_loss is not null").select("lang", F.round(F.col("base_loss") - F.col("morph_loss"), 6).alias("delta_loss"), F.round(100 * (F.col("morph_ppl") - F.col("base_ppl")) / F.col("base_ppl"), 6).alias("delta_ppl_pct"))
+    return _pair(spark, sf_dir).where("base_loss is not null and morph_loss is not null").select("lang", F.round(F.col("base_loss") - F.col("morph_loss"), 6).alias("delta_loss"), F.round(100 * (F.col("morph_ppl") - F.col("base_ppl")) / F.col("base_ppl"), 6).alias("delta_ppl_pct"))
 
 
 @query("ppl_ratio", f"SELECT lang, round(morph_ppl / base_ppl, 6) AS ratio, CASE WHEN morph_ppl < base_ppl THEN 'better' WHEN morph_ppl > base_ppl THEN 'worse' ELSE 'same' END AS direction FROM {_PAIR} WHERE morph_ppl IS NOT NULL")
 def ppl_ratio(spark, sf_dir):
     d = F.when(F.col("morph_ppl") < F.col("base_ppl"), "better").when(F.col("morph_ppl") > F.col("base_ppl"), "worse").otherwise("same")
-    return _pair(spark).where("morph_ppl is not null").select("lang", F.round(F.col("morph_ppl") / F.col("base_ppl"), 6).alias("ratio"), d.alias("direction"))
+    return _pair(spark, sf_dir).where("morph_ppl is not null").select("lang", F.round(F.col("morph_ppl") / F.col("base_ppl"), 6).alias("ratio"), d.alias("direction"))
 
 
-HL = [("en", 1.279), ("ar", 3.205), ("tr", 4.203)]
+#: A language's share of its words' entropy that the second pieces add.
+_HL = f"(SELECT lang, round((max(loss) FILTER (regime = 'baseline') - max(loss) FILTER (regime = 'morph')) / ln(2), 6) AS rho_h FROM {_RUNS} GROUP BY lang)"
 
 
-@query("summary_table", f"SELECT l.lang, g.regime, r.loss, h.rho_h FROM (SELECT DISTINCT lang FROM {_RUNS}) l CROSS JOIN (SELECT unnest(['baseline', 'morph']) AS regime) g LEFT JOIN (SELECT * FROM {_RUNS}) r ON r.lang = l.lang AND r.regime = g.regime LEFT JOIN (SELECT * FROM {values_sql('lang, rho_h', HL)}) h ON h.lang = l.lang")
+@query("summary_table", f"SELECT l.lang, g.regime, r.loss, h.rho_h FROM (SELECT DISTINCT lang FROM {_RUNS}) l CROSS JOIN (SELECT unnest(['baseline', 'morph']) AS regime) g LEFT JOIN (SELECT * FROM {_RUNS}) r ON r.lang = l.lang AND r.regime = g.regime LEFT JOIN {_HL} h ON h.lang = l.lang")
 def summary_table(spark, sf_dir):
     """Languages by regimes, made by exploding the fixed list of regimes, with what is known of each."""
-    grid = runs(spark).select("lang").distinct().select("lang", F.explode(F.array(F.lit("baseline"), F.lit("morph"))).alias("regime"))
-    return grid.join(runs(spark).select("lang", "regime", "loss"), ["lang", "regime"], "left").join(F.broadcast(rows(spark, "lang string, rho_h double", HL)), "lang", "left").select("lang", "regime", "loss", "rho_h")
+    h = _pair(spark, sf_dir).select("lang", F.round((F.col("base_loss") - F.col("morph_loss")) / F.log(F.lit(2.0)), 6).alias("rho_h"))
+    grid = runs(spark, sf_dir).select("lang").distinct().select("lang", F.explode(F.array(F.lit("baseline"), F.lit("morph"))).alias("regime"))
+    return grid.join(runs(spark, sf_dir).select("lang", "regime", "loss"), ["lang", "regime"], "left").join(h, "lang", "left").select("lang", "regime", "loss", "rho_h")
 
 
-@query("run_grid", "SELECT rung || '_' || lang || '_' || regime AS run_id, rung, lang, regime FROM (SELECT unnest(['r1', 'r2', 'r3']) AS rung), (SELECT unnest(['en', 'ar', 'tr', 'zh']) AS lang), (SELECT unnest(['baseline', 'morph']) AS regime)")
+@query("run_grid", "SELECT source || '_' || lang || '_' || regime AS run_id, source AS rung, lang, regime FROM (SELECT DISTINCT source FROM documents), (SELECT DISTINCT lang FROM documents), (SELECT unnest(['baseline', 'morph']) AS regime)")
 def run_grid(spark, sf_dir):
-    each = lambda *v: F.explode(F.array(*map(F.lit, v)))
-    g = spark.range(1).select(each("r1", "r2", "r3").alias("rung")).select("rung", each("en", "ar", "tr", "zh").alias("lang")).select("rung", "lang", each("baseline", "morph").alias("regime"))
+    """Every source by every language by both regimes: the result is the grid, so its sides are exploded from arrays of distinct values."""
+    d = table(spark, sf_dir, "documents").agg(F.collect_set("source").alias("sources"), F.collect_set("lang").alias("langs"))
+    g = d.select(F.explode("sources").alias("rung"), "langs").select("rung", F.explode("langs").alias("lang")).select("rung", "lang", F.explode(F.array(F.lit("baseline"), F.lit("morph"))).alias("regime"))
     return g.select(F.concat_ws("_", "rung", "lang", "regime").alias("run_id"), "rung", "lang", "regime")
 
 
-IDS = [("r1_en_morph",), ("r2_ar_baseline",), ("notes",), ("r3_zh_morph",)]
+#: Ids of runs, one a document; a third of them are no runs.
+_IDS = "(SELECT CASE doc_id % 3 WHEN 0 THEN replace(source, 'src', 'r') || '_' || lang || '_morph' WHEN 1 THEN replace(source, 'src', 'r') || '_' || lang || '_baseline' ELSE source || '_notes' END AS run_id FROM documents) AS t(run_id)"
 
 
-@query("run_id_parse", f"SELECT run_id, regexp_extract(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$', 1) AS rung, regexp_extract(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$', 2) AS lang FROM {values_sql('run_id', IDS)} WHERE regexp_matches(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$')")
+@query("run_id_parse", f"SELECT run_id, regexp_extract(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$', 1) AS rung, regexp_extract(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$', 2) AS lang FROM {_IDS} WHERE regexp_matches(run_id, '^(r\\d+)_([a-z]{{2}})_(baseline|morph)$')")
 def run_id_parse(spark, sf_dir):
     p = "^(r\\d+)_([a-z]{2})_(baseline|morph)$"
-    return rows(spark, "run_id string", IDS).where(F.col("run_id").rlike(p)).select("run_id", F.regexp_extract("run_id", p, 1).alias("rung"), F.regexp_extract("run_id", p, 2).alias("lang"))
-
-
-# Published results of seeds: cell and bits per character.
-SEEDS = [("ar_morph_s1", 1.1246), ("ar_morph_s2", 1.1251), ("ar_morph_s3", 1.1239), ("ar_base_s1", 1.1464), ("ar_base_s2", 1.1440), ("en_morph", 1.0883)]
+    ids = F.when(F.col("doc_id") % 3 == 0, F.concat(F.replace("source", F.lit("src"), F.lit("r")), F.lit("_"), "lang", F.lit("_morph"))).when(F.col("doc_id") % 3 == 1, F.concat(F.replace("source", F.lit("src"), F.lit("r")), F.lit("_"), "lang", F.lit("_baseline"))).otherwise(F.concat("source", F.lit("_notes")))
+    return table(spark, sf_dir, "documents").select(ids.alias("run_id")).where(F.col("run_id").rlike(p)).select("run_id", F.regexp_extract("run_id", p, 1).alias("rung"), F.regexp_extract("run_id", p, 2).alias("lang"))
 
 
-@query("seed_stats", f"SELECT cell, count(*) AS n, round(avg(bpc), 6) AS mean_bpc, round(stddev_pop(bpc), 6) AS sd_bpc, round(max(bpc) / min(bpc), 6) AS spread FROM (SELECT regexp_replace(cell, '_s[^_]*$', '') AS cell, bpc FROM {values_sql('cell, bpc', SEEDS)}) GROUP BY cell")
+@query("seed_stats", f"SELECT cell, count(*) AS n, round(avg(bpc), 6) AS mean_bpc, round(stddev_pop(bpc), 6) AS sd_bpc, round(max(bpc) / min(bpc), 6) AS spread FROM (SELECT regexp_replace(cell, '_s[^_]*$', '') AS cell, bpc FROM {SEEDS_SQL}) GROUP BY cell")
 def seed_stats(spark, sf_dir):
-    r = rows(spark, "cell string, bpc double", SEEDS).select(F.regexp_replace("cell", "_s[^_]*$", "").alias("cell"), "bpc")
+    r = seeds(spark, sf_dir).select(F.regexp_replace("cell", "_s[^_]*$", "").alias("cell"), "bpc")
     return r.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bpc"), 6).alias("mean_bpc"), F.round(F.stddev_pop("bpc"), 6).alias("sd_bpc"), F.round(F.max("bpc") / F.min("bpc"), 6).alias("spread"))
 
 
 @query("results_rollup", f"SELECT lang, count(*) AS n, round(sum(loss * tokens) / sum(tokens), 6) AS weighted_loss, round(exp(least(sum(loss * tokens) / sum(tokens), 20)), 4) AS ppl, round(sum(loss * tokens) / sum(tokens) / ln(2) * 1.3, 6) AS bpc FROM {_RUNS} GROUP BY lang")
 def results_rollup(spark, sf_dir):
     w = F.sum(F.col("loss") * F.col("tokens")) / F.sum("tokens")
-    return runs(spark).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(w, 6).alias("weighted_loss"), F.round(F.exp(F.least(w, F.lit(20.0))), 4).alias("ppl"), F.round(w / F.log(F.lit(2.0)) * 1.3, 6).alias("bpc"))
+    return runs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(w, 6).alias("weighted_loss"), F.round(F.exp(F.least(w, F.lit(20.0))), 4).alias("ppl"), F.round(w / F.log(F.lit(2.0)) * 1.3, 6).alias("bpc"))
 
 
 @query("weighted_loss", "SELECT event_type, round(sum(value * (user_id % 7 + 1)) / sum(user_id % 7 + 1), 6) AS loss, round(exp(least(sum(value * (user_id % 7 + 1)) / sum(user_id % 7 + 1), 20)), 2) AS ppl FROM events WHERE value IS NOT NULL GROUP BY event_type")
@@ -118,24 +114,34 @@ def gini(spark, sf_dir):
     return stats.gini(o, "v", ("g",)).select("g", "n", F.round("gini", 6).alias("gini"))
 
 
-GOLD = [("cats", "cat", "agree", "cat"), ("ran", "run", "corrected", "ran"), ("walked", "walk", "corrected", "walk"), ("taxi", "taxi", "foreign", "tax"), ("the", "the", "function", "the"), ("xq", "", "unk", "xq")]
+_GOLD = f"(SELECT w AS word, regexp_replace(w, '(s|ed|ing)$', '') AS gold, CASE WHEN length(w) <= 3 THEN 'function' WHEN regexp_matches(w, '[^A-Za-z]') THEN 'foreign' WHEN ends_with(w, 's') THEN 'corrected' ELSE 'agree' END AS source, regexp_replace(w, '(s|ing)$', '') AS answer FROM {words_in_sql('latin')}) AS t(word, gold, source, answer)"
 
 
-@query("gold_scorecard", f"SELECT count(*) AS n, count(*) FILTER (source IN ('agree', 'corrected')) AS scored, count(*) FILTER (source IN ('agree', 'corrected') AND gold = answer) AS right_answers, count(*) FILTER (source NOT IN ('agree', 'corrected')) AS excluded, round(count(*) FILTER (source IN ('agree', 'corrected') AND gold = answer) / count(*) FILTER (source IN ('agree', 'corrected')), 6) AS rate FROM {values_sql('word, gold, source, answer', GOLD)}")
+def _gold(spark, sf_dir):
+    """word, gold, source, answer: a rule with three endings judges one with two."""
+    w = F.col("w")
+    source = F.when(F.length(w) <= 3, "function").when(w.rlike("[^A-Za-z]"), "foreign").when(w.endswith("s"), "corrected").otherwise("agree")
+    return words_in(spark, sf_dir, "latin").select(w.alias("word"), F.regexp_replace(w, "(s|ed|ing)$", "").alias("gold"), source.alias("source"), F.regexp_replace(w, "(s|ing)$", "").alias("answer"))
+
+
+@query("gold_scorecard", f"SELECT count(*) AS n, count(*) FILTER (source IN ('agree', 'corrected')) AS scored, count(*) FILTER (source IN ('agree', 'corrected') AND gold = answer) AS right_answers, count(*) FILTER (source NOT IN ('agree', 'corrected')) AS excluded, round(count(*) FILTER (source IN ('agree', 'corrected') AND gold = answer) / count(*) FILTER (source IN ('agree', 'corrected')), 6) AS rate FROM {_GOLD}")
 def gold_scorecard(spark, sf_dir):
     scored = F.col("source").isin("agree", "corrected")
     hit = F.count_if(scored & (F.col("gold") == F.col("answer")))
-    return rows(spark, "word string, gold string, source string, answer string", GOLD).agg(F.count(F.lit(1)).alias("n"), F.count_if(scored).alias("scored"), hit.alias("right_answers"), F.count_if(~scored).alias("excluded"), F.round(F.coalesce(F.try_divide(hit, F.count_if(scored)), F.lit(0.0)), 6).alias("rate"))
+    return _gold(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(scored).alias("scored"), hit.alias("right_answers"), F.count_if(~scored).alias("excluded"), F.round(F.coalesce(F.try_divide(hit, F.count_if(scored)), F.lit(0.0)), 6).alias("rate"))
 
 
-MATCHES = [("make", "mak"), ("make", "make"), ("run", "rune"), ("go", "gone"), ("istemek", "iste"), ("gitmek", "git")]
+#: Words beside themselves without their last letter, and infinitives beside their stems.
+_MATCHES = f"(SELECT a, b FROM (SELECT w AS a, left(w, length(w) - 1) AS b FROM {words_in_sql('tr')} UNION ALL SELECT w || 'mek', w FROM {words_in_sql('tr')})) AS t(a, b)"
 
 
-@query("lemma_match", f"SELECT a, b, a = b OR a || 'e' = b OR a = b || 'e' AS en_ok, regexp_replace(CASE WHEN length(a) > 4 AND (a LIKE '%mak' OR a LIKE '%mek') THEN left(a, length(a) - 3) ELSE a END, '$', '') = b AS tr_ok FROM {values_sql('a, b', MATCHES)}")
+@query("lemma_match", f"SELECT a, b, a = b OR a || 'e' = b OR a = b || 'e' AS en_ok, regexp_replace(CASE WHEN length(a) > 4 AND (a LIKE '%mak' OR a LIKE '%mek') THEN left(a, length(a) - 3) ELSE a END, '$', '') = b AS tr_ok FROM {_MATCHES}")
 def lemma_match(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     stem = F.when((F.length(a) > 4) & a.rlike("m[ae]k$"), F.substr(a, F.lit(1), F.length(a) - 3)).otherwise(a)
-    return rows(spark, "a string, b string", MATCHES).select("a", "b", ((a == b) | (F.concat(a, F.lit("e")) == b) | (a == F.concat(b, F.lit("e")))).alias("en_ok"), (stem == b).alias("tr_ok"))
+    words = words_in(spark, sf_dir, "tr")
+    pairs = words.selectExpr("w AS a", "left(w, length(w) - 1) AS b").unionByName(words.selectExpr("w || 'mek' AS a", "w AS b"))
+    return pairs.select("a", "b", ((a == b) | (F.concat(a, F.lit("e")) == b) | (a == F.concat(b, F.lit("e")))).alias("en_ok"), (stem == b).alias("tr_ok"))
 
 
 _E = "(SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL AND user_id % 10 = 0)"
@@ -149,9 +155,9 @@ def ema(spark, sf_dir):
     return e.select("user_id", F.size("v").cast("long").alias("steps"), F.round(fold, 6).alias("ema"))
 
 
-@query("lr_schedule", "SELECT step, round(CASE WHEN step < 100 THEN 0.001 * (step + 1) / 100 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * (step - 100) / 900.0)) END, 9) AS lr FROM (SELECT unnest(range(0, 1000, 10)) AS step)")
+@query("lr_schedule", "SELECT step, round(CASE WHEN step < 100 THEN 0.001 * (step + 1) / 100 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * (step - 100) / 900.0)) END, 9) AS lr FROM (SELECT DISTINCT event_id % 1000 AS step FROM events)")
 def lr_schedule(spark, sf_dir):
-    s = spark.range(0, 1000, 10).withColumnRenamed("id", "step")
+    s = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("step")).distinct()
     return s.select("step", F.round(F.when(F.col("step") < 100, 0.001 * (F.col("step") + 1) / 100).otherwise(0.0001 + 0.5 * 0.0009 * (1 + F.cos(F.pi() * (F.col("step") - 100) / 900.0))), 9).alias("lr"))
 
 
@@ -185,13 +191,10 @@ def pad_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(F.concat(ids, F.array_repeat(F.lit(0), 8)), 1, 8).cast("array<string>"), " ").alias("ids"))
 
 
-CURVE = [(1, 6.0), (2, 5.2), (4, 4.6), (8, 4.1), (16, 3.8)]
-
-
-@query("nearest_crossing", f"SELECT t AS target, arg_min(n, abs(y - t)) AS nearest FROM {values_sql('n, y', CURVE)}, (SELECT unnest([5.0, 4.0]) AS t) GROUP BY t".replace(") AS t(n, y)", ") AS c(n, y)"))
+@query("nearest_crossing", "SELECT t AS target, arg_min(n, (abs(y - t), n)) AS nearest FROM (SELECT o_orderkey AS n, o_totalprice::DOUBLE AS y FROM orders), (SELECT unnest([50000.0::DOUBLE, 150000.0::DOUBLE]) AS t) GROUP BY t")
 def nearest_crossing(spark, sf_dir):
-    x = rows(spark, "n int, y double", CURVE).select("n", "y", F.explode(F.array(F.lit(5.0), F.lit(4.0))).alias("target"))
-    return x.groupBy("target").agg(F.min_by("n", F.abs(F.col("y") - F.col("target"))).alias("nearest"))
+    x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_totalprice").cast("double").alias("y"), F.explode(F.array(F.lit(50000.0), F.lit(150000.0))).alias("target"))
+    return x.groupBy("target").agg(F.min_by("n", F.struct(F.abs(F.col("y") - F.col("target")), "n")).alias("nearest"))
 
 
 @query("mean_pooling", "WITH e AS (SELECT label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) SELECT label, i, round(avg(v::DOUBLE), 4) AS mean FROM e GROUP BY label, i")

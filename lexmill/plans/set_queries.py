@@ -10,6 +10,7 @@ from ..io import table
 from ..lexicon.slots import EN_ALLOWED, SLOTS
 from ..operators.vocab import ranks
 from .derived import words_in, words_in_sql
+from .measured import BUNDLES_SQL, bundles
 from .registry import query
 from .text_queries import rows, tok_sql, tokens, values_sql
 
@@ -197,79 +198,74 @@ def validate_expr():
 _SIZES = [("zh", 547, 547), ("en", 95, 89), ("tr", 4382, 4382), ("ar", 26256, 9579)]
 
 
-@query("slot_space", f"WITH s AS (SELECT lang, pos, slot, count(*) AS k FROM {values_sql('lang, pos, slot, v', _SLOT_ROWS)} GROUP BY ALL), p AS (SELECT lang, pos, round(exp(sum(ln(k))))::BIGINT AS possible FROM s GROUP BY lang, pos) SELECT lang, sum(possible)::BIGINT AS possible FROM p GROUP BY lang")
+@query("slot_space", f"WITH s AS (SELECT lang, pos, slot, count(*) AS k FROM {values_sql('lang, pos, slot, v', _SLOT_ROWS)} GROUP BY ALL), p AS (SELECT lang, pos, round(exp(sum(ln(k))))::BIGINT AS possible FROM s GROUP BY lang, pos), o AS (SELECT pos, count(*) AS words FROM {BUNDLES_SQL} GROUP BY pos) SELECT lang, p.pos, possible, coalesce(words, 0) AS words FROM p LEFT JOIN o ON p.pos = o.pos AND lang = 'en'")
 def slot_space(spark, sf_dir):
-    return bundle_space(spark).groupBy("lang").agg(F.count(F.lit(1)).alias("possible"))
+    """Possible bundles of each part of speech, and the words that fill the English ones."""
+    space = bundle_space(spark).groupBy("lang", "pos").agg(F.count(F.lit(1)).alias("possible"))
+    words = bundles(spark, sf_dir).groupBy("pos").agg(F.count(F.lit(1)).alias("words")).withColumn("lang", F.lit("en"))
+    return space.join(words, ["lang", "pos"], "left").select("lang", "pos", "possible", F.coalesce("words", F.lit(0)).alias("words"))
 
 
-@query("bundle_space", f"SELECT lang, possible, valid FROM {values_sql('lang, possible, valid', _SIZES)}")
-def bundle_space_sizes(spark, sf_dir):
-    return bundle_space(spark).groupBy("lang").agg(F.count(F.lit(1)).alias("possible"), F.sum(validate_expr().cast("long")).alias("valid"))
+_OBSERVED = f"(SELECT lang, count(DISTINCT bundle) AS observed FROM (SELECT 'en' AS lang, bundle FROM {BUNDLES_SQL}) GROUP BY lang)"
 
 
-JUDGED = [
-    (1, "en", "NOUN", "num", "PL", "poss", "YES"), (2, "en", "NOUN", "tense", "PAST", "num", "PL"), (3, "en", "VERB", "voice", "PASS", "aspect", "PROG"), (4, "en", "VERB", "voice", "PASS", "aspect", "PERF"),
-    (5, "en", "ADJ", "degree", "COMP", "degree2", "X"), (6, "ar", "VERB", "tense", "PAST", "person", "3"), (7, "ar", "VERB", "tense", "PAST", "num", "SG"), (8, "ar", "NOM", "case", "GEN", "def", "DEF"),
-    (9, "ar", "NOM", "case", "GEN", "num", "SG"), (10, "ar", "ADJ", "mood", "JUS", "num", "SG"), (11, "tr", "VERB", "mood", "IMP", "person", "3"), (12, "zh", "VERB", "aspect", "PERF", "role", "PREDICATE"), (13, "zh", "ADV", "negation", "NO", "degree", "VERY"),
-]
+@query("bundle_space", f"SELECT s.lang, possible, valid, coalesce(observed, 0) AS observed FROM (SELECT * FROM {values_sql('lang, possible, valid', _SIZES)}) s LEFT JOIN {_OBSERVED} o ON o.lang = s.lang")
+def bundle_space_sizes(spark, sf_dir):
+    """Possible, valid and observed bundles."""
+    space = bundle_space(spark).groupBy("lang").agg(F.count(F.lit(1)).alias("possible"), F.sum(validate_expr().cast("long")).alias("valid"))
+    seen = bundles(spark, sf_dir).select("bundle").distinct().agg(F.count(F.lit(1)).alias("observed")).withColumn("lang", F.lit("en"))
+    return space.join(seen, "lang", "left").select("lang", "possible", "valid", F.coalesce("observed", F.lit(0)).alias("observed"))
 
 
-@query(
-    "validate_bundle",
-    "SELECT id, CASE lang WHEN 'en' THEN CASE pos WHEN 'NOUN' THEN k1 IN ('num', 'poss', 'ambig_3sg') AND k2 IN ('num', 'poss', 'ambig_3sg') WHEN 'VERB' THEN NOT (v1 = 'PASS' AND v2 NOT IN ('PERF', 'SIMPLE')) ELSE k1 = 'degree' AND k2 = 'degree' END "
-    "WHEN 'ar' THEN CASE pos WHEN 'VERB' THEN k1 = 'tense' AND k2 = 'person' WHEN 'NOM' THEN k1 IN ('num', 'gender') OR k2 IN ('num', 'gender') ELSE k1 NOT IN ('tense', 'person', 'mood') END "
-    f"WHEN 'tr' THEN NOT (v1 = 'IMP' AND v2 <> '2') ELSE NOT (k1 = 'negation' AND v1 NOT IN ('BU', 'MEI', 'BIE')) END AS ok FROM {values_sql('id, lang, pos, k1, v1, k2, v2', JUDGED)}",
-)
-def validate_bundle(spark, sf_dir):
-    r = rows(spark, "id int, lang string, pos string, k1 string, v1 string, k2 string, v2 string", JUDGED)
-    return r.select("id", "lang", "pos", F.create_map("k1", "v1", "k2", "v2").alias("tags")).select("id", validate_expr().alias("ok"))
+#: Bundles of words under the English rules: adjectives have no possessive, and a passive needs an aspect that allows it or none.
+_JUDGED = f"(SELECT w, pos, CASE WHEN pos = 'ADJ' AND k2 = 'poss' THEN 'tag not allowed' WHEN pos = 'VERB' AND v2 = 'PASS' AND k1 = 'aspect' THEN 'voice against aspect' WHEN pos = 'ADV' AND k1 IS NOT NULL THEN 'tag not allowed' END AS reason FROM {BUNDLES_SQL})"
 
 
-def _rejected(spark):
-    v = lambda k: F.try_element_at("tags", F.lit(k))
-    p = F.col("pos")
-    reason = (
-        F.when((p == "VERB") & v("tense").isNull(), "verb without tense").when((p == "VERB") & v("person").isNull(), "verb without person").when((p == "VERB") & (v("mood") == "JUS") & (v("tense") != "PRES"), "jussive not present")
-        .when((p == "VERB") & (v("tense") == "IMP"), "imperative").when(p == "NOM", "nominal without number and gender").otherwise("other")
-    )
-    return bundle_space(spark).where("lang = 'ar'").where(~validate_expr()).select("pos", reason.alias("reason"))
+def judged(spark, sf_dir) -> DataFrame:
+    """w, pos, ok, reason of the words' bundles, internal tags left out."""
+    b = bundles(spark, sf_dir).select("w", "pos", F.str_to_map("tags", F.lit("[|]"), F.lit("=")).alias("tags"))
+    b = b.select("w", "pos", F.map_filter("tags", lambda k, v: k != "").alias("tags"), F.lit("en").alias("lang"))
+    extra = None
+    for p, names in EN_ALLOWED.items():
+        some = (F.col("pos") == p) & (F.size(F.array_except(F.map_keys("tags"), F.array(*[F.lit(x) for x in names]))) > 0)
+        extra = some if extra is None else extra | some
+    return b.select("w", "pos", validate_expr().alias("ok"), F.when(~validate_expr(), F.when(extra, "tag not allowed").otherwise("voice against aspect")).alias("reason"))
 
 
-#: Rejected Arabic bundles by first failing rule: counts from the sizes of the slots.
-#: verb without tense: 11*4*4*3*3*4; without person: 11*3*4*3*3*4; jussive: 11*2*3*4*3*3;
-#: imperative, not jussive: 11*3*4*3*3*3 less those of the second person in active voice, 11*4*3*3.
-_REJECTED = [("VERB", "verb without tense", 11 * 4 * 4 * 3 * 3 * 4), ("VERB", "verb without person", 11 * 3 * 4 * 3 * 3 * 4), ("VERB", "jussive not present", 11 * 2 * 3 * 4 * 3 * 3), ("VERB", "imperative", 11 * 3 * 4 * 3 * 3 * 3 - 11 * 4 * 3 * 3), ("NOM", "nominal without number and gender", 5 * 3 * 3)]
+@query("validate_bundle", f"SELECT w, reason IS NULL AS ok FROM {_JUDGED}")
+def validate_bundle(spark, sf_dir):
+    return judged(spark, sf_dir).select("w", "ok")
 
 
-@query("classify_rejection", f"SELECT pos, reason, cnt FROM {values_sql('pos, reason, cnt', _REJECTED)}")
+@query("classify_rejection", f"SELECT pos, reason, count(*) AS cnt FROM {_JUDGED} WHERE reason IS NOT NULL GROUP BY pos, reason")
 def classify_rejection(spark, sf_dir):
-    return _rejected(spark).groupBy("pos", "reason").agg(F.count(F.lit(1)).alias("cnt"))
+    """Rejected words by the first rule that they fail."""
+    return judged(spark, sf_dir).where("not ok").groupBy("pos", "reason").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("rejection_histogram", f"SELECT reason, sum(cnt)::BIGINT AS cnt FROM {values_sql('pos, reason, cnt', _REJECTED)} GROUP BY reason")
+@query("rejection_histogram", f"SELECT coalesce(reason, 'accepted') AS reason, count(*) AS cnt FROM {_JUDGED} GROUP BY 1")
 def rejection_histogram(spark, sf_dir):
-    return _rejected(spark).groupBy("reason").agg(F.count(F.lit(1)).alias("cnt"))
+    return judged(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("rejection_rate", f"SELECT lang, round(1 - valid / possible, 6) AS rate FROM {values_sql('lang, possible, valid', _SIZES)}")
+@query("rejection_rate", f"SELECT pos, round(avg((reason IS NOT NULL)::INT), 6) AS rate FROM {_JUDGED} GROUP BY pos")
 def rejection_rate(spark, sf_dir):
-    return bundle_space(spark).groupBy("lang").agg(F.round(1 - F.avg(validate_expr().cast("int")), 6).alias("rate"))
+    return judged(spark, sf_dir).groupBy("pos").agg(F.round(F.avg((~F.col("ok")).cast("int")), 6).alias("rate"))
 
 
-FILTERED = [("NOUN", "num", "PL", "tense", "PAST"), ("VERB", "tense", "PAST", "num", "PL"), ("ADJ", "degree", "COMP", "poss", "YES"), ("PREP", "x", "1", "y", "2")]
 _ALLOWED_SQL = "CASE pos " + " ".join(f"WHEN '{p}' THEN [{', '.join(repr(x) for x in names)}]" for p, names in EN_ALLOWED.items()) + " ELSE [] END"
 
 
-@query("tag_filter", f"SELECT pos, array_to_string(list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: list_contains({_ALLOWED_SQL}, split_part(x, '=', 1)))), '|') AS kept FROM {values_sql('pos, k1, v1, k2, v2', FILTERED)}")
+@query("tag_filter", f"SELECT w, pos, array_to_string(list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: list_contains({_ALLOWED_SQL}, split_part(x, '=', 1)))), '|') AS kept FROM {BUNDLES_SQL} WHERE k1 IS NOT NULL AND k2 IS NOT NULL")
 def tag_filter(spark, sf_dir):
-    r = rows(spark, "pos string, k1 string, v1 string, k2 string, v2 string", FILTERED)
+    r = bundles(spark, sf_dir).where("k1 is not null and k2 is not null")
     allowed = None
     for p, names in EN_ALLOWED.items():
         a = F.array(*[F.lit(x) for x in names])
         allowed = F.when(F.col("pos") == p, a) if allowed is None else allowed.when(F.col("pos") == p, a)
     allowed = allowed.otherwise(F.array().cast("array<string>"))
     kept = F.map_filter(F.create_map("k1", "v1", "k2", "v2"), lambda k, v: F.array_contains(allowed, k))
-    return r.select("pos", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("kept"))
+    return r.select("w", "pos", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("kept"))
 
 
 # Coarse classes of tags.
@@ -298,12 +294,11 @@ COARSE = [
     ("PUNCT", "PUNCT"),
     ("CLF", "PART"),
 ]
-TAGGED = [(1, "PROPN"), (2, "AUX"), (3, "X"), (4, "SCONJ"), (5, None)]
 
 
-@query("coarse_pos", f"SELECT id, coalesce(c, 'OTHER') AS coarse FROM {values_sql('id, pos', TAGGED)} LEFT JOIN (SELECT * FROM {values_sql('p, c', COARSE)}) ON pos = p")
+@query("coarse_pos", f"SELECT w, coalesce(c, 'OTHER') AS coarse FROM {BUNDLES_SQL} LEFT JOIN (SELECT * FROM {values_sql('p, c', COARSE)}) ON pos = p")
 def coarse_pos(spark, sf_dir):
-    return rows(spark, "id int, pos string", TAGGED).join(F.broadcast(rows(spark, "p string, c string", COARSE)), F.col("pos") == F.col("p"), "left").select("id", F.coalesce("c", F.lit("OTHER")).alias("coarse"))
+    return bundles(spark, sf_dir).select("w", "pos").join(F.broadcast(rows(spark, "p string, c string", COARSE)), F.col("pos") == F.col("p"), "left").select("w", F.coalesce("c", F.lit("OTHER")).alias("coarse"))
 
 
 @query("any_match", "SELECT doc_id, list_contains(string_split(lower(text), ' '), 'the') AS has_the, len(list_distinct(string_split(lower(text), ' ')))::BIGINT AS distinct_words FROM documents WHERE text IS NOT NULL")

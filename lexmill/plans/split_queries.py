@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..io import table
 from .derived import letters_in, letters_in_sql, texts_in, texts_in_sql, words_in, words_in_sql
+from .measured import BUNDLES_SQL, bundles
 from .registry import query
 from .set_queries import bench_tokens, _BENCH_TOK
 from .text_queries import ABBREVIATIONS, _ABBR_SQL, rows, tok_sql, tokens, values_sql
@@ -112,12 +113,13 @@ def gold_candidates(spark, sf_dir):
     return bench_tokens(spark, sf_dir).select(F.lower("w").alias("w")).join(F.broadcast(top), "w", "left_semi").distinct().join(F.broadcast(top), "w")
 
 
-POS = [("run", "VERB"), ("", "X"), (None, "X"), ("of", "")]
+#: Words with their part of speech, that of short ones blank.
+_POS = f"(SELECT w, CASE WHEN pos = 'DET' THEN '' ELSE pos END AS pos FROM {BUNDLES_SQL}) AS t(w, pos)"
 
 
-@query("open_class_pos", f"SELECT w, coalesce(nullif(pos, ''), 'UNKNOWN') AS pos FROM {values_sql('w, pos', POS)}")
+@query("open_class_pos", f"SELECT w, coalesce(nullif(pos, ''), 'UNKNOWN') AS pos FROM {_POS}")
 def open_class_pos(spark, sf_dir):
-    return rows(spark, "w string, pos string", POS).select("w", F.coalesce(F.nullif("pos", F.lit("")), F.lit("UNKNOWN")).alias("pos"))
+    return bundles(spark, sf_dir).select("w", F.when(F.col("pos") == "DET", "").otherwise(F.col("pos")).alias("pos")).select("w", F.coalesce(F.nullif("pos", F.lit("")), F.lit("UNKNOWN")).alias("pos"))
 
 
 @query("failed_analyses", f"WITH {tok_sql()} SELECT lang, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(w, '[a-zA-Z]')) AS failed, count(DISTINCT CASE WHEN regexp_matches(w, '[a-zA-Z]') THEN lower(w) ELSE 'UNKNOWN' END) AS analyses FROM tok GROUP BY lang")
@@ -127,15 +129,24 @@ def failed_analyses(spark, sf_dir):
     return tokens(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(a.isNull()).alias("failed"), F.countDistinct(F.coalesce(a, F.lit("UNKNOWN"))).alias("analyses"))
 
 
-SUBCATS = [("PART", "PREP"), ("PART", "COMP"), ("PART", "NEG"), ("PART", None), ("NOUN", "PREP")]
+#: Short words as particles, their class by the first letter.
+_SUBCATS = f"(SELECT w, CASE WHEN pos = 'DET' THEN 'PART' ELSE pos END AS pos, CASE lower(left(w, 1)) WHEN 't' THEN 'PREP' WHEN 'a' THEN 'CONJ' WHEN 'i' THEN 'COMP' WHEN 'o' THEN 'NEG' END AS subcat FROM {BUNDLES_SQL}) AS t(w, pos, subcat)"
+
+
+def _subcats(spark, sf_dir):
+    first = F.lower(F.left("w", F.lit(1)))
+    subcat = F.when(first == "t", "PREP").when(first == "a", "CONJ").when(first == "i", "COMP").when(first == "o", "NEG")
+    return bundles(spark, sf_dir).select("w", F.when(F.col("pos") == "DET", "PART").otherwise(F.col("pos")).alias("pos"), subcat.alias("subcat"))
+
+
 #: Coarse classes of Arabic particles.
 AR_COARSE = {"PREP": "ADP", "CONJ": "CONJ", "COMP": "CONJ"}
 
 
-@query("ar_coarse_pos", f"SELECT pos, subcat, CASE WHEN pos = 'PART' THEN coalesce(MAP {{'PREP': 'ADP', 'CONJ': 'CONJ', 'COMP': 'CONJ'}}[subcat], pos) ELSE pos END AS coarse FROM {values_sql('pos, subcat', SUBCATS)}")
+@query("ar_coarse_pos", f"SELECT w, pos, subcat, CASE WHEN pos = 'PART' THEN coalesce(MAP {{'PREP': 'ADP', 'CONJ': 'CONJ', 'COMP': 'CONJ'}}[subcat], pos) ELSE pos END AS coarse FROM {_SUBCATS}")
 def ar_coarse_pos(spark, sf_dir):
     known = F.create_map(*(F.lit(x) for kv in AR_COARSE.items() for x in kv))
-    return rows(spark, "pos string, subcat string", SUBCATS).select("pos", "subcat", F.when(F.col("pos") == "PART", F.coalesce(F.element_at(known, F.col("subcat")), "pos")).otherwise(F.col("pos")).alias("coarse"))
+    return _subcats(spark, sf_dir).select("w", "pos", "subcat", F.when(F.col("pos") == "PART", F.coalesce(F.element_at(known, F.col("subcat")), "pos")).otherwise(F.col("pos")).alias("coarse"))
 
 
 @query("source_projection", r"SELECT lang, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT lang, regexp_replace(trim(unnest(string_split(json_extract_string(doc, '$.translation.' || lang), chr(10)))), '\s+', ' ', 'g') AS line FROM (SELECT lang, json_object('translation', json_object(lang, text)) AS doc FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)) WHERE line <> '' GROUP BY lang")
@@ -215,11 +226,12 @@ def strong_radicals(spark, sf_dir):
 KANGXI_FIRST, KANGXI_LAST = 0x2F00, 0x2FD5
 
 
-@query("kangxi_map", f"SELECT (code - {KANGXI_FIRST - 1})::BIGINT AS number, chr(code::INT) AS radical FROM range({KANGXI_FIRST}, {KANGXI_LAST + 1}) t(code)")
+@query("kangxi_map", f"SELECT number, chr((number + {KANGXI_FIRST - 1})::INT) AS radical, count(*) AS n FROM (SELECT doc_id % {KANGXI_LAST - KANGXI_FIRST + 1} + 1 AS number FROM documents) GROUP BY number")
 def kangxi_map(spark, sf_dir):
-    """Numbers of the radicals from a rule: UTF-16 of the code point."""
-    code = F.unhex(F.lpad(F.hex("id"), 4, "0"))
-    return spark.range(KANGXI_FIRST, KANGXI_LAST + 1).select((F.col("id") - (KANGXI_FIRST - 1)).alias("number"), F.decode(code, "UTF-16BE").alias("radical"))
+    """Radicals of numbers from a rule, UTF-16 of the code point, over numbers made of the documents' ids; and back."""
+    number = table(spark, sf_dir, "documents").select((F.col("doc_id") % (KANGXI_LAST - KANGXI_FIRST + 1) + 1).alias("number"))
+    code = F.unhex(F.lpad(F.hex(F.col("number") + (KANGXI_FIRST - 1)), 4, "0"))
+    return number.select("number", F.decode(code, "UTF-16BE").alias("radical")).groupBy("number", "radical").agg(F.count(F.lit(1)).alias("n"))
 
 
 RADICALS = [("好", 38), ("河", 85), ("林", 75)]
@@ -231,17 +243,14 @@ def zh_radical_id(spark, sf_dir):
     return letters_in(spark, sf_dir, "zh").withColumnRenamed("w", "ch").join(r, "ch", "left").select("sent", "pos", "ch", F.coalesce(F.col("n") + 3, F.lit(1)).alias("id"))
 
 
-IRREGULAR = [("went", "tense=PAST|person=3"), ("mice", "num=PL"), ("x", "")]
-
-
-@query("tag_string_map", f"SELECT w, split_part(kv, '=', 1) AS k, split_part(kv, '=', 2) AS v FROM (SELECT w, unnest(string_split(tags, '|')) AS kv FROM {values_sql('w, tags', IRREGULAR)}) WHERE kv <> ''")
+@query("tag_string_map", f"SELECT w, split_part(kv, '=', 1) AS k, split_part(kv, '=', 2) AS v FROM (SELECT w, unnest(string_split(tags, '|')) AS kv FROM {BUNDLES_SQL}) WHERE kv <> ''")
 def tag_string_map(spark, sf_dir):
-    return rows(spark, "w string, tags string", IRREGULAR).where("tags <> ''").select("w", F.explode(F.str_to_map("tags", F.lit("[|]"), F.lit("="))).alias("k", "v"))
+    return bundles(spark, sf_dir).select("w", "tags").where("tags <> ''").select("w", F.explode(F.str_to_map("tags", F.lit("[|]"), F.lit("="))).alias("k", "v"))
 
 
-@query("feature_display", f"SELECT w, replace(tags, '|', ' · ') AS shown FROM {values_sql('w, tags', IRREGULAR)}")
+@query("feature_display", f"SELECT w, replace(tags, '|', ' · ') AS shown FROM {BUNDLES_SQL}")
 def feature_display(spark, sf_dir):
-    return rows(spark, "w string, tags string", IRREGULAR).select("w", F.concat_ws(" · ", F.split("tags", "[|]")).alias("shown"))
+    return bundles(spark, sf_dir).select("w", "tags").select("w", F.concat_ws(" · ", F.split("tags", "[|]")).alias("shown"))
 
 
 @query("probe_tokenize", f"WITH {tok_sql()}, v AS (SELECT w, 3 + row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM tok GROUP BY w QUALIFY id < 2000), {_BENCH_TOK} SELECT item_id, string_agg(coalesce(v.id, 1)::VARCHAR, ' ' ORDER BY pos) AS ids FROM bt LEFT JOIN v ON bt.w = v.w GROUP BY item_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..io import table
 from .derived import words_in, words_in_sql
+from .measured import BUNDLES_SQL, bundles
 from .registry import query
 
 
@@ -200,32 +201,29 @@ def surface_signature(spark, sf_dir):
     return _rooted(spark, sf_dir).select("surface", "root", T.surface_signature("surface", "root").alias("signature"))
 
 
-BUNDLES = [("NOUN", "num", "PL", "poss", "YES"), ("VERB", "tense", "PAST", "aspect", "PERF"), ("DET", None, None, None, None), ("NOM", "_position", "opener", "case", "GEN"), ("ADJ", "degree", "COMP", None, None)]
-
-
-def _tagged(spark):
-    """pos, tags: maps of the literal rows, absent keys left out."""
-    r = rows(spark, "pos string, k1 string, v1 string, k2 string, v2 string", BUNDLES)
+def _tagged(spark, sf_dir):
+    """w, pos, k1, tags: bundles of words as maps, absent keys left out."""
     entries = F.filter(F.array(F.struct(F.col("k1").alias("k"), F.col("v1").alias("v")), F.struct(F.col("k2").alias("k"), F.col("v2").alias("v"))), lambda e: e["k"].isNotNull())
-    return r.select("pos", "k1", F.map_from_entries(entries).alias("tags"))
+    return bundles(spark, sf_dir).select("w", "pos", "k1", F.map_from_entries(entries).alias("tags"))
 
 
 _PAIRS = "list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: x IS NOT NULL AND NOT starts_with(x, '_')))"
 
 
-@query("feature_bundle", f"SELECT pos, k1, CASE WHEN len({_PAIRS}) > 0 THEN 'pos=' || pos || '|' || array_to_string({_PAIRS}, '|') ELSE 'no_features' END AS bundle FROM {values_sql('pos, k1, v1, k2, v2', BUNDLES)}")
+@query("feature_bundle", f"SELECT w, pos, k1, CASE WHEN len({_PAIRS}) > 0 THEN 'pos=' || pos || '|' || array_to_string({_PAIRS}, '|') ELSE 'no_features' END AS bundle FROM {BUNDLES_SQL}")
 def feature_bundle(spark, sf_dir):
-    return _tagged(spark).select("pos", "k1", T.feature_bundle("pos", "tags").alias("bundle"))
+    return _tagged(spark, sf_dir).select("w", "pos", "k1", T.feature_bundle("pos", "tags").alias("bundle"))
 
 
-@query("bundle_label", f"SELECT pos, k1, CASE WHEN k1 IS NULL THEN pos ELSE pos || '[' || array_to_string(list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: x IS NOT NULL)), ',') || ']' END AS label FROM {values_sql('pos, k1, v1, k2, v2', BUNDLES)}")
+@query("bundle_label", f"SELECT w, pos, k1, CASE WHEN k1 IS NULL THEN pos ELSE pos || '[' || array_to_string(list_sort(list_filter([k1 || '=' || v1, k2 || '=' || v2], lambda x: x IS NOT NULL)), ',') || ']' END AS label FROM {BUNDLES_SQL}")
 def bundle_label(spark, sf_dir):
-    return _tagged(spark).select("pos", "k1", T.bundle_label("pos", "tags").alias("label"))
+    return _tagged(spark, sf_dir).select("w", "pos", "k1", T.bundle_label("pos", "tags").alias("label"))
 
 
-PARSED = [("pos=NOUN|num=PL|poss=YES",), ("no_features",), ("pos=VERB|tense=PAST",)]
+def _bundles(spark, sf_dir):
+    return bundles(spark, sf_dir).select("bundle").distinct()
 
 
-@query("bundle_parse", f"SELECT bundle, split_part(p, '=', 1) AS k, substr(p, instr(p, '=') + 1) AS v FROM (SELECT bundle, unnest(string_split(bundle, '|')) AS p FROM {values_sql('bundle', PARSED)}) WHERE instr(p, '=') > 0 AND NOT starts_with(p, 'pos=')")
+@query("bundle_parse", f"SELECT bundle, split_part(p, '=', 1) AS k, substr(p, instr(p, '=') + 1) AS v FROM (SELECT bundle, unnest(string_split(bundle, '|')) AS p FROM (SELECT DISTINCT bundle FROM {BUNDLES_SQL})) WHERE instr(p, '=') > 0 AND NOT starts_with(p, 'pos=')")
 def bundle_parse(spark, sf_dir):
-    return rows(spark, "bundle string", PARSED).select("bundle", F.explode(T.bundle_parse("bundle")).alias("k", "v"))
+    return _bundles(spark, sf_dir).select("bundle", F.explode(T.bundle_parse("bundle")).alias("k", "v"))

@@ -43,4 +43,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(plans.QUERIES) - set(plans.SQL) == {"bpe_train", "bpe_pieces"}
+    assert set(plans.QUERIES) - set(plans.SQL) == {"bpe_train", "bpe_pieces", "word_cut", "word_cut_scores", "en_disambiguate", "en_validate", "en_rejection_rate"}
