@@ -12,7 +12,7 @@ from ..operators.vocab import ranks
 from .derived import words_in, words_in_sql
 from .measured import BUNDLES_SQL, bundles
 from .registry import query
-from .text_queries import rows, tok_sql, tokens, values_sql
+from .text_queries import place, rows, tok_sql, tokens, values_sql
 
 
 def md5_bucket(c, n: int):
@@ -24,9 +24,9 @@ def _bucket_sql(c: str, n: int) -> str:
     return f"(('0x' || substr(md5({c}), 1, 8))::BIGINT % {n})"
 
 
-@query("topk_tokens", f"WITH {tok_sql()} SELECT w, count(*) AS cnt FROM tok GROUP BY w ORDER BY cnt DESC, min(doc_id * 10000000 + pos), w LIMIT 25")
+@query("topk_tokens", f"WITH {tok_sql()} SELECT w, count(*) AS cnt FROM tok GROUP BY w ORDER BY cnt DESC, min((doc_id, pos)), w LIMIT 25")
 def topk_tokens(spark, sf_dir):
-    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(place()).alias("first"))
     return f.orderBy(F.desc("cnt"), "first", "w").limit(25).select("w", "cnt")
 
 
@@ -39,11 +39,11 @@ def topk_per_group(spark, sf_dir):
 
 @query(
     "examples_topk",
-    f"WITH {tok_sql()}, k AS (SELECT lang, length(w) AS len, w, min(doc_id * 10000000 + pos) AS first FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, len ORDER BY first, w) AS rn FROM k) "
+    f"WITH {tok_sql()}, k AS (SELECT lang, length(w) AS len, w, min((doc_id, pos)) AS first FROM tok GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, len ORDER BY first, w) AS rn FROM k) "
     "SELECT lang, len, string_agg(w, ' ' ORDER BY first, w) AS examples FROM r WHERE rn <= 3 GROUP BY lang, len",
 )
 def examples_topk(spark, sf_dir):
-    k = tokens(spark, sf_dir).groupBy("lang", F.length("w").cast("long").alias("len"), "w").agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    k = tokens(spark, sf_dir).groupBy("lang", F.length("w").cast("long").alias("len"), "w").agg(F.min(place()).alias("first"))
     r = k.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "len").orderBy("first", "w"))).where("rn <= 3")
     return r.groupBy("lang", "len").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "w"))), lambda x: x["w"]), " ").alias("examples"))
 

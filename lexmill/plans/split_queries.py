@@ -11,7 +11,7 @@ from .derived import letters_in, letters_in_sql, texts_in, texts_in_sql, words_i
 from .measured import BUNDLES_SQL, bundles
 from .registry import query
 from .set_queries import bench_tokens, _BENCH_TOK
-from .text_queries import ABBREVIATIONS, _ABBR_SQL, rows, tok_sql, tokens, values_sql
+from .text_queries import _ABBR_SQL, ABBREVIATIONS, place, rows, tok_sql, tokens, values_sql
 
 #: Stands between sentences while they are one string; no text has it.
 MARK = "\x01"
@@ -264,8 +264,8 @@ def probe_tokenize(spark, sf_dir):
     return e.groupBy("item_id").agg(F.array_join(ids, " ").alias("ids"))
 
 
-@query("capped_roots", f"WITH {tok_sql()}, f AS (SELECT left(lower(w), 4) AS root, min(doc_id * 10000000 + pos) AS first FROM tok GROUP BY 1) SELECT root, (3 + row_number() OVER (ORDER BY first, root))::BIGINT AS id FROM f ORDER BY first, root LIMIT 1000")
+@query("capped_roots", f"WITH {tok_sql()}, f AS (SELECT left(lower(w), 4) AS root, min((doc_id, pos)) AS first FROM tok GROUP BY 1) SELECT root, (3 + row_number() OVER (ORDER BY first, root))::BIGINT AS id FROM f ORDER BY first, root LIMIT 1000")
 def capped_roots(spark, sf_dir):
     """A vocabulary in order of first places with a cap: only the capped rows are ranked."""
-    f = tokens(spark, sf_dir).groupBy(F.left(F.lower("w"), F.lit(4)).alias("root")).agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = tokens(spark, sf_dir).groupBy(F.left(F.lower("w"), F.lit(4)).alias("root")).agg(F.min(place()).alias("first"))
     return f.orderBy("first", "root").limit(1000).select("root", (3 + F.row_number().over(Window.orderBy("first", "root"))).cast("long").alias("id"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import Steps
 from ..functions import text as T
 from ..io import table
 from ..lexicon.affixes import EDGE
 from ..morph import shallow
 from ..operators import stats, vocab
 from .registry import query
-from .text_queries import tok_sql, tokens
+from .text_queries import place, tok_sql, tokens
 
 _EDGE_SQL = EDGE.replace("'", "''")
 _W = f"trim(lower(w), '{_EDGE_SQL}')"
@@ -113,13 +114,13 @@ def zipf_verdict(spark, sf_dir):
 # Vocabularies -------------------------------------------------------------
 
 CAP = 32_000
-_FREQ_SQL = f"{tok_sql()}, f AS (SELECT w, count(*) AS cnt, min(doc_id * 10000000 + pos) AS first FROM tok GROUP BY w)"
+_FREQ_SQL = f"{tok_sql()}, f AS (SELECT w, count(*) AS cnt, min((doc_id, pos)) AS first FROM tok GROUP BY w)"
 _VOCAB_SQL = f"{_FREQ_SQL}, h AS (SELECT * FROM f ORDER BY cnt DESC, first, w LIMIT {CAP - 4}), vocab AS (SELECT w, 3 + row_number() OVER (ORDER BY cnt DESC, first, w) AS id, cnt AS freq FROM h WHERE w NOT IN ('<pad>', '<unk>', '<s>', '</s>'))"
 
 
 def _vocab(spark, sf_dir) -> DataFrame:
     """Ties of frequency go to the earlier first place in the corpus."""
-    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(place()).alias("first"))
     return vocab.build_vocab(f, "w", "cnt", ["first"], CAP)
 
 
@@ -130,15 +131,15 @@ def build_vocab(spark, sf_dir):
 
 @query("vocab_rank", f"WITH {_FREQ_SQL} SELECT w, cnt, row_number() OVER (ORDER BY cnt DESC, first, w) AS rank FROM f ORDER BY cnt DESC, first, w LIMIT 500")
 def vocab_rank(spark, sf_dir):
-    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = tokens(spark, sf_dir).groupBy("w").agg(F.count(F.lit(1)).alias("cnt"), F.min(place()).alias("first"))
     order = [F.desc("cnt"), F.col("first"), F.col("w")]
     return f.orderBy(*order).limit(500).select("w", "cnt", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
 
 
-@query("first_seen_id", f"WITH {SEG_SQL}, f AS (SELECT tag, min(doc_id * 10000000 + pos) AS first FROM seg WHERE tag NOT IN ('ROOT', 'O') GROUP BY tag) SELECT tag, row_number() OVER (ORDER BY first, tag) AS id FROM f UNION ALL SELECT 'no_features', 0")
+@query("first_seen_id", f"WITH {SEG_SQL}, f AS (SELECT tag, min((doc_id, pos)) AS first FROM seg WHERE tag NOT IN ('ROOT', 'O') GROUP BY tag) SELECT tag, row_number() OVER (ORDER BY first, tag) AS id FROM f UNION ALL SELECT 'no_features', 0")
 def first_seen_id(spark, sf_dir):
     """Ids in order of first place; tags are a closed set, so one small window ranks them."""
-    f = segmented(spark, sf_dir).where("tag not in ('ROOT', 'O')").groupBy("tag").agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = segmented(spark, sf_dir).where("tag not in ('ROOT', 'O')").groupBy("tag").agg(F.min(place()).alias("first"))
     ids = f.select("tag", F.row_number().over(Window.orderBy("first", "tag")).cast("long").alias("id"))
     return ids.union(spark.createDataFrame([("no_features", 0)], "tag string, id long"))
 
@@ -150,18 +151,20 @@ def vocab_encode(spark, sf_dir):
 
 @query("encode_baseline", f"WITH {_VOCAB_SQL} SELECT t.doc_id, '2 ' || string_agg(coalesce(v.id, 1)::VARCHAR, ' ' ORDER BY t.pos) || ' 3' AS ids, count(*) + 2 AS n FROM tok t LEFT JOIN vocab v ON t.w = v.w GROUP BY t.doc_id")
 def encode_baseline(spark, sf_dir):
-    e = vocab.encode(tokens(spark, sf_dir), _vocab(spark, sf_dir))
-    return vocab.sequences(e, ["doc_id"]).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.size("ids").cast("long").alias("n"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.words("text").alias("ws")).where(F.size("ws") > 0)
+    e = vocab.encode_lines(d, _vocab(spark, sf_dir), "ws")
+    ids = F.concat(F.array(F.lit(vocab.BOS)), "ids", F.array(F.lit(vocab.EOS)))
+    return e.select("doc_id", F.array_join(ids.cast("array<string>"), " ").alias("ids"), (F.size("ids") + 2).cast("long").alias("n"))
 
 
 @query(
     "shallow_encode",
-    f"WITH {SEG_SQL}, f AS (SELECT tag, min(doc_id * 10000000 + pos) AS first FROM seg WHERE tag <> 'O' GROUP BY tag), ids AS (SELECT tag, row_number() OVER (ORDER BY first, tag) AS id FROM f) "
+    f"WITH {SEG_SQL}, f AS (SELECT tag, min((doc_id, pos)) AS first FROM seg WHERE tag <> 'O' GROUP BY tag), ids AS (SELECT tag, row_number() OVER (ORDER BY first, tag) AS id FROM f) "
     "SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY pos) AS features FROM seg LEFT JOIN ids USING (tag) GROUP BY doc_id",
 )
 def shallow_encode(spark, sf_dir):
     seg = segmented(spark, sf_dir)
-    f = seg.where("tag <> 'O'").groupBy("tag").agg(F.min(F.col("doc_id") * 10_000_000 + F.col("pos")).alias("first"))
+    f = seg.where("tag <> 'O'").groupBy("tag").agg(F.min(place()).alias("first"))
     ids = f.select("tag", F.row_number().over(Window.orderBy("first", "tag")).alias("id"))
     e = seg.join(F.broadcast(ids), "tag", "left").select("doc_id", "pos", F.coalesce("id", F.lit(0)).alias("id"))
     s = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("string"))
@@ -175,13 +178,14 @@ def shallow_encode(spark, sf_dir):
     "SELECT doc_id, pos, coalesce(sid, 1) AS surface_id, CASE WHEN s.root = '' THEN 0 ELSE coalesce(rid, 1) END AS root_id FROM seg s LEFT JOIN sv USING (surface) LEFT JOIN rv ON s.root = rv.root",
 )
 def encode_multistream(spark, sf_dir):
-    """Aligned streams of one projection: a miss is <unk>, an empty root <pad>."""
-    seg = segmented(spark, sf_dir)
-    words = segmented_words(spark, sf_dir)
+    """Aligned streams of one projection: a miss is <unk>, an empty root <pad>. Each distinct word is segmented once, and its ids are joined back to its places."""
+    _, words = Steps(spark, "segmented-words").write(segmented_words(spark, sf_dir))
     sv = vocab.build_vocab(words.select("surface", "cnt"), "surface", cap=4000).select("surface", F.col("id").alias("sid"))
     rv = vocab.build_vocab(summed(words.where("root <> ''"), "root"), "root", cap=2000).select("root", F.col("id").alias("rid"))
-    x = seg.join(F.broadcast(sv), "surface", "left").join(F.broadcast(rv), "root", "left")
-    return x.select("doc_id", F.col("pos").cast("long"), F.coalesce("sid", F.lit(1)).cast("long").alias("surface_id"), F.when(F.col("root") == "", 0).otherwise(F.coalesce("rid", F.lit(1))).cast("long").alias("root_id"))
+    ids = words.join(F.broadcast(sv), "surface", "left").join(F.broadcast(rv), "root", "left")
+    ids = ids.select("surface", F.coalesce("sid", F.lit(1)).cast("long").alias("surface_id"), F.when(F.col("root") == "", 0).otherwise(F.coalesce("rid", F.lit(1))).cast("long").alias("root_id"))
+    t = tokens(spark, sf_dir, "en").select("doc_id", F.col("pos").cast("long"), F.col("w").alias("surface"))
+    return t.join(ids, "surface").select("doc_id", "pos", "surface_id", "root_id")
 
 
 WINDOW = 128
@@ -196,7 +200,8 @@ def pack_windows(spark, sf_dir):
     """Windows of the whole stream: offsets come from sums of lines, so no task sorts all words. The last, incomplete window goes."""
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(T.words("text")).alias("size"))
     off = vocab.line_offsets(d, "doc_id", "size").select("doc_id", "offset")
-    e = vocab.encode(tokens(spark, sf_dir), _vocab(spark, sf_dir)).join(off, "doc_id").select((F.col("offset") + F.col("pos")).alias("g"), "id")
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.words("text").alias("ws")).where(F.size("ws") > 0)
+    e = vocab.encode_lines(lines, _vocab(spark, sf_dir), "ws").join(off, "doc_id").select("offset", F.posexplode("ids").alias("pos", "id")).select((F.col("offset") + F.col("pos")).alias("g"), "id")
     total = d.agg(F.sum("size").alias("n"))
     w = F.floor(F.col("g") / WINDOW)
     x = e.join(F.broadcast(total)).where(w < F.floor((F.col("n") - 1) / WINDOW))
@@ -249,9 +254,11 @@ def meaning_units(spark, sf_dir):
 
 @query("neighbor_context", f"WITH {tok_sql("lang = 'en'")}, n AS (SELECT w, lag(w) OVER o AS prev, lead(w) OVER o AS next FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT coalesce(prev, '<s>') AS prev, coalesce(next, '</s>') AS next, count(*) AS cnt FROM n WHERE w = 'the' GROUP BY 1, 2")
 def neighbor_context(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    n = tokens(spark, sf_dir, "en").select("w", F.lag("w").over(w).alias("prev"), F.lead("w").over(w).alias("next")).where("w = 'the'")
-    return n.groupBy(F.coalesce("prev", F.lit("<s>")).alias("prev"), F.coalesce("next", F.lit("</s>")).alias("next")).agg(F.count(F.lit(1)).alias("cnt"))
+    """Neighbours from the array of a document's words: no row a word, no shuffle but that of the counts."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'").select(T.words("text").alias("ws"))
+    at = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.get("ws", i - 1).alias("prev"), F.get("ws", i + 1).alias("next"))), lambda x: x["w"] == "the")
+    n = d.select(F.explode(at).alias("x"))
+    return n.groupBy(F.coalesce("x.prev", F.lit("<s>")).alias("prev"), F.coalesce("x.next", F.lit("</s>")).alias("next")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query(
@@ -260,11 +267,11 @@ def neighbor_context(spark, sf_dir):
     "SELECT doc_id, coalesce(sum(soon), 0)::BIGINT AS soon, coalesce(sum(before), 0)::BIGINT AS before, sum(first::INT)::BIGINT AS firsts FROM n GROUP BY doc_id",
 )
 def lookahead_frame(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    is_ = lambda x: (F.col("w") == x).cast("int")
-    n = tokens(spark, sf_dir, "en").select("doc_id", F.max(is_("the")).over(w.rowsBetween(1, 3)).alias("soon"), F.max(is_("of")).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), (F.row_number().over(w) == 1).cast("int").alias("first"))
-    z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return n.groupBy("doc_id").agg(z("soon").alias("soon"), z("before").alias("before"), z("first").alias("firsts"))
+    """Frames from the array of a document's words: words with one in the next three, words behind the first of another, first words."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang = 'en'").select("doc_id", T.words("text").alias("ws")).where(F.size("ws") > 0)
+    ahead = F.transform("ws", lambda w, i: F.coalesce(F.array_contains(F.array(*(F.get("ws", i + k) for k in (1, 2, 3))), "the"), F.lit(False)))
+    of = F.array_position("ws", "of")
+    return d.select("doc_id", F.size(F.filter(ahead, lambda x: x)).cast("long").alias("soon"), F.when(of > 0, F.size("ws") - of).otherwise(0).cast("long").alias("before"), F.lit(1).cast("long").alias("firsts"))
 
 
 def en_inflection_expr(w):

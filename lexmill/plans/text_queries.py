@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,6 +21,11 @@ def tokens(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFra
     return d.select("doc_id", "lang", "source", F.posexplode(T.words("text")).alias("pos", "w"))
 
 
+def place() -> Column:
+    """A word's place in the corpus as one number, by document and position. A decimal, so no id is too large for it, and minima are still found by hashing."""
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(Decimal(10**10)) + F.col("pos").cast("decimal(10,0)")
+
+
 def tok_sql(where: str = "true", name: str = "tok") -> str:
     return rf"{name} AS (SELECT doc_id, lang, source, unnest(l) AS w, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS l FROM documents WHERE text IS NOT NULL AND {where}))"
 
