@@ -85,3 +85,17 @@ def test_cut_query_loses_no_character(spark):
 
     rows = cut_queries.cuts(spark, "/root/testdata/sf0.001").select("s", F.array_join("pieces", "").alias("j"), F.size("pieces").alias("n")).collect()
     assert rows and all(r["s"] == r["j"] and r["n"] > 0 for r in rows)
+
+
+def test_word_cuts_over_many_chunks(spark, monkeypatch):
+    """Chunks of a few texts, a bitmap that rules nothing out, rows that share an id, and a text that no other chunk's words cut."""
+    monkeypatch.setattr(wordcut, "CHUNK_CHARS", 16)
+    monkeypatch.setattr(wordcut, "MOST_BITS", 1 << 15)
+    rng = random.Random(5)
+    counts = {"".join(rng.choices("abé漢", k=rng.randint(1, 6))): rng.randint(1, 50) for _ in range(60)} | {f"x{i}": 1 for i in range(30000)}
+    total = sum(counts.values())
+    texts = ["".join(rng.choices("abé漢z", k=rng.randint(1, 40))) for _ in range(40)]
+    scores = {w: math.floor(1000 * math.log(n)) for w, n in counts.items()}
+    d = wordcut.dictionary(spark.createDataFrame(list(counts.items()), "w string, cnt long"))
+    rows = wordcut.cut(spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, s string"), d, total, 5).collect()
+    assert sorted((r["id"], r["pieces"]) for r in rows) == sorted((i // 2, brute(t, scores, math.floor(1000 * math.log(total)), 5)) for i, t in enumerate(texts))
