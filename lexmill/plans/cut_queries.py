@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import Steps
 from ..io import table
 from ..operators import stats, wordcut
 from .registry import query
@@ -13,14 +14,13 @@ LONGEST = 24
 
 
 def cuts(spark, sf_dir):
-    """conv_id, turn, sent, s, t, pieces: sentences of conversations, t as they were."""
-    counts = stats.freq(tokens(spark, sf_dir), "w")
+    """conv_id, turn, role, sent, t, s, pieces: sentences of conversations, t as they were."""
+    steps = Steps(spark, "cuts")
+    _, counts = steps.write(stats.freq(tokens(spark, sf_dir), "w"))
     total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    x = c.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?\\n]+[.!?]*"), F.lit(0))).alias("sent", "t")).withColumn("s", F.regexp_replace("t", "\\s", "")).where("s <> ''")
-    x = x.withColumn("id", F.struct("conv_id", "turn", "sent"))
-    done = wordcut.cut(x.select("id", "s"), wordcut.dictionary(counts), total, LONGEST)
-    return done.join(x.select("id", "t"), "id").select("id.*", "s", "t", "pieces")
+    x = c.select("conv_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?\\n]+[.!?]*"), F.lit(0))).alias("sent", "t")).withColumn("s", F.regexp_replace("t", "\\s", "")).where("s <> ''")
+    return wordcut.cut(x, wordcut.dictionary(counts), total, LONGEST)
 
 
 @query("word_cut")
@@ -31,10 +31,10 @@ def word_cut(spark, sf_dir):
 @query("word_cut_scores")
 def word_cut_scores(spark, sf_dir):
     """Breaks found of those that were there, by role."""
-    ends = lambda ws: F.transform(ws, lambda w, i: F.aggregate(F.slice(ws, 1, i + 1), F.lit(0), lambda a, v: a + F.length(v)))
+    # A fold, as each end is the one before it and a word's length.
+    ends = lambda ws: F.aggregate(ws, F.array().cast("array<int>"), lambda acc, w: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(w))))
     x = cuts(spark, sf_dir).withColumn("ws", F.regexp_extract_all("t", F.lit("\\S+"), F.lit(0)))
-    x = x.select("conv_id", "turn", ends(F.col("ws")).alias("own"), ends(F.col("pieces")).alias("cut"))
-    x = x.join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    x = x.select("role", ends(F.col("ws")).alias("own"), ends(F.col("pieces")).alias("cut"))
     n = lambda c: F.sum(F.size(c))
     both = F.array_intersect("own", "cut")
     return x.groupBy("role").agg(F.count(F.lit(1)).alias("sentences"), n("own").alias("words"), n("cut").alias("cut"), n(both).alias("shared"), F.round(2 * n(both) / (n("own") + n("cut")), 6).alias("f1"))

@@ -99,3 +99,14 @@ def test_word_cuts_over_many_chunks(spark, monkeypatch):
     d = wordcut.dictionary(spark.createDataFrame(list(counts.items()), "w string, cnt long"))
     rows = wordcut.cut(spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, s string"), d, total, 5).collect()
     assert sorted((r["id"], r["pieces"]) for r in rows) == sorted((i // 2, brute(t, scores, math.floor(1000 * math.log(total)), 5)) for i, t in enumerate(texts))
+
+
+def test_cut_scores_count_each_sentence_once(spark, tmp_path):
+    """Rows that share conversation and turn are counted under their own role."""
+    rows = [(1, 0, "user", "the cat sat. The dog"), (1, 0, "assistant", "a cat"), (None, 1, "user", "dog")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "the cat sat the dog The dog a cat", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    from lexmill.plans import QUERIES
+
+    got = {r["role"]: (r["sentences"], r["words"]) for r in QUERIES["word_cut_scores"](spark, str(tmp_path)).collect()}
+    assert got == {"user": (3, 6), "assistant": (1, 2)}
