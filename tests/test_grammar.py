@@ -61,3 +61,12 @@ def test_queries_keep_every_word(spark):
     for r in tagged:
         got[r["doc_id"]] += len(r["tagged"].split(" "))
     assert got == words and len(words) == tokens(spark, SF, "en").select("doc_id").distinct().count()
+
+
+def test_lines_of_one_key_stay_apart_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(grammar_queries, "CHUNK_WORDS", 2)
+    lines = spark.createDataFrame([(1, 0, ["cats", "run"]), (1, 0, ["run", "Cats"]), (1, 0, ["run"])] * 2, "doc_id long, sent long, words array<string>")
+    memo = spark.createDataFrame([("cats", "NOUN", "num=PL")], "w string, pos string, tags string")
+    got = Counter(tuple((t["surface"], t["pos"]) for t in r["tokens"]) for r in grammar_queries.analysed(lines, memo, ["doc_id", "sent"]).collect())
+    run = ("run", "UNKNOWN")
+    assert got == {(("cats", "NOUN"), run): 2, (run, ("Cats", "NOUN")): 2, (run,): 2}
