@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import Steps
 from ..functions.text import strip_punct
 from ..lexicon import english_words as E
 from ..morph import english as M
@@ -17,9 +18,10 @@ LEXICON = M.Lexicon(irregular={"went": ("go", "VERB", "tense=PAST"), "children":
 
 
 def word_counts(spark, sf_dir) -> DataFrame:
-    """w, cnt of English words in lower case without marks at their edges."""
-    w = F.lower(strip_punct("w"))
-    return tokens(spark, sf_dir, "en").select(w.alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("cnt"))
+    """w, cnt of English words in lower case without marks at their edges: a written table, as an analysis reads it at every step. Words are counted as they stand first, and each distinct one is stripped once."""
+    raw = tokens(spark, sf_dir, "en").groupBy("w").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = raw.select(F.lower(strip_punct("w")).alias("w"), "cnt").where("w <> ''").groupBy("w").agg(F.sum("cnt").alias("cnt"))
+    return Steps(spark, "words").write(counts)[1]
 
 
 def known_words(counts: DataFrame, least: int = LEAST) -> DataFrame:

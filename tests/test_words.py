@@ -110,3 +110,11 @@ def test_cut_scores_count_each_sentence_once(spark, tmp_path):
 
     got = {r["role"]: (r["sentences"], r["words"]) for r in QUERIES["word_cut_scores"](spark, str(tmp_path)).collect()}
     assert got == {"user": (3, 6), "assistant": (1, 2)}
+
+
+def test_counts_of_words_are_a_written_table(spark):
+    """An analysis reads them at every step; none reads the documents again."""
+    from lexmill.plans.english_queries import word_counts
+
+    files = word_counts(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("documents" in f for f in files)
