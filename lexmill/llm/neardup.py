@@ -11,11 +11,10 @@ Texts of equal words are one class member first. In a band value of the first ba
 member that meets most others anywhere; verified links become classes by connected components. Then, over all bands,
 members are compared with the foremost ones of their band value where these are in another class, and what is left of
 different classes in one band value is cut by further one-bit coordinates of the signatures into parts of a few members,
-which all meet each other. Parts that no coordinate cuts are worked through hub after hub. Pairs within a class are not
-made, and the number of compared pairs follows that of the members: a group of very many near copies costs each of them a
-few comparisons. A class is lost to another only if no comparison of any of their members is made: two texts of the
-similarity share a band value with 0.9993 (24 bands of 6), and in a crowded one are told apart only by bits of which they
-share 9 in 10; the README has the measured recall.
+which all meet each other. Band values of many members that are still of several classes then meet four times as many hubs a
+round, until all of their members of different classes have met. Pairs within a class are not made: a group of very many near
+copies costs each of them a few comparisons; only members that share a band value and are not alike are compared all with
+all. Two texts of the similarity are compared, or in one class already, if they share a band value: 0.9993 do (24 bands of 6).
 
 Cases: null, empty and wordless texts are classes of their own; texts of fewer than five words have one shingle of all
 of them; texts are used whole; an id that occurs in several rows is one document, found by its first text in order of
@@ -218,13 +217,12 @@ def starred(m: DataFrame, hubs: DataFrame, spec: DartSpec) -> DataFrame:
     return p.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
-def refined(at: DataFrame, spec: DartSpec) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds) of band values whose members are not of one component.
+def refined(at: DataFrame, spec: DartSpec) -> DataFrame:
+    """Pairs (a, b) of near members of band values whose members are not of one component; they join most of a crowd before its members meet hub after hub.
 
     A band value of over spec.few members is cut by one-bit coordinates, more of them a level, in an order of
-    its band's own, until a part has no more than that: each member goes to its shallowest such part. pairs: all of
-    different components within a part, so their number is at most few / 2 times that of members. crowds: members, with
-    band and value of the part, of parts over that size at the last level, which share all bits.
+    its band's own, until a part has no more than that: each member goes to its shallowest such part. Pairs are all of
+    different components within a part, so their number is at most few / 2 times that of members.
     """
     words = spec.bits // 64
     # A band begins with a word of the text's bits of its own.
@@ -238,17 +236,16 @@ def refined(at: DataFrame, spec: DartSpec) -> tuple[DataFrame, DataFrame]:
     key = [*BUCKET, "level", "part"]
     each = at.select(*BUCKET, "rep", "root", "n", "degree", F.explode(F.array(*levels)).alias("x")).select(*BUCKET, "rep", "root", "n", "degree", "x.level", "x.part")
     size = each.groupBy(*key).agg(F.count(F.lit(1)).alias("many"), (F.min("root") != F.max("root")).alias("mixed"))
-    fits = each.join(size, key).where(F.col("mixed") & ((F.col("many") <= spec.few) | (F.col("level") == len(levels) - 1)))
-    own = fits.groupBy(*BUCKET, "rep").agg(F.min(F.struct("level", "part", "many", "root", "n", "degree")).alias("x"))
-    own = common.written(own.select(*BUCKET, "rep", "x.*"), "parts")
-    small, crowds = own.where(F.col("many") <= spec.few), own.where(F.col("many") > spec.few)
+    fits = each.join(size, key).where(F.col("mixed") & (F.col("many") <= spec.few))
+    own = fits.groupBy(*BUCKET, "rep").agg(F.min(F.struct("level", "part", "root", "n")).alias("x"))
+    small = common.written(own.select(*BUCKET, "rep", "x.*"), "parts")
     other = small.select(*[F.col(c).alias(f"o_{c}") for c in (*key, "rep", "root", "n")])
     same = [F.col(c) == F.col(f"o_{c}") for c in key]
     on = same[0]
     for c in same[1:]:
         on = on & c
     pairs = small.join(other, on & (F.col("rep") < F.col("o_rep")) & (F.col("root") != F.col("o_root")) & _alike("n", "o_n", spec.similarity))
-    return pairs.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct(), crowds.select("band", F.xxhash64("value", "part").alias("value"), "rep", "root", "n", "degree")
+    return pairs.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: DartSpec = DartSpec()) -> DataFrame:
@@ -295,25 +292,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common.discard(at)
     roots = _again(links, members, roots)
     at = placed(roots)
-    pairs, crowds = refined(at, spec)
-    links, done, _ = linked(links, done, pairs)
-    crowds = common.written(crowds, "crowds")
-    while crowds.limit(1).count():
-        # Members of a part that no coordinate tells apart: one after another is the hub, until the part is of one component.
-        hub = foremost(crowds, 1)
-        links, done, _ = linked(links, done, starred(crowds, hub, spec))
-        roots = _again(links, members, roots)
-        rest = crowds.drop("root").join(hub.select(*BUCKET, F.col("hub").alias("rep")), [*BUCKET, "rep"], "left_anti")
-        rest = rest.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = rest.groupBy(*BUCKET).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*BUCKET)
-        left = common.written(rest.join(mixed, BUCKET, "left_semi"), "crowds")
-        common.discard(crowds)
-        crowds = left
+    links, done, _ = linked(links, done, refined(at, spec))
+    common.discard(at)
     roots = _again(links, members, roots)
+    # What is left of several components in a crowded band value meets more and more hubs, until all have met all.
+    hubs, left = spec.hubs, True
+    while left:
+        at = placed(roots)
+        crowded = common.written(at.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > spec.few), "crowded")
+        most = crowded.agg(F.max("many")).first()[0]
+        hubs *= 4
+        left = most is not None and most > hubs
+        if most is not None:
+            rest = common.written(at.join(crowded, BUCKET, "left_semi"), "rest")
+            links, done, _ = linked(links, done, starred(rest, foremost(rest, hubs), spec))
+            roots = _again(links, members, roots)
+            common.discard(rest)
+        common.discard(at, crowded)
     rep = worded.select("_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("_id", "rep")
     named = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_id", F.coalesce("root", "rep").alias("class_id"))
     named = common.written(named.union(sk.where("bands is null").select("_id", F.col("_id").alias("class_id"))), "classes")
-    common.discard(sk, same, members, at, links, done, crowds, roots)
+    common.discard(sk, same, members, links, done, roots)
     sizes = named.groupBy(F.col("class_id").alias("_class")).agg(F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, F.col("class_id").eqNullSafe(F.col("_class"))).select(F.col("_id").alias(id_col), "class_id", "class_size")
 
