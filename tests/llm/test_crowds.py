@@ -14,7 +14,7 @@ def test_a_crowd_that_hangs_together_by_single_pairs(spark):
         tail = [f"t{i}x{j}" for j in range(30)]
         rows += [(2 * i, " ".join(head + tail)), (2 * i + 1, " ".join(head + tail[:-4] + [f"e{i}x{j}" for j in range(4)]))]
     rng.shuffle(rows)
-    spec = neardup.DartSpec(bands=4, rows=1, first_bands=1, bits=64, hubs=1, few=2, cuts=(0, 1))
+    spec = neardup.DartSpec(bands=4, rows=1, first_bands=1, bits=64, hubs=1, few=2, cuts=(0, 64))
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), spec=spec).collect()}
     missed = [k for k in range(0, 120, 2) if not got[k] == got[k + 1] == k]
     assert not missed
