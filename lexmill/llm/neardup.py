@@ -11,10 +11,12 @@ Texts of equal words are one class member first. In a band value of the first ba
 member that meets most others anywhere; verified links become classes by connected components. Then, over all bands,
 members are compared with the foremost ones of their band value where these are in another class, and what is left of
 different classes in one band value is cut by further one-bit coordinates of the signatures into parts of a few members,
-which all meet each other. Band values of many members that are still of several classes then meet four times as many hubs a
-round, until all of their members of different classes have met. Pairs within a class are not made: a group of very many near
-copies costs each of them a few comparisons; only members that share a band value and are not alike are compared all with
-all. Two texts of the similarity are compared, or in one class already, if they share a band value: 0.9993 do (24 bands of 6).
+which all meet each other. What is then still of different components in crowded band values, as texts that only share a
+long common line, meets by shingles instead: each text's shingles are ordered by how many of these texts hold them, and two
+texts of the similarity must share one of the rarest fifth of each and one that leaves enough behind it. That misses no pair
+of the similarity and makes few others. Pairs within a class are not made: a group of very many near copies costs each of them
+a few comparisons. Two texts of the similarity are compared, or in one class already, if they share a band value: 0.9993 do
+(24 bands of 6).
 
 Cases: null, empty and wordless texts are classes of their own; texts of fewer than five words have one shingle of all
 of them; texts are used whole; an id that occurs in several rows is one document, found by its first text in order of
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common, graph, tokens
 
 GROUP_CHARS = 1 << 18
+#: Doubles may miss a whole number by less.
+EXACT = 1e-6
 
 
 @dataclass(frozen=True)
@@ -248,6 +252,47 @@ def refined(at: DataFrame, spec: DartSpec) -> DataFrame:
     return pairs.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
 
 
+def rarest(rest: DataFrame, df: DataFrame, id_col: str, text_col: str, spec: DartSpec) -> DataFrame:
+    """rep, root, element, n, place of the foremost elements of each text of rest (rep, root), a written table; those of a single text are left out.
+
+    The elements of a text are ordered by the number of texts that hold them, the rarest first. Of two texts of the similarity
+    each has n - ceil(similarity * n) + 1 elements up to which they have met: with fewer in common they could not reach it.
+    So a line that very many texts share, being the most frequent of their elements, brings no two of them together.
+    """
+    texts = common.ids_and_text(df, id_col, text_col).join(common.sent_if_small(rest.select(F.col("rep").alias("_id"))), "_id", "left_semi")
+    # An id of several texts has each of them here, under its hash.
+    sets = common.written(shingle_sets(texts, spec).select("_id", F.xxhash64("elements").alias("text"), "elements"), "sets")
+    each = sets.dropDuplicates(["_id", "text"]).select("_id", "text", F.explode("elements").alias("element"))
+    common_ones = common.written(each.groupBy("element").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "frequent")
+    counted = each.join(common.sent_if_small(common_ones), "element", "left")
+    own = counted.groupBy("_id", "text").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("many", F.lit(1)).alias("many"), "element"))).alias("order")).withColumn("n", F.size("order"))
+    ends = own.select("_id", "n", F.posexplode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(spec.similarity * F.col("n") - EXACT) + 1).cast("int"))).alias("place", "x"))
+    out = common.written(ends.where("x.many > 1").select(F.col("_id").alias("rep"), F.col("x.element").alias("element"), "n", "place").join(common.sent_if_small(rest), "rep"), "ends")
+    common.discard(sets, common_ones)
+    return out
+
+
+def _reachable(spec: DartSpec):
+    """Whether two texts whose first common element this is can still reach the similarity."""
+    return _alike("n", "o_n", spec.similarity) & (F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")) >= spec.similarity / (1 + spec.similarity) * (F.col("n") + F.col("o_n")) - EXACT)
+
+
+def starred_by_element(ends: DataFrame, spec: DartSpec) -> DataFrame:
+    """Pairs (a, b) of the texts of an element with one of them, that in which it is foremost: most of a crowd is one component then."""
+    hub = ends.groupBy("element").agg(F.min(F.struct("place", "rep", "root", "n")).alias("x")).select(F.col("element").alias("o_element"), *[F.col(f"x.{c}").alias(f"o_{c}") for c in ("place", "rep", "root", "n")])
+    p = ends.join(hub, (F.col("element") == F.col("o_element")) & (F.col("root") != F.col("o_root")) & _reachable(spec))
+    return p.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+
+
+def sharing(ends: DataFrame, spec: DartSpec) -> DataFrame:
+    """Pairs (a, b) of texts of different components that share one of their rarest elements and can reach the similarity from there."""
+    mixed = ends.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("element")
+    at = ends.join(mixed, "element", "left_semi")
+    other = at.select(*[F.col(c).alias(f"o_{c}") for c in ("element", "rep", "root", "n", "place")])
+    p = at.join(other, (F.col("element") == F.col("o_element")) & (F.col("rep") < F.col("o_rep")) & (F.col("root") != F.col("o_root")) & _reachable(spec))
+    return p.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: DartSpec = DartSpec()) -> DataFrame:
     """id_col, class_id (the least id of the class), class_size long: one row an id."""
     sk = common.written(sketches(df, id_col, text_col, spec).groupBy("_id").agg(F.min(F.struct("h1", "h2", "n", "bands", "bits")).alias("s")).select("_id", "s.*"), "sketches")
@@ -295,20 +340,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links, done, _ = linked(links, done, refined(at, spec))
     common.discard(at)
     roots = _again(links, members, roots)
-    # What is left of several components in a crowded band value meets more and more hubs, until all have met all.
-    hubs, left = spec.hubs, True
-    while left:
-        at = placed(roots)
-        crowded = common.written(at.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > spec.few), "crowded")
-        most = crowded.agg(F.max("many")).first()[0]
-        hubs *= 4
-        left = most is not None and most > hubs
-        if most is not None:
-            rest = common.written(at.join(crowded, BUCKET, "left_semi"), "rest")
-            links, done, _ = linked(links, done, starred(rest, foremost(rest, hubs), spec))
-            roots = _again(links, members, roots)
-            common.discard(rest)
-        common.discard(at, crowded)
+    # Members left of several components in crowded band values meet by their rarest shingles, which misses none of the similarity.
+    at = placed(roots)
+    crowded = at.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > spec.few).select(*BUCKET)
+    rest = common.written(at.join(crowded, BUCKET, "left_semi").select("rep", "root").distinct(), "rest")
+    common.discard(at)
+    ends = rarest(rest, df, id_col, text_col, spec)
+    links, done, new = linked(links, done, starred_by_element(ends, spec))
+    if new:
+        roots = _again(links, members, roots)
+        ends, old = common.written(ends.drop("root").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "ends"), ends
+        common.discard(old)
+    links, done, new = linked(links, done, sharing(ends, spec))
+    if new:
+        roots = _again(links, members, roots)
+    common.discard(rest, ends)
     rep = worded.select("_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("_id", "rep")
     named = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_id", F.coalesce("root", "rep").alias("class_id"))
     named = common.written(named.union(sk.where("bands is null").select("_id", F.col("_id").alias("class_id"))), "classes")
