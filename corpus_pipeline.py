@@ -13,9 +13,13 @@ from lexmill.llm.quality import quality_stage
 from lexmill.llm.substrings import substring_stage
 
 
+#: Words that a worker of the last stage keeps: four stages have filled its executor's heap by then.
+STAGE_WORDS = 60_000
+
+
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: ids and digests of the kept texts, which must decode to themselves."""
-    x = encode_decode(docs, piece_model(tokenizer_path()))
+    x = encode_decode(docs, piece_model(tokenizer_path()), memo_words=STAGE_WORDS)
     return x.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

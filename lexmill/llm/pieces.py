@@ -42,9 +42,10 @@ def piece_model(path: str) -> bytes:
 class Pieces:
     """A vocabulary read with the sentencepiece library, whose own encoder serves as the check only."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memo_words: int = MEMO_WORDS):
         import sentencepiece
 
+        self.memo_words = memo_words
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.pieces = sp.id_to_piece(list(range(n)))
@@ -203,23 +204,23 @@ class Pieces:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids with begin and end of each text, as little-endian unsigned 32-bit integers."""
         first, last = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         if not self.by_word:
-            return [first + np.array(self.agenda(m), "<u4").tobytes() + last for m in marked]
+            return [first + np.array(self.agenda(SPACE + t.replace(" ", SPACE) if t else ""), "<u4").tobytes() + last for t in texts]
+        # Words keep spaces for marks until they are learned: a mark makes each character of a string two bytes wide.
         memo, old, new = self.memo, self.old, []
-        parts = [self.word.findall(m) for m in marked]
+        parts = [self.word.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         for w in set().union(*parts).difference(memo):
             got = old.get(w)
             if got is None:
                 new.append(w)
             else:
                 memo[w] = got
-        memo.update(zip(new, self.learn(new)))
+        memo.update(zip(new, self.learn([w.replace(" ", SPACE) for w in new])))
         out = [first + b"".join(map(memo.__getitem__, p)) + last for p in parts]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del memo[w]
-        if len(memo) > MEMO_WORDS // 2:  # words met again are carried over from the older half
+        if len(memo) > self.memo_words // 2:  # words met again are carried over from the older half
             self.old, self.memo = memo, {}
         return out
 
@@ -238,34 +239,35 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-#: A run of marks with what follows up to the next mark; the same within lines.
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-LINE_WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+#: A run of spaces with what follows up to the next space; the same within lines.
+WORD = re.compile(" +[^ ]*")
+LINE_WORD = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 
-_SHARED: dict[bytes, Pieces] = {}
+_SHARED: dict[tuple[bytes, int], Pieces] = {}
 
 
-def shared_pieces(model: bytes) -> Pieces:
+def shared_pieces(model: bytes, memo_words: int = MEMO_WORDS) -> Pieces:
     """One vocabulary and memo for all tasks of a Python worker."""
-    key = hashlib.sha256(model).digest()
+    key = hashlib.sha256(model).digest(), memo_words
     if key not in _SHARED:
         _SHARED.clear()
-        _SHARED[key] = Pieces(model)
+        _SHARED[key] = Pieces(model, memo_words)
     return _SHARED[key]
 
 
-def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_decode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """id_col, ids binary (little-endian unsigned 32-bit, with begin and end), decoded string.
 
     Texts are decoded by the library, whose decode() the one of Pieces equals. with_ids=False leaves the ids out where only the decoded text is wanted. Raises if a word's ids differ from the
-    library's. The model is a few hundred kilobytes of bytes in the task's closure.
+    library's. The model is a few hundred kilobytes of bytes in the task's closure. memo_words changes no result: a worker
+    that keeps fewer words takes less memory and encodes more of them again.
     """
     src = common.ids_and_text(df, id_col, text_col)
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        pieces, out = shared_pieces(model), None
+        pieces, out = shared_pieces(model, memo_words), None
         for batch in batches:
             if out is None:
                 out = common.Out(pa.schema([("_id", batch.schema.field(0).type), ("ids", pa.binary()), ("decoded", pa.string())]))
