@@ -8,6 +8,7 @@ remembers the last form that was a real word, and goes back to it if the peeling
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,26 +66,35 @@ class Rules:
 
     def __init__(self, lexicon: Lexicon):
         self.forms, self.compounds, self.bases = lexicon.forms(), lexicon.compounds, lexicon.bases()
+        self._literals: dict[str, Column] = {}
+
+    def literals(self, words) -> list[Column]:
+        """Words as columns, each made once: the driver asks the JVM for every one."""
+        words = list(words)
+        for w in words:
+            if w not in self._literals:
+                self._literals[w] = F.lit(w)
+        return [self._literals[w] for w in words]
 
     def known_base(self, c: Column) -> Column:
-        return c.isin(self.bases)
+        return c.isin(self.literals(self.bases))
 
     def real(self, c: Column) -> Column:
         return F.array_contains(F.col("real"), c) | self.known_base(c)
 
     def verb(self, c: Column) -> Column:
         """A common verb or an irregular form."""
-        return c.isin(E.VERBS) | c.isin(list(self.forms))
+        return c.isin(self.literals(E.VERBS)) | c.isin(self.literals(list(self.forms)))
 
     def valid(self, c: Column) -> Column:
         """c, or c with a silent e, if that is a real word; else null."""
         return F.when(self.real(c), c).when(self.real(plus(c, "e")), plus(c, "e"))
 
     def root_like(self, c: Column) -> Column:
-        return (F.length(c) >= 3) & ~c.isin(NO_ROOTS) & self.real(c)
+        return (F.length(c) >= 3) & ~c.isin(self.literals(NO_ROOTS)) & self.real(c)
 
     def base_pos(self, c: Column) -> Column:
-        out = F.when(c.isin(E.VERBS), "VERB").when(c.isin(E.ADJECTIVES), "ADJ").when(c.isin(E.NOUNS), "NOUN")
+        out = F.when(c.isin(self.literals(E.VERBS)), "VERB").when(c.isin(self.literals(E.ADJECTIVES)), "ADJ").when(c.isin(self.literals(E.NOUNS)), "NOUN")
         return F.coalesce(out, pick(c, {k: v[1] for k, v in self.forms.items()}), F.lit("UNKNOWN"))
 
     # inflection
@@ -92,8 +102,8 @@ class Rules:
     def with_e(self, stem: Column) -> Column:
         """The stem with the silent e that -ed or -ing took, where it took one."""
         e = plus(stem, "e")
-        lost = stem.rlike("[^aeiou][aeiou][^aeiouwyxkhqj]$") & ~stem.isin(E.NO_SILENT_E + E.ADJECTIVES + E.NOUNS)
-        return F.when(self.verb(e) | e.isin(E.ADJECTIVES), e).when(self.real(e), e).when(self.real(stem), stem).when(lost, e).otherwise(stem)
+        lost = stem.rlike("[^aeiou][aeiou][^aeiouwyxkhqj]$") & ~stem.isin(self.literals(E.NO_SILENT_E + E.ADJECTIVES + E.NOUNS))
+        return F.when(self.verb(e) | e.isin(self.literals(E.ADJECTIVES)), e).when(self.real(e), e).when(self.real(stem), stem).when(lost, e).otherwise(stem)
 
     @staticmethod
     def inflected_forms(w: Column) -> Column:
@@ -106,17 +116,17 @@ class Rules:
         ing, ed, es, s = cut(w, 3), cut(w, 2), cut(w, 2), cut(w, 1)
         est, er = cut(w, 3), cut(w, 2)
         third = ("person=3SG|tense=PRES", "VERB")
-        verb_like = plus(es, "e").isin(E.VERBS) | plus(es, "e").isin([k for k, v in self.forms.items() if v[1] == "VERB"]) | plus(es, "e").rlike("(" + "|".join(E.VERB_ENDINGS) + ")$")
-        adj = lambda c: c.isin(E.ADJECTIVES)
+        verb_like = plus(es, "e").isin(self.literals(E.VERBS)) | plus(es, "e").isin(self.literals([k for k, v in self.forms.items() if v[1] == "VERB"])) | plus(es, "e").rlike("(" + "|".join(E.VERB_ENDINGS) + ")$")
+        adj = lambda c: c.isin(self.literals(E.ADJECTIVES))
         of_ing = F.when(doubled(ing), cut(ing, 1)).otherwise(self.with_e(ing))
         of_ed = F.when(doubled(ed) & ~self.verb(ed), cut(ed, 1)).otherwise(self.with_e(ed))
         of_es = (
-            F.when(es.isin(E.VERBS), x(es, *third)).when(self.verb(plus(es, "e")), x(plus(es, "e"), *third))
+            F.when(es.isin(self.literals(E.VERBS)), x(es, *third)).when(self.verb(plus(es, "e")), x(plus(es, "e"), *third))
             .when(~self.real(es) & self.real(plus(es, "e")), F.when(verb_like, x(plus(es, "e"), *third)).otherwise(x(plus(es, "e"), "num=PL", "NOUN")))
             .otherwise(x(es, "num=PL", "NOUN"))
         )
-        whole = w.endswith("ous") | w.isin(E.NOT_PLURAL) | (~s.isin(E.VERBS) & self.real(w) & ~self.real(s))
-        of_s = F.when(s.isin(E.VERBS), x(s, *third)).otherwise(x(s, "num=PL", "NOUN"))
+        whole = w.endswith("ous") | w.isin(self.literals(E.NOT_PLURAL)) | (~s.isin(self.literals(E.VERBS)) & self.real(w) & ~self.real(s))
+        of_s = F.when(s.isin(self.literals(E.VERBS)), x(s, *third)).otherwise(x(s, "num=PL", "NOUN"))
         return (
             F.when(w.endswith("'s"), x(cut(w, 2), "poss=YES", "POSS"))
             .when(w.endswith("ing") & (n > 5), x(of_ing, "aspect=PROG|tense=PRES", "VERB"))
@@ -126,9 +136,9 @@ class Rules:
             .when(w.endswith("es") & (n > 3), of_es)
             .when(w.endswith("s") & (n > 3) & ~w.endswith("ss"), F.when(~whole, of_s))
             .when(w.endswith("iest") & (n > 5) & adj(plus(cut(w, 4), "y")), x(plus(cut(w, 4), "y"), "degree=SUPER", "ADJ"))
-            .when(w.endswith("est") & (n > 5), F.when(adj(est) | est.isin(E.VERBS + E.COMPARED_ADVERBS), x(est, "degree=SUPER", "ADJ")).when(adj(plus(est, "e")), x(plus(est, "e"), "degree=SUPER", "ADJ")))
+            .when(w.endswith("est") & (n > 5), F.when(adj(est) | est.isin(self.literals(E.VERBS + E.COMPARED_ADVERBS)), x(est, "degree=SUPER", "ADJ")).when(adj(plus(est, "e")), x(plus(est, "e"), "degree=SUPER", "ADJ")))
             .when(w.endswith("ier") & (n > 4) & adj(plus(cut(w, 3), "y")), x(plus(cut(w, 3), "y"), "degree=COMP", "ADJ"))
-            .when(w.endswith("er") & (n > 4), F.when(adj(er), x(er, "degree=COMP", "ADJ")).when(adj(plus(er, "e")), x(plus(er, "e"), "degree=COMP", "ADJ")).when(er.isin(E.COMPARED_ADVERBS), x(er, "degree=COMP", "ADV")))
+            .when(w.endswith("er") & (n > 4), F.when(adj(er), x(er, "degree=COMP", "ADJ")).when(adj(plus(er, "e")), x(plus(er, "e"), "degree=COMP", "ADJ")).when(er.isin(self.literals(E.COMPARED_ADVERBS)), x(er, "degree=COMP", "ADV")))
         )
 
     # one affix
@@ -145,8 +155,8 @@ class Rules:
         """All suffixes that c can have, the longest first."""
         own = F.array(*map(F.lit, [s for s in SUFFIXES if s != "ee"]))
         stem = lambda s: F.substr(c, F.lit(1), F.greatest(F.length(c) - F.length(s), F.lit(0)))
-        fits = lambda s: F.endswith(c, s) & (F.length(c) - F.length(s) >= F.when(s.isin("able", "ible"), 2).otherwise(3)) & ((s != "like") | stem(s).isin(E.NOUNS + self.bases_only()))
-        return F.when(c.isin(E.NO_SUFFIX + E.NO_MENT), F.array().cast("array<string>")).otherwise(F.filter(own, fits))
+        fits = lambda s: F.endswith(c, s) & (F.length(c) - F.length(s) >= F.when(s.isin("able", "ible"), 2).otherwise(3)) & ((s != "like") | stem(s).isin(self.literals(E.NOUNS + self.bases_only())))
+        return F.when(c.isin(self.literals(E.NO_SUFFIX + E.NO_MENT)), F.array().cast("array<string>")).otherwise(F.filter(own, fits))
 
     def bases_only(self) -> list[str]:
         forms = self.forms
@@ -162,54 +172,62 @@ class Rules:
     def agent(self, c: Column) -> tuple[Column, Column]:
         """What an agent in -er, -or or -ar does, or null; and the ending."""
         base, e = cut(c, 2), plus(cut(c, 2), "e")
-        found = F.when(~base.isin(E.ADJECTIVES), F.when(self.verb(e), e).when(self.verb(base) | base.isin(E.NOUNS), base).when(c.isin(E.AGENTS), F.when(e.isin(E.ADJECTIVES + E.NOUNS), e).otherwise(base)))
+        found = F.when(~base.isin(self.literals(E.ADJECTIVES)), F.when(self.verb(e), e).when(self.verb(base) | base.isin(self.literals(E.NOUNS)), base).when(c.isin(self.literals(E.AGENTS)), F.when(e.isin(self.literals(E.ADJECTIVES + E.NOUNS)), e).otherwise(base)))
         return F.when(c.rlike("^.{3,}[eoa]r$"), found), F.right(c, F.lit(2))
 
     def restored(self, n: Column, s: Column) -> Column:
         """The word that a stem comes from, by the suffix that it lost."""
         e, ate, le = plus(n, "e"), plus(n, "ate"), plus(n, "le")
         verb_e = F.when(self.verb(e), e).otherwise(n)
-        common = lambda c: c.isin(E.VERBS)
+        common = lambda c: c.isin(self.literals(E.VERBS))
         out = (
             F.when(s.isin("tion", "ation", "ition"), F.when(self.verb(ate), ate).otherwise(verb_e))
             .when(s == "sion", F.when(common(plus(n, "de")), plus(n, "de")).when(common(e), e).otherwise(n))
             .when(s.isin("ment", "able", "ible", "ative", "itive", "ive"), verb_e)
-            .when(s == "ity", F.when(n.endswith("il"), plus(cut(n, 2), "le")).when(e.isin(E.ADJECTIVES) | common(e), e).otherwise(n))
+            .when(s == "ity", F.when(n.endswith("il"), plus(cut(n, 2), "le")).when(e.isin(self.literals(E.ADJECTIVES)) | common(e), e).otherwise(n))
             .when(s.isin("ify", "fy") & ~self.real(n), F.when(self.real(plus(n, "y")), plus(n, "y")).when(self.real(e), e).otherwise(n))
-            .when(s == "ly", F.when((n.endswith("ab") | n.endswith("ib")) & self.real(le), le).when(n.endswith("i"), plus(cut(n, 1), "y")).when(le.isin(E.ADJECTIVES), le).when(n.rlike("[^aeiou]l$"), e).otherwise(n))
-            .when(s == "ist", F.when(e.isin(E.NOUNS), e).otherwise(n))
+            .when(s == "ly", F.when((n.endswith("ab") | n.endswith("ib")) & self.real(le), le).when(n.endswith("i"), plus(cut(n, 1), "y")).when(le.isin(self.literals(E.ADJECTIVES)), le).when(n.rlike("[^aeiou]l$"), e).otherwise(n))
+            .when(s == "ist", F.when(e.isin(self.literals(E.NOUNS)), e).otherwise(n))
             .otherwise(n)
         )
         out = F.coalesce(pick(n, E.RESTORED), out)
-        return F.when((out == n) & s.isin(E.E_ELIDING) & ~self.real(n) & self.real(e), e).otherwise(out)
+        return F.when((out == n) & s.isin(self.literals(E.E_ELIDING)) & ~self.real(n) & self.real(e), e).otherwise(out)
 
     # one step
 
     def step(self, rows: DataFrame) -> DataFrame:
         """rows (w, cur, chain, pos, best, best_len, best_pos, pre, sufs, real) after one more affix; act says what was done."""
+        stages, kept, again = self.stages
+        for columns in stages:
+            rows = rows.withColumns(columns)
+        return rows.select(*kept).withColumns(again)
+
+    @cached_property
+    def stages(self) -> tuple[list[dict[str, Column]], list[str | Column], dict[str, Column]]:
+        """The columns of a step, one group over another, then those that are kept and one over these: the same at each step, and made once."""
         cur, pre, pos, col = F.col("cur"), F.col("pre"), F.col("pos"), F.col
-        x = rows.withColumns({"best_pos": F.when(self.root_like(cur) & ~cur.isin(list(E.KEPT)), pos).otherwise(col("best_pos")), "best_len": F.when(self.root_like(cur) & ~cur.isin(list(E.KEPT)), F.size("chain")).otherwise(col("best_len")), "best": F.when(self.root_like(cur) & ~cur.isin(list(E.KEPT)), cur).otherwise(col("best"))})
-        x = x.withColumn("rem", F.expr("substr(cur, length(pre) + 1)")).withColumn("remv", F.when(pre.isNotNull(), self.valid(col("rem"))))
+        stages = [{"best_pos": F.when(self.root_like(cur) & ~cur.isin(self.literals(list(E.KEPT))), pos).otherwise(col("best_pos")), "best_len": F.when(self.root_like(cur) & ~cur.isin(self.literals(list(E.KEPT))), F.size("chain")).otherwise(col("best_len")), "best": F.when(self.root_like(cur) & ~cur.isin(self.literals(list(E.KEPT))), cur).otherwise(col("best"))}]
+        stages += [{"rem": F.expr("substr(cur, length(pre) + 1)")}, {"remv": F.when(pre.isNotNull(), self.valid(col("rem")))}]
         stem = lambda s: F.substr(cur, F.lit(1), F.length(cur) - F.length(s))
-        sure = F.filter("sufs", lambda s: self.valid(stem(s)).isNotNull() | stem(s).isin(list(E.RESTORED)))
-        x = x.withColumn("suf", F.coalesce(F.try_element_at(sure, F.lit(1)), F.try_element_at("sufs", F.lit(1))))
-        x = x.withColumn("stem", F.expr("substr(cur, 1, length(cur) - length(suf))"))
-        x = x.withColumn("res", F.when(col("suf").isNotNull(), self.restored(col("stem"), col("suf"))))
+        sure = F.filter("sufs", lambda s: self.valid(stem(s)).isNotNull() | stem(s).isin(self.literals(list(E.RESTORED))))
+        stages.append({"suf": F.coalesce(F.try_element_at(sure, F.lit(1)), F.try_element_at("sufs", F.lit(1)))})
+        stages.append({"stem": F.expr("substr(cur, 1, length(cur) - length(suf))")})
+        stages.append({"res": F.when(col("suf").isNotNull(), self.restored(col("stem"), col("suf")))})
         base, ending = self.agent(cur)
-        x = x.withColumns({"doer": base, "ending": ending})
-        productive = pre.isin(E.PRODUCTIVE_PREFIXES)
+        stages.append({"doer": base, "ending": ending})
+        productive = pre.isin(self.literals(E.PRODUCTIVE_PREFIXES))
         irregular_verbs = {k: v[0] for k, v in self.forms.items() if v[1] == "VERB"}
         act = (
-            F.when(cur.isin(list(E.KEPT)) | self.known_base(cur), "end")
-            .when(pre.isNotNull() & col("rem").isin(list(irregular_verbs)), "irregular")
-            .when(pre.isNotNull() & (self.known_base(col("rem")) | col("rem").isin(list(E.RESTORED))), "base")
+            F.when(cur.isin(self.literals(list(E.KEPT))) | self.known_base(cur), "end")
+            .when(pre.isNotNull() & col("rem").isin(self.literals(list(irregular_verbs))), "irregular")
+            .when(pre.isNotNull() & (self.known_base(col("rem")) | col("rem").isin(self.literals(list(E.RESTORED)))), "base")
             .when(productive & (F.length("remv") >= 4), "word")
             .when(col("doer").isNotNull(), "agent")
             .when(F.length("res") >= 2, "suffix")
             .when(productive & (F.length("remv") >= 3), "free")
             .otherwise("end")
         )
-        x = x.withColumn("act", act)
+        stages.append({"act": act})
         act, res, suf, chain = col("act"), col("res"), col("suf"), col("chain")
         note = lambda affix, gloss: F.concat(affix, F.lit("→"), gloss)
         prefixed = F.concat(chain, F.array(note(pre, pick(pre, E.PREFIX_GLOSS))))
@@ -228,8 +246,8 @@ class Rules:
             F.when(act == "irregular", pick(col("rem"), irregular_verbs or {"": ""})).when(act == "base", col("rem")).when(act.isin("word", "free"), col("remv")).when(act == "agent", col("doer")).when(act == "suffix", after).otherwise(cur)
         )
         new_chain = F.when(act.isin("irregular", "base", "word", "free"), prefixed).when(act == "agent", F.concat(chain, F.array(note(col("ending"), F.lit("AGENT_NOUN"))))).when(act == "suffix", F.concat(suffixed, more)).otherwise(chain)
-        x = x.select("w", "act", "best", "best_len", "best_pos", new_pos.alias("pos"), new_cur.alias("cur"), new_chain.alias("chain"))
-        return x.withColumn("cur", F.coalesce(pick(col("cur"), E.RESTORED), col("cur")))
+        kept = ["w", "act", "best", "best_len", "best_pos", new_pos.alias("pos"), new_cur.alias("cur"), new_chain.alias("chain")]
+        return stages, kept, {"cur": F.coalesce(pick(col("cur"), E.RESTORED), col("cur"))}
 
 
 def looked_up(rows: DataFrame, known: DataFrame, forms: Column) -> DataFrame:

@@ -1,7 +1,9 @@
 """English sentence rules on sentences worked out by hand, and lines over the memo of their words."""
 
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.grammar import english
@@ -86,3 +88,18 @@ def test_a_very_long_sentence():
     dog = english.Token("the", "the", "DET", "")
     out = english.resolve([dog, word("walk")] * 100_000)
     assert {t.pos for t in out[1::2]} == {"NOUN"} and english.verdict(out) == "no main verb or copula"
+
+
+def test_many_lines_at_once_are_judged_as_one_by_one():
+    rng = random.Random(3)
+    surfaces = "the a he she runs running to that this before because and but is has was after more than of in Taller dog eaten walk walking , . nice xx my i ended".split()
+    kinds = [(p, t) for p in ("DET", "ADJ", "NOUN", "PRON", "UNKNOWN", "PREP", "VERB", "AUX", "CONJ", "PUNCT", "FOREIGN", "ADV") for t in ("", "aspect=PROG", "aspect=PERF", "subcat=SUB", "poss=YES|num=PL")]
+    pool = [english.Token(s, s.lower(), *rng.choice(kinds)) for s in surfaces for _ in range(8)]
+    pool += [english.Token(s, s, p, "") for s, p in (("he", "PRON"), ("dog", "NOUN"), ("walk", "VERB"), ("the", "DET"), ("of", "PREP"), ("nice", "ADJ"), ("because", "CONJ"), ("is", "AUX"))] * 40
+    codes = [[rng.randrange(len(pool)) for _ in range(rng.randint(0, 9))] for _ in range(40_000)]
+    for some in (codes, [[]], [], codes[:1]):
+        lines = english.resolve_lines(english.Lines(pool, np.array([k for c in some for k in c], np.int64), np.cumsum([0, *map(len, some)])))
+        alone = [english.resolve([pool[k] for k in c]) for c in some]
+        assert lines.of([t.label for t in lines.tokens]) == [[t.label for t in x] for x in alone]
+        assert english.verdicts(lines) == [english.verdict([t for t in x if t.content]) for x in alone]
+    assert len(Counter(english.verdict([t for t in english.resolve([pool[k] for k in c]) if t.content]) for c in codes)) == 9
