@@ -1,6 +1,7 @@
 """English sentence rules on sentences worked out by hand, and lines over the memo of their words."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -103,3 +104,10 @@ def test_many_lines_at_once_are_judged_as_one_by_one():
         assert lines.of([t.label for t in lines.tokens]) == [[t.label for t in x] for x in alone]
         assert english.verdicts(lines) == [english.verdict([t for t in x if t.content]) for x in alone]
     assert len(Counter(english.verdict([t for t in english.resolve([pool[k] for k in c]) if t.content]) for c in codes)) == 9
+
+
+def test_tokens_share_their_tags_and_know_marks():
+    a, b = (english.Token(s, s, "NOUN", "num=PL|case=X") for s in ("cats", "dogs"))
+    assert a.kv is b.kv == {"num=PL", "case=X"} and "" in english.Token("x", "x", "NOUN", "").kv
+    content = {s: english.Token(s, s, "UNKNOWN", "").content for s in (".", "?!", ";,", "a.", ".a", "", "-", "…")}
+    assert content == {s: not re.fullmatch("[.!?;,]+", s) for s in content} and not english.Token("x", "x", "PUNCT", "").content
