@@ -27,6 +27,7 @@ table gives an empty result; only the named columns are read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -307,70 +308,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = common.written(met.drop("many").join(degree, "rep"), "members")
     common.discard(met)
 
-    def linked(links: DataFrame | None, done: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """All links and compared pairs so far, and how many pairs were new."""
-        new = common.written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        n = new.count()
-        if not n:
+    # All pairs compared so far, and the components of their links.
+    done: list[DataFrame] = []
+    roots: DataFrame | None = None
+
+    def linked(pairs: DataFrame) -> bool:
+        """Compares pairs that are new and joins the components of those that are alike; whether any pair was new."""
+        nonlocal roots
+        new = common.written(pairs.join(reduce(DataFrame.union, done), ["a", "b"], "left_anti") if done else pairs, "pairs")
+        if not new.limit(1).count():
             common.discard(new)
-            return links, done, 0
+            return False
+        done.append(new)
         found = similar(new, df, id_col, text_col, spec)
-        if links is None:
-            return found, new, n
-        both = common.written(links.union(found), "verified"), common.written(done.union(new), "done")
-        common.discard(links, found, done, new)
-        return *both, n
+        roots = graph.extended(roots, found)
+        common.discard(found)
+        return True
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """rows (rep, ...) with the root of each one's component."""
+        if roots is None:
+            return rows.withColumn("root", F.col("rep"))
+        return rows.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
-    def placed(roots: DataFrame) -> DataFrame:
+    def placed() -> DataFrame:
         """Members with their component, of band values that have several."""
-        at = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        at = rooted(members)
         mixed = at.groupBy(*BUCKET).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*BUCKET)
         return common.written(at.join(mixed, BUCKET, "left_semi"), "placed")
 
     few = members.where(F.col("band") < spec.first_bands).withColumn("root", F.col("rep"))
-    links, done, _ = linked(None, None, starred(few, foremost(few, 1), spec))
-    roots = None
+    linked(starred(few, foremost(few, 1), spec))
     for hubs in (1, spec.hubs):
-        roots = _again(links, members, roots)
-        at = placed(roots)
-        links, done, _ = linked(links, done, starred(at, foremost(at, hubs), spec))
+        at = placed()
+        linked(starred(at, foremost(at, hubs), spec))
         common.discard(at)
-    roots = _again(links, members, roots)
-    at = placed(roots)
-    links, done, _ = linked(links, done, refined(at, spec))
+    at = placed()
+    linked(refined(at, spec))
     common.discard(at)
-    roots = _again(links, members, roots)
     # Members left of several components in crowded band values meet by their rarest shingles, which misses none of the similarity.
-    at = placed(roots)
+    at = placed()
     crowded = at.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > spec.few).select(*BUCKET)
     rest = common.written(at.join(crowded, BUCKET, "left_semi").select("rep", "root").distinct(), "rest")
     common.discard(at)
     ends = rarest(rest, df, id_col, text_col, spec)
-    links, done, new = linked(links, done, starred_by_element(ends, spec))
-    if new:
-        roots = _again(links, members, roots)
-        ends, old = common.written(ends.drop("root").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "ends"), ends
+    if linked(starred_by_element(ends, spec)):
+        ends, old = common.written(rooted(ends.drop("root")), "ends"), ends
         common.discard(old)
-    links, done, new = linked(links, done, sharing(ends, spec))
-    if new:
-        roots = _again(links, members, roots)
+    linked(sharing(ends, spec))
     common.discard(rest, ends)
     rep = worded.select("_id", "h1", "h2").join(same.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("_id", "rep")
-    named = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("_id", F.coalesce("root", "rep").alias("class_id"))
+    named = rooted(rep).select("_id", F.col("root").alias("class_id"))
     named = common.written(named.union(sk.where("bands is null").select("_id", F.col("_id").alias("class_id"))), "classes")
-    common.discard(sk, same, members, links, done, roots)
+    common.discard(sk, same, members, *done, roots)
     sizes = named.groupBy(F.col("class_id").alias("_class")).agg(F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, F.col("class_id").eqNullSafe(F.col("_class"))).select(F.col("_id").alias(id_col), "class_id", "class_size")
 
 
-def _again(links: DataFrame | None, members: DataFrame, old: DataFrame | None) -> DataFrame:
-    """Components of all links; the table before is removed."""
-    new = graph.components(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0) if links is None else links)
-    if old is not None:
-        common.discard(old)
-    return new
-
-
 def op7_dartminhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.documents(spark, sf_dir))
     return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
