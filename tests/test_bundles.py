@@ -50,3 +50,11 @@ def test_odd_words_bundles(spark, duck, folder):
 
 def test_singleton_tokens_filters_bundles(spark, folder):
     assert filters_of_words(spark, folder, "singleton_tokens") == []
+
+
+def test_odd_words_classify_rejection(spark, duck, folder):
+    same(spark, duck, folder, "classify_rejection")
+
+
+def test_classify_rejection_filters_counts(spark, folder):
+    assert filters_of_words(spark, folder, "classify_rejection") == []
